@@ -73,7 +73,7 @@ def group_share(df: DataFrame, cols: list[str]) -> DataFrame:
 def group_pivot(df: DataFrame, row: str, col: str, values: list, share: bool = False) -> DataFrame:
     """Counts by two keys, the second spread to columns (value list given,
     so no extra job to find it)."""
-    p = df.groupBy(row).pivot(col, values).agg(F.count("*"))
+    p = df.groupBy(row).pivot(col, values).agg(F.count(F.lit(1)))
     p = p.na.fill(0, subset=[str(v) for v in values])
     if share:
         total = df.agg(F.count("*").alias("__total"))

@@ -182,16 +182,7 @@ def count_mentions(spark, sf_dir):
     return s.select("id", T.count_mentions(F.col("text")).cast("long").alias("mention_count"))
 
 
-def _mask_sql(e: str) -> str:
-    terms = sorted(set(corpus.MALE + corpus.FEMALE), key=lambda s: (-len(s), s))
-    alt = "|".join(terms)
-    # whole-word, case-sensitive; a term is a word when it is not next to a
-    # word character (RE2 has no \b for Unicode words, so consume the neighbours)
-    return (f"regexp_replace(regexp_replace({e}, '(^|{S.NW})({alt})({S.NW}|$)', '\\1<MASK>\\3', 'g'),"
-            f" '(^|{S.NW})({alt})({S.NW}|$)', '\\1<MASK>\\3', 'g')")
-
-
-@query("mask_terms", f"SELECT doc_id AS id, {_mask_sql('text')} AS text FROM documents")
+@query("mask_terms", f"SELECT doc_id AS id, {S.mask_terms('text', corpus.MALE + corpus.FEMALE)} AS text FROM documents")
 def mask_terms(spark, sf_dir):
     d = table(spark, sf_dir, "documents", ["doc_id", "text"])
     return d.select(F.col("doc_id").alias("id"), T.mask_terms(F.col("text"), corpus.MALE + corpus.FEMALE).alias("text"))

@@ -90,3 +90,20 @@ TOKENS = """tokens AS (
               FROM (SELECT doc_id, unnest(string_split_regex(text, '[.!?\\n]+')) AS sentence,
                            unnest(range(len(string_split_regex(text, '[.!?\\n]+')))) AS sent_id
                     FROM documents) s)))"""
+
+
+def mask_terms(e: str, terms) -> str:
+    """Whole-word, case-sensitive masking.  RE2 has no Unicode \\b, so the
+    neighbours are consumed and put back; two passes cover terms separated
+    by a single character."""
+    alt = "|".join(sorted(set(terms), key=lambda s: (-len(s), s)))
+    pat = f"(^|{NW})({alt})({NW}|$)"
+    return f"regexp_replace(regexp_replace({e}, '{pat}', '\\1<MASK>\\3', 'g'), '{pat}', '\\1<MASK>\\3', 'g')"
+
+
+def reference_items(masked_terms) -> str:
+    return f"""reference_items AS (
+  SELECT item_id AS id, 'benchmark' AS dataset, text, CAST(-1 AS BIGINT) AS of_id FROM benchmark
+  UNION ALL
+  SELECT item_id + 1000000 AS id, 'masked' AS dataset, {mask_terms('text', masked_terms)} AS text,
+         item_id AS of_id FROM benchmark)"""
