@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmill.functions.hashing import phash
+from textmill.session import cut_lineage
 
 
 def group_row_number(df: DataFrame, group: list[str], order: list[Column | str], out: str = "rn",
@@ -28,9 +29,16 @@ def group_row_number(df: DataFrame, group: list[str], order: list[Column | str],
             .sortWithinPartitions(*group, *names)
             .withColumn("__pid", F.spark_partition_id())
             .withColumn("__mid", F.monotonically_increasing_id()))
+    # The numbering is read twice below (block sizes and rows).  Range bounds
+    # come from a sample whose input order is not fixed, so the numbered
+    # frame is written once (reliable checkpoint in the shared folder, which
+    # also survives executor loss) and both reads see the same rows.
+    part = cut_lineage(part)
     # rows of one (partition, group) are contiguous; their positions and sizes
     blocks = part.groupBy("__pid", *group).agg(F.min("__mid").alias("__first"), F.count("*").alias("__cnt"))
-    w = Window.partitionBy(*group).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    # the blocks table has at most (partitions + groups) rows
+    w = (Window.partitionBy(*group) if group else Window).orderBy("__pid").rowsBetween(
+        Window.unboundedPreceding, -1)
     blocks = blocks.select("__pid", *group, "__first",
                            F.coalesce(F.sum("__cnt").over(w), F.lit(0)).alias("__before"))
     joined = part.join(blocks, ["__pid", *group], "inner")
@@ -91,13 +99,11 @@ def top_k_per_group(df: DataFrame, group: list[str], order: list[Column], k: int
 
 
 def compact_ids(df: DataFrame, order: list[str], out: str = "pid") -> DataFrame:
-    """Consecutive 0-based ids in sorted order, distributed (zipWithIndex
-    over a range-sorted frame: one small job counts rows per partition)."""
-    spark = df.sparkSession
-    sorted_df = df.orderBy(*order)
-    schema = sorted_df.schema.add(out, "long")
-    rdd = sorted_df.rdd.zipWithIndex().map(lambda ri: tuple(ri[0]) + (ri[1],))
-    return spark.createDataFrame(rdd, schema)
+    """Consecutive 0-based ids in sorted order, distributed and JVM-side:
+    range-partition, number rows inside each partition, add the sizes of
+    earlier partitions (``order`` must be unique)."""
+    ranked = group_row_number(df, [], list(order), out="__rn")
+    return ranked.withColumn(out, F.col("__rn") - 1).drop("__rn")
 
 
 def context_frame(tokens: DataFrame, k: int, doc: str = "doc_id", pos: str = "pos",

@@ -28,10 +28,27 @@ REFERENCE_ITEM_SCHEMA = T.StructType([
 ])
 
 
+# Tables whose rows carry whole texts: per-row CPU (regex, tokenising)
+# dominates, so they must be spread over all cores.
+TEXT_TABLES = {"documents", "pages", "conversations", "benchmark"}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin repartition only when the scan has fewer splits than the
+    cluster has cores (a file written as one row group is one task).  On a
+    large input the scan already has far more splits and nothing moves."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
     """One driver table; ``columns`` prunes at the scan."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def scan_posts(spark: SparkSession, path: str, columns: list[str] | None = None,
