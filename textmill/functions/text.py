@@ -154,10 +154,10 @@ def char_ngrams(c: Column, lo: int, hi: int) -> Column:
     collapsing runs of two or more whitespace characters to one space."""
     t = F.regexp_replace(F.lower(c), F.lit(r"(?U)\s\s+"), F.lit(" "))
     def grams(n: int) -> Column:
-        # guard length >= n: sequence(1, 0) would count down
-        return F.when(F.length(t) >= n, F.transform(
-            F.sequence(F.lit(1), F.length(t) - n + 1),
-            lambda i: F.substring(t, i, n))).otherwise(F.array().cast("array<string>"))
+        # one left-to-right pass: a zero-width match at every position
+        # captures the next n characters (substring by index would rescan
+        # the text from its start for every position: quadratic)
+        return F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
 
     per_n = [grams(n) for n in range(lo, hi + 1)]
     return F.flatten(F.array(*per_n)) if len(per_n) > 1 else per_n[0]
