@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from textmill.functions.text import zero_pad
 
+# Fixed value: the constant test_case column of a run file.
+SUBMISSION_TEST_CASE = "EXIST2021"
+
 
 def to_long(df: DataFrame, key: str = "id", value_cols: list[str] | None = None) -> DataFrame:
     """Wide numeric feature table -> long (id, name, value)."""
