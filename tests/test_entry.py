@@ -26,3 +26,10 @@ def test_sink_round_trip(spark):
     df = E.queries()["sink_features"](spark, SF001)
     assert set(df.columns) == {"id", "name", "value"}
     assert df.count() > 0
+
+
+def test_stream_wiring(spark):
+    from textmill.streaming import clean_stream
+    df = clean_stream(spark, SF001)
+    assert df.isStreaming
+    assert df.columns == ["doc_id", "tokens"]

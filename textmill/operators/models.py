@@ -63,8 +63,9 @@ def fit_lr(C: float = 1.0, n_rows: int = 1, penalty: str = "l2", weight_col: str
     return lr
 
 
-def fit_linear_svm(C: float = 1.0, n_rows: int = 1, multiclass: bool = False, weight_col: str | None = None):
-    svc = LinearSVC(regParam=1.0 / (C * max(n_rows, 1)))
+def fit_linear_svm(C: float = 1.0, n_rows: int = 1, multiclass: bool = False, weight_col: str | None = None,
+                   max_iter: int = 100):
+    svc = LinearSVC(regParam=1.0 / (C * max(n_rows, 1)), maxIter=max_iter)
     if weight_col:
         svc.setWeightCol(weight_col)
     return OneVsRest(classifier=svc) if multiclass else svc

@@ -432,7 +432,7 @@ def fit_lr(spark, sf_dir):
 def fit_linear_svm(spark, sf_dir):
     """Six-class style: one-vs-rest linear SVM on the four-class label."""
     data = _text_data(spark, sf_dir, "task2")
-    return _cv_report(Pipeline(stages=_stages(scale=True) + [MD.fit_linear_svm(C=0.01, n_rows=400, multiclass=True)]),
+    return _cv_report(Pipeline(stages=_stages(scale=True) + [MD.fit_linear_svm(C=0.01, n_rows=400, multiclass=True, max_iter=25)]),
                       data)
 
 
