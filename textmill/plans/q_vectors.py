@@ -9,6 +9,7 @@ from textmill.operators.joins import build_vocabulary, sif_weights
 from textmill.plans import corpus
 from textmill.plans.registry import query
 from textmill.plans import sqlparts as S
+from textmill.session import cut_lineage
 from textmill.sources.files import table
 
 
@@ -154,7 +155,9 @@ def explicit_vectors(spark, sf_dir):
     m = V.ppmi(counts, 0.75).where(F.col("context").isin(CONTEXTS))
     maps = m.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("context", "ppmi"))).alias("m"))
     v = vocab.select("token").join(maps.withColumnRenamed("word", "token"), "token", "left")
-    return v.select("token", F.array(*[F.coalesce(F.col("m")[c], F.lit(0.0)) for c in CONTEXTS]).alias("vec"))
+    # read several times downstream (weights, distances): written once
+    return cut_lineage(v.select("token", F.array(*[F.coalesce(F.col("m")[c], F.lit(0.0)) for c in CONTEXTS])
+                                .alias("vec")))
 
 
 _CTX_VALUES = ", ".join(f"('{c}', {i})" for i, c in enumerate(CONTEXTS))
