@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textmill.functions import arrays as A
+
 
 def _lit_array(terms: list[str]) -> Column:
     return F.array(*[F.lit(t) for t in sorted(set(terms))])
@@ -30,13 +32,14 @@ def lexicon_counts(df: DataFrame, tokens: str, terms: list[str], key: str = "id"
     per_term = F.transform(F.array_distinct(hits),
                            lambda h: F.struct(h.alias("term"),
                                               F.size(F.filter(hits, lambda x: x == h)).cast("long").alias("n")))
-    return df.select(key, F.explode(per_term).alias("c")).select(key, "c.term", "c.n")
+    return df.select(key, A.explode(per_term).alias("c")).select(key, "c.term", "c.n")
 
 
 def lexicon_totals(df: DataFrame, tokens: str, terms: list[str], key: str = "id",
-                   out: str = "total") -> DataFrame:
-    """Row sum of ``lexicon_counts``; documents without a hit keep 0."""
-    return df.select(key, F.size(lexicon_hits(F.col(tokens), terms)).cast("long").alias(out))
+                   out: str = "total", keep: list[str] | None = None) -> DataFrame:
+    """Row sum of ``lexicon_counts``; documents without a hit keep 0.
+    ``keep`` carries other columns of the row along (no join back)."""
+    return df.select(key, *(keep or []), F.size(lexicon_hits(F.col(tokens), terms)).cast("long").alias(out))
 
 
 def vocabulary_counts(df: DataFrame, tokens: str, vocab: DataFrame, key: str = "id",
@@ -44,13 +47,15 @@ def vocabulary_counts(df: DataFrame, tokens: str, vocab: DataFrame, key: str = "
     """Per-document counts of a data-derived vocabulary (size not known in
     advance): explode, equi-join (AQE picks broadcast from the measured size,
     else sort-merge with skew splitting), then partial aggregation."""
-    ex = df.select(key, F.explode(F.col(tokens)).alias(term))
-    return (ex.join(vocab.select(term).distinct(), term, "left_semi")
-            .groupBy(key, term).agg(F.count("*").alias("n")))
+    # count per (document, term) first: the key includes the document, so a
+    # frequent term is spread over tasks, and the join sees distinct rows
+    ex = df.select(key, A.explode(F.col(tokens)).alias(term))
+    per_doc = ex.groupBy(key, term).agg(F.count("*").alias("n"))
+    return per_doc.join(vocab.select(term).distinct(), term, "left_semi").select(key, term, "n")
 
 
 def unigram_counts(df: DataFrame, tokens: str, out: str = "token") -> DataFrame:
-    return df.select(F.explode(F.col(tokens)).alias(out)).groupBy(out).agg(F.count("*").alias("n"))
+    return df.select(A.explode(F.col(tokens)).alias(out)).groupBy(out).agg(F.count("*").alias("n"))
 
 
 def value_counts(values: DataFrame, col: str) -> DataFrame:

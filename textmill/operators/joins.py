@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from textmill.functions import arrays as A
 from pyspark.sql import types as T
 
 from textmill.operators.windows import compact_ids
@@ -35,7 +37,7 @@ def token_vectors_from_embeddings(emb: DataFrame, n_pos: int, key: str = "vec_id
                                   col: str = "embedding") -> DataFrame:
     """(id, pos, vec): a flat vector cut into ``n_pos`` equal positions."""
     width = F.size(col) / n_pos
-    return emb.select(F.col(key).alias("id"), F.posexplode(F.sequence(F.lit(0), F.lit(n_pos - 1))).alias("__i", "pos"),
+    return emb.select(F.col(key).alias("id"), A.posexplode(F.sequence(F.lit(0), F.lit(n_pos - 1))).alias("__i", "pos"),
                       col).select("id", "pos", F.slice(col, (F.col("pos") * width + 1).cast("int"),
                                                          width.cast("int")).alias("vec"))
 
@@ -56,7 +58,7 @@ def parse_scores(df: DataFrame, col: str, key: str = "id") -> DataFrame:
     """JSON response -> (id, name, value); unparseable or failed responses
     give no rows here (see ``score_status``)."""
     m = F.from_json(F.col(col), SCORE_SCHEMA)["attributeScores"]
-    return (df.select(key, F.explode(m).alias("name", "s"))
+    return (df.select(key, A.explode(m).alias("name", "s"))
             .select(key, "name", F.col("s.summaryScore.value").alias("value")))
 
 
@@ -82,7 +84,7 @@ def missing_keys(df: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
 def build_vocabulary(tok: DataFrame, tokens: str, min_count: int = 10, token: str = "token") -> DataFrame:
     """(token, n, tok_id): tokens with count strictly above ``min_count``,
     consecutive ids in token order (distributed numbering)."""
-    counts = tok.select(F.explode(tokens).alias(token)).groupBy(token).agg(F.count("*").alias("n"))
+    counts = tok.select(A.explode(tokens).alias(token)).groupBy(token).agg(F.count("*").alias("n"))
     kept = counts.where(F.col("n") > min_count)
     return compact_ids(kept, [token], out="tok_id")
 
@@ -118,7 +120,7 @@ def filter_in_vocab(docs: DataFrame, tokens: str, vocab: DataFrame, max_len: int
     Tokens are exploded with their position, semi-joined with the
     vocabulary and re-assembled per document (a document's tokens are
     bounded by the document, already one row)."""
-    ex = docs.select(key, F.posexplode(tokens).alias("__p", token))
+    ex = docs.select(key, A.posexplode(tokens).alias("__p", token))
     kept = ex.join(vocab.select(token), token, "left_semi")
     per_doc = kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("__p", token))).alias("__s"))
     arr = F.transform("__s", lambda s: s[token])
@@ -132,7 +134,7 @@ def filter_in_vocab(docs: DataFrame, tokens: str, vocab: DataFrame, max_len: int
 def context_frame(docs: DataFrame, tokens: str, k: int, key: str = "doc_id") -> DataFrame:
     """(key, pos, context): tokens within +-k positions, computed inside the
     document row (no window over a document, no shuffle)."""
-    ex = docs.select(key, tokens, F.posexplode(tokens).alias("pos", "__t"))
+    ex = docs.select(key, tokens, A.posexplode(tokens).alias("pos", "__t"))
     start = F.greatest(F.col("pos") - k, F.lit(0)) + 1
     end = F.least(F.col("pos") + k + 1, F.size(tokens))
     return ex.select(key, "pos", F.slice(tokens, start, end - start + 1).alias("context"))

@@ -98,22 +98,27 @@ def eligible(tokens: DataFrame, pos_blacklist: list[str] | None = None, filter_s
 
 
 def unigrams(tok: DataFrame) -> DataFrame:
-    return tok.select(*SENT, F.array("i").alias("gram"))
+    """One gram per eligible token: positions [i] and pattern [code]."""
+    return tok.select(*SENT, F.array("i").alias("gram"), F.array("code").alias("pattern"))
 
 
 def grow_connected_ngrams(grams: DataFrame, tok: DataFrame) -> DataFrame:
-    """(n-1)-grams -> n-grams: add any child of any member (tree edges)."""
-    members = grams.select(*SENT, "gram", F.explode("gram").alias("head"))
-    children = tok.where(F.col("head").isNotNull()).select(*SENT, "head", F.col("i").alias("child"))
+    """(n-1)-grams -> n-grams: add any child of any member (tree edges).
+    The child's code travels with it, so the pattern (sorted codes) is
+    built during growth and never needs a join back to the tokens."""
+    members = grams.select(*SENT, "gram", "pattern", F.explode("gram").alias("head"))
+    children = tok.where(F.col("head").isNotNull()).select(*SENT, "head", F.col("i").alias("child"),
+                                                           F.col("code").alias("__code"))
     j = members.join(children, [*SENT, "head"]).where(~F.array_contains("gram", F.col("child")))
-    return j.select(*SENT, F.array_sort(F.concat("gram", F.array("child"))).alias("gram")).distinct()
+    grown = j.select(*SENT, F.array_sort(F.concat("gram", F.array("child"))).alias("gram"),
+                     F.array_sort(F.concat("pattern", F.array("__code"))).alias("pattern"))
+    # the same set of positions can be reached from different (n-1)-grams
+    return grown.dropDuplicates([*SENT, "gram"])
 
 
-def encode(grams: DataFrame, tok: DataFrame) -> DataFrame:
-    """Attach the pattern: sorted array of the members' codes."""
-    e = grams.select(*SENT, "gram", F.explode("gram").alias("i"))
-    e = e.join(tok.select(*SENT, "i", "code"), [*SENT, "i"])
-    return e.groupBy(*SENT, "gram").agg(F.array_sort(F.collect_list("code")).alias("pattern"))
+def encode(grams: DataFrame, tok: DataFrame | None = None) -> DataFrame:
+    """(doc, sentence, gram, pattern): the pattern is carried by the grams."""
+    return grams.select(*SENT, "gram", "pattern")
 
 
 def ngram_counts(encoded: DataFrame) -> DataFrame:
@@ -197,7 +202,7 @@ def mine_collocations_pruned(tokens: DataFrame, min_n: int, max_n: int, alpha: f
         ok = scored.where((F.col("cnt") >= min_freq) & F.col("keep")).select("pattern")
         survivors[n] = ok
         # extend only the occurrences whose pattern survived
-        grams = enc.join(ok, "pattern", "left_semi").select(*SENT, "gram")
+        grams = enc.join(ok, "pattern", "left_semi").select(*SENT, "gram", "pattern")
     pool = None
     for n in range(min_n, max_n + 1):
         pool = survivors[n] if pool is None else pool.unionByName(survivors[n])

@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textmill.functions import arrays as A
+
 from textmill.functions import text as T
 from textmill.sources.files import table
 
@@ -60,6 +62,18 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
                     t2.alias("task2")))
 
 
+def posts_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, task1, task2) of the labelled posts, without the text."""
+    lab = table(spark, sf_dir, "labels", ["doc_id", "quality", "toxic"])
+    code = F.col("quality") * 2 + F.col("toxic")
+    t2 = F.lit(None).cast("string")
+    for i, name in reversed(list(enumerate(TASK2_NAMES))):
+        t2 = F.when(code == i, F.lit(name)).otherwise(t2)
+    return lab.select(F.col("doc_id").alias("id"),
+                      F.when(F.col("toxic") == 1, TASK1_NAMES[1]).when(F.col("toxic") == 0, TASK1_NAMES[0])
+                      .alias("task1"), t2.alias("task2"))
+
+
 def decorate(id_col, text_col):
     """Mention, hashtag, MENTIONn tag, link and emoji around the text."""
     return F.concat(F.lit("RT @u"), (id_col % 7).cast("string"), F.lit(": "), text_col,
@@ -75,7 +89,7 @@ def social(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"),
-                       F.posexplode(F.split(F.col(text_col), r"[.!?\n]+")).alias("sent_id", "sentence"))
+                       A.posexplode(F.split(F.col(text_col), r"[.!?\n]+")).alias("sent_id", "sentence"))
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +97,7 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     head(0) = null, head(i) = greatest(0, i - 1 - i % 2)."""
     d = table(spark, sf_dir, "documents", ["doc_id", "text"])
     s = sentences(d)
-    w = s.select("doc_id", "sent_id", F.posexplode(T.word_tokens(F.col("sentence"))).alias("i", "form"))
+    w = s.select("doc_id", "sent_id", A.posexplode(T.word_tokens(F.col("sentence"))).alias("i", "form"))
     return w.select("doc_id", "sent_id", "i", "form", F.col("form").alias("lemma"),
                     F.when(F.col("i") == 0, F.lit(None).cast("int"))
                     .otherwise(F.greatest(F.lit(0), F.col("i") - 1 - F.col("i") % 2)).alias("head"))

@@ -7,6 +7,8 @@ from pyspark.ml import Pipeline
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
+from textmill.functions import arrays as A
+
 from textmill.functions import text as T
 from textmill.operators import clusters as CL
 from textmill.operators import joins as J
@@ -263,7 +265,7 @@ def select_by_chi2(spark, sf_dir):
 def _word_features(spark, sf_dir):
     dt = corpus.doc_tokens(spark, sf_dir)
     vocab = J.build_vocabulary(dt, "tokens", 10)
-    ex = dt.select("id", F.explode("tokens").alias("token")).join(vocab.select("token"), "token", "left_semi")
+    ex = dt.select("id", A.explode("tokens").alias("token")).join(vocab.select("token"), "token", "left_semi")
     return ex.groupBy("id", F.col("token").alias("name")).agg(F.count("*").cast("double").alias("value"))
 
 

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from textmill.functions import arrays as A
+
 from textmill.functions import text as T
 from textmill.functions.hashing import phash
 from textmill.operators import counts as C
@@ -97,7 +99,7 @@ def scan_token_vectors(spark, sf_dir):
     """Document x position x dimension: each 64-float embedding cut into 8
     positions of 8 dimensions, in long form."""
     tv = J.token_vectors_from_embeddings(table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]), 8)
-    return tv.select("id", "pos", F.posexplode("vec").alias("dim", "value")).select(
+    return tv.select("id", "pos", A.posexplode("vec").alias("dim", "value")).select(
         "id", "pos", "dim", R6(F.col("value").cast("double")).alias("value"))
 
 
@@ -140,7 +142,7 @@ def filter_comment_terms(spark, sf_dir):
     """Mention and hashtag terms of the training posts, minus the terms that
     start with '#'."""
     s = corpus.social(spark, sf_dir).where(F.col("split") == "train")
-    terms = s.select(F.explode(T.social_tokens(F.col("text"))).alias("term")).where(
+    terms = s.select(A.explode(T.social_tokens(F.col("text"))).alias("term")).where(
         F.col("term").rlike("^[@#]")).distinct()
     return RL.filter_comment_terms(terms)
 
@@ -385,7 +387,7 @@ def token_ids(spark, sf_dir):
     tokens dropped (inner join)."""
     tok = corpus.doc_tokens(spark, sf_dir)
     vocab = J.build_vocabulary(tok, "tokens", min_count=10)
-    ids = J.token_ids(tok.select("id", F.explode("tokens").alias("token")), vocab)
+    ids = J.token_ids(tok.select("id", A.explode("tokens").alias("token")), vocab)
     return ids.groupBy("id").agg(F.count("*").alias("n_in_vocab"), F.sum("tok_id").cast("long").alias("sum_ids"))
 
 
@@ -399,7 +401,7 @@ def token_weights(spark, sf_dir):
     """Weight per token from the training split's frequencies
     (a / (a + count / total)); tokens without a weight get 1e-6."""
     p = corpus.posts(spark, sf_dir)
-    tok = p.select("id", "split", F.explode(T.word_tokens(T.clean_text(F.col("text")))).alias("token"))
+    tok = p.select("id", "split", A.explode(T.word_tokens(T.clean_text(F.col("text")))).alias("token"))
     weights = J.sif_weights(tok.where(F.col("split") == "train"), "token", a=1e-3)
     w = J.token_weights(tok, weights)
     return w.groupBy("id").agg(F.count("*").alias("n_tokens"), R6(F.sum("w")).alias("weight_sum"))
@@ -436,7 +438,7 @@ def group_sizes(spark, sf_dir):
 SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '#{S.W}+')) AS tag FROM social WHERE split = 'train') GROUP BY tag""")
 def value_counts(spark, sf_dir):
     s = corpus.social(spark, sf_dir).where(F.col("split") == "train")
-    return C.value_counts(s.select(F.explode(T.extract_hashtags(F.col("text"))).alias("tag")), "tag")
+    return C.value_counts(s.select(A.explode(T.extract_hashtags(F.col("text"))).alias("tag")), "tag")
 
 
 @query("distinct_values", f"WITH {S.POSTS} SELECT DISTINCT task2 FROM posts")
@@ -462,7 +464,7 @@ def _social_vocab_counts(spark, sf_dir, prefix):
     tok = s.select("id", "split", T.social_tokens(F.col("text")).alias("tokens"))
     extract = T.extract_hashtags if prefix == "#" else T.extract_mentions
     vocab = (s.where(F.col("split") == "train")
-             .select(F.explode(extract(F.col("text"))).alias("term"))
+             .select(A.explode(extract(F.col("text"))).alias("term"))
              .select(F.lower("term").alias("term")).distinct())
     return tok, C.vocabulary_counts(tok, "tokens", vocab)
 
@@ -569,7 +571,7 @@ def context_frame(spark, sf_dir):
 # ---------------------------------------------------------------- 2.6 top-k
 def _top_by_class(spark, sf_dir, extract):
     s = corpus.social(spark, sf_dir).where(F.col("split") == "train")
-    tags = s.select("task2", F.explode(extract(F.col("text"))).alias("value"))
+    tags = s.select("task2", A.explode(extract(F.col("text"))).alias("value"))
     counts = tags.groupBy("task2", "value").agg(F.count("*").alias("n"))
     return WN.top_k_per_group(counts, ["task2"], [F.desc("n"), F.col("value")], 10).select("task2", "value", "n", "rank")
 
@@ -616,7 +618,7 @@ SELECT 'train_only' AS side, tag, (SELECT count(*) FROM a) AS size FROM a
 UNION ALL SELECT 'test_only', tag, (SELECT count(*) FROM b) FROM b""")
 def vocabulary_diff(spark, sf_dir):
     s = corpus.social(spark, sf_dir)
-    tags = s.select("split", F.explode(T.extract_hashtags(F.col("text"))).alias("tag"))
+    tags = s.select("split", A.explode(T.extract_hashtags(F.col("text"))).alias("tag"))
     return SO.vocabulary_diff(tags.where(F.col("split") == "train").select("tag"),
                               tags.where(F.col("split") == "test").select("tag"), "tag")
 
@@ -625,7 +627,7 @@ def vocabulary_diff(spark, sf_dir):
 SELECT DISTINCT lower(t) AS term FROM (SELECT unnest(regexp_extract_all(text, '#{S.W}+')) AS t FROM social)""")
 def dedupe_terms(spark, sf_dir):
     s = corpus.social(spark, sf_dir)
-    tags = s.select(F.explode(T.extract_hashtags(F.col("text"))).alias("tag"))
+    tags = s.select(A.explode(T.extract_hashtags(F.col("text"))).alias("tag"))
     return SO.dedupe_terms(tags.select(F.lower("tag").alias("term")), "term")
 
 

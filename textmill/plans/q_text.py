@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from textmill.functions import arrays as A
+
 from textmill.functions import text as T
 from textmill.operators import counts as C
 from textmill.plans import corpus
@@ -27,11 +29,14 @@ FROM tok GROUP BY task2""")
 def lexicon_by_class(spark, sf_dir):
     """Clean documents, count a lexicon per document, join labels, average
     the count by class."""
-    p = corpus.posts(spark, sf_dir).where(F.col("task2").isNotNull())
-    tok = p.select("id", "task2", T.word_tokens(T.clean_text(F.col("text"))).alias("tokens"))
-    tot = C.lexicon_totals(tok, "tokens", corpus.BOOSTERS).join(tok.select("id", "task2"), "id")
-    return tot.groupBy("task2").agg(F.count("*").alias("n_docs"), F.sum("total").cast("long").alias("hits"),
-                                    R6(F.avg("total")).alias("avg_total"))
+    # Each document is reduced to (id, total) where it is read, so the join
+    # with the labels moves two numbers per document, never the text.
+    tok = corpus.doc_tokens(spark, sf_dir)
+    tot = C.lexicon_totals(tok, "tokens", corpus.BOOSTERS)
+    lab = corpus.posts_labels(spark, sf_dir).where(F.col("task2").isNotNull())
+    return (tot.join(lab, "id").groupBy("task2")
+            .agg(F.count("*").alias("n_docs"), F.sum("total").cast("long").alias("hits"),
+                 R6(F.avg("total")).alias("avg_total")))
 
 
 # ---------------------------------------------------------------- cleaning
@@ -146,7 +151,7 @@ def char_ngrams(spark, sf_dir):
     """Corpus table of character 3- and 4-grams: occurrences and document
     frequency (the vocabulary statistics the vectoriser needs)."""
     d = table(spark, sf_dir, "documents", ["doc_id", "text"])
-    g = d.select("doc_id", F.explode(T.char_ngrams(F.col("text"), 3, 4)).alias("ngram"))
+    g = d.select("doc_id", A.explode(T.char_ngrams(F.col("text"), 3, 4)).alias("ngram"))
     # per-document partial counts first, so a frequent n-gram is one row per document
     per_doc = g.groupBy("ngram", "doc_id").agg(F.count("*").alias("c"))
     return per_doc.groupBy("ngram").agg(F.length("ngram").cast("long").alias("n"),
@@ -158,14 +163,14 @@ def char_ngrams(spark, sf_dir):
 SELECT id, unnest(regexp_extract_all(text, '#{S.W}+')) AS tag FROM social""")
 def extract_hashtags(spark, sf_dir):
     s = corpus.social(spark, sf_dir)
-    return s.select("id", F.explode(T.extract_hashtags(F.col("text"))).alias("tag"))
+    return s.select("id", A.explode(T.extract_hashtags(F.col("text"))).alias("tag"))
 
 
 @query("extract_mentions", f"""WITH {S.SOCIAL}
 SELECT id, unnest(regexp_extract_all(text, '@{S.W}+')) AS mention FROM social""")
 def extract_mentions(spark, sf_dir):
     s = corpus.social(spark, sf_dir)
-    return s.select("id", F.explode(T.extract_mentions(F.col("text"))).alias("mention"))
+    return s.select("id", A.explode(T.extract_mentions(F.col("text"))).alias("mention"))
 
 
 @query("count_hashtags", f"""WITH {S.SOCIAL}

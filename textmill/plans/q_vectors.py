@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from textmill.functions import arrays as A
+
 from textmill.operators import vectors as V
 from textmill.operators.joins import build_vocabulary, sif_weights
 from textmill.plans import corpus
@@ -114,7 +116,7 @@ def most_similar_words(spark, sf_dir):
   (SELECT unnest({S.word_tokens(S.clean_text('text'))}) AS t FROM documents) GROUP BY t)
 SELECT token, round(0.001 / (0.001 + n / (SELECT sum(n) FROM u)), 6) + 0.0 AS weight FROM u""")
 def sif_weight(spark, sf_dir):
-    tok = corpus.doc_tokens(spark, sf_dir).select(F.explode("tokens").alias("token"))
+    tok = corpus.doc_tokens(spark, sf_dir).select(A.explode("tokens").alias("token"))
     return sif_weights(tok, "token", 1e-3).select("token", R6(F.col("w")).alias("weight"))
 
 
@@ -143,7 +145,7 @@ def pool_vectors(spark, sf_dir):
     outs = []
     for mode in ["first", "mean", "mean_rest"]:
         pv = V.pool_vectors(tv, mode)
-        outs.append(pv.select("id", F.lit(mode).alias("mode"), F.posexplode("vec").alias("dim", "value"))
+        outs.append(pv.select("id", F.lit(mode).alias("mode"), A.posexplode("vec").alias("dim", "value"))
                     .select("id", "mode", "dim", R6(F.col("value")).alias("value")))
     return outs[0].unionByName(outs[1]).unionByName(outs[2])
 
@@ -182,9 +184,9 @@ def weighted_mean_vector(spark, sf_dir):
     in-vocabulary tokens (explicit PPMI vectors here, so SQL can check it)."""
     vecs = explicit_vectors(spark, sf_dir)
     dt = corpus.doc_tokens(spark, sf_dir)
-    w = sif_weights(dt.select(F.explode("tokens").alias("token")), "token", 1e-3)
+    w = sif_weights(dt.select(A.explode("tokens").alias("token")), "token", 1e-3)
     out = V.weighted_vectors(dt, vecs, w, max_len=100, key="id")
-    return out.select("id", F.posexplode("vec").alias("dim", "value")).select(
+    return out.select("id", A.posexplode("vec").alias("dim", "value")).select(
         "id", "dim", R6(F.col("value")).alias("value"))
 
 
@@ -204,7 +206,7 @@ def document_vectors(spark, sf_dir):
     first principal component."""
     dt = corpus.doc_tokens(spark, sf_dir)
     _, vecs, _ = V.word_vectors(dt.withColumnRenamed("id", "doc_id"), "tokens", MIN_COUNT, WINDOW, 50)
-    w = sif_weights(dt.select(F.explode("tokens").alias("token")), "token", 1e-3)
+    w = sif_weights(dt.select(A.explode("tokens").alias("token")), "token", 1e-3)
     return V.document_vectors(dt, vecs, w, max_len=100, rmpc=1, key="id")
 
 
