@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmill.operators.setops import pattern_subsets
-from textmill.operators.windows import compact_ids
+from textmill.operators.windows import compact_ids, top_k_per_group
 from textmill.session import cut_lineage
 
 SENT = ["doc_id", "sent_id"]
@@ -218,8 +218,7 @@ def cluster_lemma_counts(tokens: DataFrame, cluster_col: str = "canon") -> DataF
 def top3_cluster_names(counts: DataFrame, k: int = 3) -> DataFrame:
     """The k most common lemmas of each cluster as its readable name.  The
     input is aggregated (one row per cluster and lemma)."""
-    w = Window.partitionBy("cluster").orderBy(F.desc("n"), F.col("lemma"))
-    top = counts.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
+    top = top_k_per_group(counts, ["cluster"], [F.desc("n"), F.col("lemma")], k, out="r")
     return top.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("r", "lemma"))).alias("__s")).select(
         "cluster", F.concat_ws(",", F.transform("__s", lambda s: s["lemma"])).alias("name"))
 

@@ -91,11 +91,17 @@ def truncate_tokens(df: DataFrame, tokens: str, vocab_terms: list[str] | None, m
 
 
 def top_k_per_group(df: DataFrame, group: list[str], order: list[Column], k: int,
-                    out: str = "rank") -> DataFrame:
-    """Top k rows per group.  Used on aggregated tables (one row per distinct
-    value), so a group is bounded by its number of distinct values."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= k)
+                    out: str = "rank", salts: int = 64) -> DataFrame:
+    """Exact top k rows per group in two phases: the top k of each
+    (group, salt) slice first, then the top k of those k x salts
+    candidates.  A group with millions of distinct values is never sorted
+    in one task.  ``order`` must be a total order (end with a unique key)."""
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts))
+    w1 = Window.partitionBy(*group, "__salt").orderBy(*order)
+    pre = (df.withColumn("__salt", salt).withColumn("__r", F.row_number().over(w1))
+           .where(F.col("__r") <= k).drop("__r", "__salt"))
+    w2 = Window.partitionBy(*group).orderBy(*order)
+    return pre.withColumn(out, F.row_number().over(w2)).where(F.col(out) <= k)
 
 
 def compact_ids(df: DataFrame, order: list[str], out: str = "pid") -> DataFrame:

@@ -87,6 +87,13 @@ def social(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumn("text", decorate(F.col("id"), F.col("text")))
 
 
+def social_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, decorated text) straight from the documents: queries that need
+    no label never join (and so never move) the text."""
+    d = table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return d.select(F.col("doc_id").alias("id"), decorate(F.col("doc_id"), F.col("text")).alias("text"))
+
+
 def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"),
                        A.posexplode(F.split(F.col(text_col), r"[.!?\n]+")).alias("sent_id", "sentence"))

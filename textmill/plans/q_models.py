@@ -90,10 +90,10 @@ imin AS (SELECT iw.item_id, dist.ta, min(dist.dist) AS m FROM iw JOIN dist ON di
 lab AS (SELECT dw.doc_id, imin.item_id, sum(dw.w * imin.m) AS l_ab FROM dw JOIN imin ON imin.ta = dw.token GROUP BY dw.doc_id, imin.item_id),
 dmin AS (SELECT dw.doc_id, dist.tb, min(dist.dist) AS m FROM dw JOIN dist ON dist.ta = dw.token GROUP BY dw.doc_id, dist.tb),
 lba AS (SELECT dmin.doc_id, iw.item_id, sum(iw.w * dmin.m) AS l_ba FROM iw JOIN dmin ON dmin.tb = iw.token GROUP BY dmin.doc_id, iw.item_id),
-rw AS (SELECT doc_id, item_id, greatest(l_ab, l_ba) AS rwmd FROM lab JOIN lba USING (doc_id, item_id))"""
+rwd AS (SELECT doc_id, item_id, greatest(l_ab, l_ba) AS rwmd FROM lab JOIN lba USING (doc_id, item_id))"""
 
 
-@query("relaxed_wmd", f"WITH {_RWMD_SQL} SELECT doc_id, item_id, round(rwmd, 6) + 0.0 AS rwmd FROM rw")
+@query("relaxed_wmd", f"WITH {_RWMD_SQL} SELECT doc_id, item_id, round(rwmd, 6) + 0.0 AS rwmd FROM rwd")
 def relaxed_wmd(spark, sf_dir):
     """Relaxed word mover's distance of every document to every benchmark
     item, on the explicit PPMI word vectors."""
@@ -101,20 +101,28 @@ def relaxed_wmd(spark, sf_dir):
     return r.select("doc_id", "item_id", R6(F.col("rwmd")).alias("rwmd"))
 
 
+def _rwmd_rounded(spark, sf_dir):
+    """Distances rounded to 9 places before the argmin: equal distances
+    summed in a different order differ in the last bits, and ties must go
+    to the smallest item id on every engine."""
+    return _rwmd(spark, sf_dir).withColumn("rwmd", F.round("rwmd", 9))
+
+
 @query("nearest_argmin", f"""WITH {_RWMD_SQL}
-SELECT doc_id, arg_min(item_id, (rwmd, item_id)) AS item_id, round(min(rwmd), 6) + 0.0 AS rwmd FROM rw GROUP BY doc_id""")
+SELECT doc_id, arg_min(item_id, (round(rwmd, 9), item_id)) AS item_id, round(min(round(rwmd, 9)), 6) + 0.0 AS rwmd
+FROM rwd GROUP BY doc_id""")
 def nearest_argmin(spark, sf_dir):
     """First item with the minimum distance for each document."""
-    a = NR.nearest_argmin(_rwmd(spark, sf_dir), "doc_id", "item_id", "rwmd")
+    a = NR.nearest_argmin(_rwmd_rounded(spark, sf_dir), "doc_id", "item_id", "rwmd")
     return a.select("doc_id", "item_id", R6(F.col("rwmd")).alias("rwmd"))
 
 
 @query("nearest_reference", f"""WITH {_RWMD_SQL},
-best AS (SELECT doc_id, arg_min(item_id, (rwmd, item_id)) AS item_id FROM rw GROUP BY doc_id)
+best AS (SELECT doc_id, arg_min(item_id, (round(rwmd, 9), item_id)) AS item_id FROM rwd GROUP BY doc_id)
 SELECT best.doc_id, best.item_id, CAST(length(b.text) AS BIGINT) AS item_chars FROM best JOIN benchmark b USING (item_id)""")
 def nearest_reference(spark, sf_dir):
     """Nearest reference item of each document with the item's attributes."""
-    a = NR.nearest_argmin(_rwmd(spark, sf_dir), "doc_id", "item_id", "rwmd")
+    a = NR.nearest_argmin(_rwmd_rounded(spark, sf_dir), "doc_id", "item_id", "rwmd")
     b = table(spark, sf_dir, "benchmark", ["item_id", "text"])
     return a.join(b, "item_id").select("doc_id", "item_id", F.length("text").cast("long").alias("item_chars"))
 
@@ -536,9 +544,9 @@ def batch_score(spark, sf_dir):
 
 @query("subset_search")
 def subset_search(spark, sf_dir):
-    """Greedy forward search over lexicon-count features by CV F1."""
+    """Greedy forward search over the booster-count features by CV F1."""
     feats = _lexicon_features(spark, sf_dir)
-    names = sorted(_LEX_TERMS)
+    names = sorted(corpus.BOOSTERS)
     wide = feats.groupBy("id").pivot("name", names).agg(F.first("value")).na.fill(0.0)
     data = WN.stratified_folds(_task1_labels(spark, sf_dir).join(wide, "id", "left").na.fill(0.0), "label", 3)
     return MD.subset_search(data, names, "label", "fold", mode="forward")
@@ -568,30 +576,41 @@ def word_clusters(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- sinks (write, read back)
-@query("sink_features")
+_LEX_FEATURES_SQL = f"""SELECT id, t AS name, CAST(count(*) AS DOUBLE) AS value FROM
+  (SELECT doc_id AS id, unnest({S.word_tokens(S.clean_text('text'))}) AS t FROM documents)
+WHERE list_contains({S.lit_list(_LEX_TERMS)}, t) GROUP BY id, t"""
+
+
+@query("sink_features", _LEX_FEATURES_SQL)
 def sink_features(spark, sf_dir):
+    """Write the lexicon feature to the long store, read it back."""
     root = _scratch(spark, "features")
     SK.sink_features(_lexicon_features(spark, sf_dir), root, "documents", "lexicon")
     return scan_features(spark, root, "documents", "lexicon")
 
 
-@query("scan_features")
+@query("scan_features", _LEX_FEATURES_SQL)
 def scan_features_q(spark, sf_dir):
+    """Read one feature of a store holding two (partition pruning)."""
     root = _scratch(spark, "features_scan")
     SK.sink_features(_lexicon_features(spark, sf_dir), root, "documents", "lexicon")
     SK.sink_features(_lexicon_features(spark, sf_dir).withColumn("value", F.col("value") * 2), root, "documents", "double")
     return scan_features(spark, root, "documents", "lexicon")
 
 
-@query("sink_submission")
+@query("sink_submission", f"""SELECT '{SK.SUBMISSION_TEST_CASE}' AS test_case, printf('%06d', d.doc_id) AS id,
+  CASE WHEN length(d.text) > 2000 THEN 'toxic' ELSE 'non-toxic' END AS prediction
+FROM documents d WHERE d.doc_id NOT IN (SELECT doc_id FROM labels)""")
 def sink_submission(spark, sf_dir):
+    """Run file for the test posts, read back (all columns strings)."""
     p = corpus.posts(spark, sf_dir).where(F.col("split") == "test")
     pred = p.select("id", F.when(F.length("text") > 2000, "toxic").otherwise("non-toxic").alias("prediction"))
     path = SK.sink_submission(pred, _scratch(spark, "runs"), "task1", "team", "1", "", test_case=SK.SUBMISSION_TEST_CASE)
     return spark.read.option("sep", "\t").csv(path).toDF("test_case", "id", "prediction")
 
 
-@query("sink_submission_const")
+@query("sink_submission_const", f"""SELECT '{SK.SUBMISSION_TEST_CASE}' AS test_case, printf('%06d', doc_id) AS id,
+  'non-toxic' AS prediction FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
 def sink_submission_const(spark, sf_dir):
     p = corpus.posts(spark, sf_dir).where(F.col("split") == "test")
     pred = p.select("id", F.lit("non-toxic").alias("prediction"))
@@ -641,3 +660,14 @@ def sink_token_vectors(spark, sf_dir):
     path = _scratch(spark, "token_vectors")
     SK.sink_token_vectors(tv, path)
     return spark.read.parquet(path)
+
+
+@query("scan_word_vectors")
+def scan_word_vectors(spark, sf_dir):
+    """Load a (token, vec) word-vector table: the explicit PPMI vectors of
+    the corpus written as Parquet, then read with the scanner."""
+    from textmill.sources.files import scan_word_vectors as scan
+    path = _scratch(spark, "word_vectors")
+    explicit_vectors(spark, sf_dir).write.mode("overwrite").parquet(path)
+    wv = scan(spark, path)
+    return wv.select("token", F.size("vec").alias("dims"))

@@ -41,7 +41,7 @@ def lexicon_by_class(spark, sf_dir):
 
 # ---------------------------------------------------------------- cleaning
 def _social_text(spark, sf_dir, fn):
-    s = corpus.social(spark, sf_dir)
+    s = corpus.social_text(spark, sf_dir)
     return s.select("id", fn(F.col("text")).alias("text"))
 
 
@@ -122,7 +122,7 @@ SELECT id,
   CAST(len(regexp_extract_all(lower(text), '{_SOC}+')) AS BIGINT) AS n_social
 FROM social""")
 def social_tokens(spark, sf_dir):
-    s = corpus.social(spark, sf_dir)
+    s = corpus.social_text(spark, sf_dir)
     t = T.social_tokens(F.col("text"))
     return s.select("id", F.size(t).cast("long").alias("n_tokens"),
                     F.size(F.filter(t, lambda x: x.startswith("@") | x.startswith("#"))).cast("long").alias("n_social"))
@@ -162,28 +162,28 @@ def char_ngrams(spark, sf_dir):
 @query("extract_hashtags", f"""WITH {S.SOCIAL}
 SELECT id, unnest(regexp_extract_all(text, '#{S.W}+')) AS tag FROM social""")
 def extract_hashtags(spark, sf_dir):
-    s = corpus.social(spark, sf_dir)
+    s = corpus.social_text(spark, sf_dir)
     return s.select("id", A.explode(T.extract_hashtags(F.col("text"))).alias("tag"))
 
 
 @query("extract_mentions", f"""WITH {S.SOCIAL}
 SELECT id, unnest(regexp_extract_all(text, '@{S.W}+')) AS mention FROM social""")
 def extract_mentions(spark, sf_dir):
-    s = corpus.social(spark, sf_dir)
+    s = corpus.social_text(spark, sf_dir)
     return s.select("id", A.explode(T.extract_mentions(F.col("text"))).alias("mention"))
 
 
 @query("count_hashtags", f"""WITH {S.SOCIAL}
 SELECT id, CAST(len(regexp_extract_all(text, '{S.HASHTAG}')) AS BIGINT) AS hashtag_count FROM social""")
 def count_hashtags(spark, sf_dir):
-    s = corpus.social(spark, sf_dir)
+    s = corpus.social_text(spark, sf_dir)
     return s.select("id", T.count_hashtags(F.col("text")).cast("long").alias("hashtag_count"))
 
 
 @query("count_mentions", f"""WITH {S.SOCIAL}
 SELECT id, CAST(len(regexp_extract_all(text, '{S.MENTION}')) AS BIGINT) AS mention_count FROM social""")
 def count_mentions(spark, sf_dir):
-    s = corpus.social(spark, sf_dir)
+    s = corpus.social_text(spark, sf_dir)
     return s.select("id", T.count_mentions(F.col("text")).cast("long").alias("mention_count"))
 
 
