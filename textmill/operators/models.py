@@ -180,7 +180,8 @@ def batch_score(model: PipelineModel, df: DataFrame, key: str = "id") -> DataFra
 
 
 def subset_search(df: DataFrame, features: list[str], label: str = "label", fold_col: str = "fold",
-                  min_size: int = 1, mode: str = "forward", max_subsets: int | None = None) -> DataFrame:
+                  min_size: int = 1, mode: str = "forward", max_subsets: int | None = None,
+                  max_iter: int = 10) -> DataFrame:
     """Score feature subsets by CV F1 (validation by the fold column).
     ``forward``: greedy forward selection (n^2 fits at most); ``exhaustive``:
     every subset of at least ``min_size`` members."""
@@ -193,7 +194,7 @@ def subset_search(df: DataFrame, features: list[str], label: str = "label", fold
         from pyspark.ml.feature import VectorSlicer
         idx = [features.index(f) for f in subset]
         pipe = Pipeline(stages=[VectorSlicer(inputCol="__all", outputCol="features", indices=idx),
-                                LogisticRegression(maxIter=50)])
+                                LogisticRegression(maxIter=max_iter)])
         cv = CrossValidator(estimator=pipe, estimatorParamMaps=[{}], evaluator=evaluator(), foldCol=fold_col)
         return float(cv.fit(data).avgMetrics[0])
 
