@@ -110,10 +110,3 @@ def compact_ids(df: DataFrame, order: list[str], out: str = "pid") -> DataFrame:
     earlier partitions (``order`` must be unique)."""
     ranked = group_row_number(df, [], list(order), out="__rn")
     return ranked.withColumn(out, F.col("__rn") - 1).drop("__rn")
-
-
-def context_frame(tokens: DataFrame, k: int, doc: str = "doc_id", pos: str = "pos",
-                  tok: str = "token") -> DataFrame:
-    """Tokens within +-k positions of each token (fixed-width frame)."""
-    w = Window.partitionBy(doc).orderBy(pos).rowsBetween(-k, k)
-    return tokens.withColumn("context", F.collect_list(tok).over(w))

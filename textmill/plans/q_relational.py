@@ -3,13 +3,11 @@ windows, top-k and set operations (SURVEY 2.1-2.7)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textmill.functions import arrays as A
 
 from textmill.functions import text as T
-from textmill.functions.hashing import phash
 from textmill.operators import counts as C
 from textmill.operators import joins as J
 from textmill.operators import relational as RL
@@ -132,9 +130,6 @@ def filter_group(spark, sf_dir):
     return RL.filter_group(corpus.posts(spark, sf_dir), "source", "src3").select("id", "source")
 
 
-_SOCIAL_TOK = r"\b\w\w+\b|(?<!\w)@\w+|(?<!\w)#\w+"
-
-
 @query("filter_comment_terms", f"""WITH {S.SOCIAL}
 SELECT DISTINCT t AS term FROM (SELECT unnest(regexp_extract_all(lower(text), '(^|{S.NW})([@#]{S.W}+)', 2)) AS t FROM social
   WHERE split = 'train') WHERE NOT starts_with(t, '#')""")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from textmill.functions import arrays as A
 
 from textmill.operators import vectors as V
-from textmill.operators.joins import build_vocabulary, sif_weights
+from textmill.operators.joins import sif_weights
 from textmill.plans import corpus
 from textmill.plans.registry import query
 from textmill.plans import sqlparts as S
