@@ -55,9 +55,11 @@ def fit_rf(n_trees: int = 100, max_depth: int = 10, seed: int = 42):
     return RandomForestClassifier(numTrees=n_trees, maxDepth=min(max_depth, MAX_TREE_DEPTH), seed=seed)
 
 
-def fit_lr(C: float = 1.0, n_rows: int = 1, penalty: str = "l2", weight_col: str | None = None):
+def fit_lr(C: float = 1.0, n_rows: int = 1, penalty: str = "l2", weight_col: str | None = None,
+           max_iter: int = 100):
     """regParam = 1 / (C x rows) maps the reference's inverse strength."""
-    lr = LogisticRegression(regParam=1.0 / (C * max(n_rows, 1)), elasticNetParam=1.0 if penalty == "l1" else 0.0)
+    lr = LogisticRegression(regParam=1.0 / (C * max(n_rows, 1)), elasticNetParam=1.0 if penalty == "l1" else 0.0,
+                            maxIter=max_iter)
     if weight_col:
         lr.setWeightCol(weight_col)
     return lr
@@ -91,9 +93,9 @@ def random_fourier_features(df: DataFrame, col: str, out: str, dim: int, n_compo
     return arr.withColumn(out, array_to_vector(rff(F.col("__x")))).drop("__x")
 
 
-def fit_kernel_svm(C: float = 1.0, n_rows: int = 1, multiclass: bool = False):
+def fit_kernel_svm(C: float = 1.0, n_rows: int = 1, multiclass: bool = False, max_iter: int = 100):
     """Linear SVM on random Fourier features (apply ``random_fourier_features``)."""
-    return fit_linear_svm(C, n_rows, multiclass)
+    return fit_linear_svm(C, n_rows, multiclass, max_iter=max_iter)
 
 
 def cv_predict(pipeline: Pipeline, df: DataFrame, fold_col: str = "fold", key: str = "id") -> DataFrame:

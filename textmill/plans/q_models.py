@@ -419,7 +419,7 @@ def assemble_pipeline(spark, sf_dir):
     """Text branch (character n-gram counts) + pass-through numeric branch
     -> classifier; out-of-fold report."""
     data = _text_data(spark, sf_dir).withColumn("n_chars", F.length("text").cast("double"))
-    pipe = Pipeline(stages=_stages(numeric=["n_chars"]) + [MD.fit_lr(C=1.0, n_rows=400)])
+    pipe = Pipeline(stages=_stages(numeric=["n_chars"]) + [MD.fit_lr(C=1.0, n_rows=400, max_iter=25)])
     return _cv_report(pipe, data)
 
 
@@ -435,7 +435,8 @@ def fit_rf(spark, sf_dir):
 
 @query("fit_lr")
 def fit_lr(spark, sf_dir):
-    return _cv_report(Pipeline(stages=_stages(scale=True) + [MD.fit_lr(C=0.1, n_rows=400)]), _text_data(spark, sf_dir))
+    return _cv_report(Pipeline(stages=_stages(scale=True) + [MD.fit_lr(C=0.1, n_rows=400, max_iter=25)]),
+                      _text_data(spark, sf_dir))
 
 
 @query("fit_linear_svm")
@@ -456,7 +457,7 @@ def fit_kernel_svm(spark, sf_dir):
         .withColumnRenamed("rff", "features")
     out = None
     for f in range(3):
-        m = MD.fit_kernel_svm(C=1.0, n_rows=400).fit(rff.where(F.col("fold") != f))
+        m = MD.fit_kernel_svm(C=1.0, n_rows=400, max_iter=25).fit(rff.where(F.col("fold") != f))
         p = m.transform(rff.where(F.col("fold") == f)).select("id", "label", "prediction")
         out = p if out is None else out.unionByName(p)
     return M.classification_report(out)
@@ -481,7 +482,7 @@ def _leader(cv, grid):
 @query("grid_search")
 def grid_search(spark, sf_dir):
     data = _text_data(spark, sf_dir)
-    lr = MD.fit_lr()
+    lr = MD.fit_lr(max_iter=25)
     grid = _grid(lr)
     cv = MD.grid_search(Pipeline(stages=_stages(scale=True) + [lr]), grid, data)
     return spark.createDataFrame(_leader(cv, grid), "params string, score double").orderBy(F.desc("score"))
@@ -509,7 +510,7 @@ def successive_halving(spark, sf_dir):
 @query("model_search")
 def model_search(spark, sf_dir):
     data = _text_data(spark, sf_dir)
-    nb, lr, rf = MD.fit_nb(), MD.fit_lr(), MD.fit_rf(n_trees=10)
+    nb, lr, rf = MD.fit_nb(), MD.fit_lr(max_iter=25), MD.fit_rf(n_trees=10)
     cands = [("nb", Pipeline(stages=_stages() + [nb]), ParamGridBuilder().addGrid(nb.smoothing, [0.5, 1.0]).build()),
              ("lr", Pipeline(stages=_stages(scale=True) + [lr]), ParamGridBuilder().addGrid(lr.regParam, [0.01, 0.1]).build()),
              ("rf", Pipeline(stages=_stages() + [rf]), ParamGridBuilder().addGrid(rf.maxDepth, [5, 10]).build())]
