@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from textmill.llm.line_dedup import dedup_lines
 from textmill.llm.near_dup import near_duplicates
+from textmill.llm.pieces import encode_pieces
 from textmill.llm.substring_dedup import dedup_substrings
+from textmill.llm.token_file import read_tokens, write_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,10 +29,31 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def tokenizer_file(name: str) -> bytes:
+    """A public tokenizer's file, read on the driver and sent to the executors."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), "rb") as f:
+        return f.read()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op2_token_file")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = write_tokens(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json").decode(), end=1)
+    return read_tokens(spark, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op3_pieces")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = encode_pieces(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 OP7_SQL = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
