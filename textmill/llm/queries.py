@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from textmill.llm.line_dedup import dedup_lines
 from textmill.llm.near_dup import near_duplicates
 from textmill.llm.pieces import encode_pieces
+from textmill.llm.quality_rules import quality_rules
+from textmill.llm.ranker import score_quality
 from textmill.llm.substring_dedup import dedup_substrings
 from textmill.llm.token_file import read_tokens, write_tokens
 
@@ -54,6 +56,17 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("op5_quality_rules")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = quality_rules(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op6_quality_classifier")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 OP7_SQL = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
