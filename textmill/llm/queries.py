@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from textmill.llm.line_dedup import dedup_lines
 from textmill.llm.near_dup import near_duplicates
 from textmill.llm.pieces import encode_pieces
+from textmill.llm.pii import BASE_KINDS, find_pii, joined
 from textmill.llm.quality_rules import quality_rules
 from textmill.llm.ranker import score_quality
 from textmill.llm.substring_dedup import dedup_substrings
 from textmill.llm.token_file import read_tokens, write_tokens
+from textmill.llm.warc import archived_pages, write_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,6 +45,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_pii")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = find_pii(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
+    number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return done.select("doc_id", *map(number, BASE_KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 @query("op2_token_file")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_tokens(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json").decode(), end=1)
@@ -86,6 +96,20 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("n_units").alias("n_lines"), "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+OP8_SQL = """
+SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+       CASE WHEN strlen(coalesce(html, '')) >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN strlen(coalesce(html, '')) >= 1000 AND page_id < last THEN last END AS refers_to
+FROM (SELECT page_id, html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages)
+"""
+
+
+@query("op8_warc", OP8_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, _ = write_warc(table(spark, sf_dir, "pages"))
+    return archived_pages(spark, folder)
+
+
 OP9_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
 w AS (SELECT doc_id, unnest(range(1, len(words) - 18)) AS k FROM d WHERE len(words) >= 20),
