@@ -28,10 +28,10 @@ from textmill.llm.common import file_system, shared_path, split_words, written
 #: characters of one shard (a work size).
 LENGTH, BATCH_ROWS, SHARD_CHARS = 2048, 256, 8_000_000
 #: Entries of a worker's table of distinct words; it is emptied when full.
-TABLE_ENTRIES = 500_000
+TABLE_ENTRIES = 700_000
 #: Words whose letters and marks are those of ASCII and Latin-1, where Unicode
 #: normalisation changes nothing and lower case is one letter each.
-PLAIN = regex.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+PLAIN = r"[!-~À-ÖØ-öø-ÿ]+"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -62,7 +62,8 @@ class WordEncoder:
         self.by_word = norm == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in pre] == ["Split", "ByteLevel"] and pre[0]["behavior"] == "Removed" and pre[0]["invert"] and not pre[1]["add_prefix_space"] and not pre[1]["use_regex"]
         if self.by_word:
             self.pattern = regex.compile(pre[0]["pattern"]["Regex"])
-            self.special = tuple(x["content"] for x in parts["added_tokens"])
+            special = "|".join(regex.escape(x["content"]) for x in parts["added_tokens"])
+            self.plain = regex.compile(f"(?!.*(?:{special})){PLAIN}" if special else PLAIN)
             self.letters = _byte_letters()
             self.words: dict[str, tuple] = {}
             self.parts: dict[str, tuple] = {}
@@ -70,23 +71,25 @@ class WordEncoder:
     def _part(self, part: str) -> tuple:
         ids = self.parts.get(part)
         if ids is None:
-            ids = tuple(t.id for t in self.tokenizer.model.tokenize("".join(self.letters[b] for b in part.encode())))
+            # Visible ASCII stands for itself in the byte-level alphabet.
+            letters = part if part.isascii() else "".join(self.letters[b] for b in part.encode())
+            ids = tuple([t.id for t in self.tokenizer.model.tokenize(letters)])
             if len(self.parts) >= TABLE_ENTRIES:
                 self.parts.clear()
             self.parts[part] = ids
         return ids
 
     def _word(self, word: str) -> tuple:
-        ids = self.words.get(word)
-        if ids is None:
-            if PLAIN.fullmatch(word) and not any(x in word for x in self.special):
-                ids = tuple(itertools.chain.from_iterable(map(self._part, self.pattern.findall(word.lower()))))
-            else:
-                ids = tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
-            if len(word) <= 64:
-                if len(self.words) >= TABLE_ENTRIES:
-                    self.words.clear()
-                self.words[word] = ids
+        if word.isascii() and word.isalpha():  # one run of letters
+            ids = self._part(word.lower())
+        elif self.plain.fullmatch(word):
+            ids = tuple(itertools.chain.from_iterable(map(self._part, self.pattern.findall(word.lower()))))
+        else:
+            ids = tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        if len(word) <= 64:
+            if len(self.words) >= TABLE_ENTRIES:
+                self.words.clear()
+            self.words[word] = ids
         return ids
 
     def encode(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +100,9 @@ class WordEncoder:
             ids = [[*e.ids, *tail] for e in self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
             return np.array([len(x) for x in ids], np.int64), np.fromiter(itertools.chain.from_iterable(ids), kind)
         offsets, words = split_words(texts)
-        ids = [*map(self._word, words.dictionary.to_pylist()), tuple(tail)]
+        get, word = self.words.get, self._word
+        ids = [get(w) or word(w) for w in words.dictionary.to_pylist()]
+        ids.append(tuple(tail))
         sizes = np.array([len(x) for x in ids], np.int64)
         flat = np.fromiter(itertools.chain.from_iterable(ids), kind, int(sizes.sum()))
         # One more "word" ends each document.
