@@ -65,20 +65,6 @@ def test_weighted_mean_oov_is_zero(spark):
     assert got[2] == [0.0, 0.0]
 
 
-def test_randomized_svd_reconstructs(spark):
-    from pyspark.mllib.linalg.distributed import CoordinateMatrix, MatrixEntry
-    rng = np.random.default_rng(0)
-    X = rng.normal(size=(40, 3)) @ rng.normal(size=(3, 40))
-    entries = spark.sparkContext.parallelize(
-        [MatrixEntry(i, j, float(X[i, j])) for i in range(40) for j in range(40)])
-    A = CoordinateMatrix(entries, 40, 40).toBlockMatrix(16, 16)
-    U, s = V.randomized_svd(A, 40, 3)
-    want = np.linalg.svd(X, compute_uv=False)[:3]
-    assert np.allclose(s, want, rtol=1e-6)
-    Ul = U.toLocalMatrix().toArray()
-    assert np.allclose(Ul.T @ Ul, np.eye(3), atol=1e-8)
-
-
 def test_remove_component_zero_projection(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=4) + 3]) for i in range(50)]
@@ -134,3 +120,23 @@ def test_pattern_subsets(spark):
     df = spark.createDataFrame([(["a", "a", "b"],)], "pattern array<string>")
     subs = sorted(tuple(r.sub) for r in pattern_subsets(df, "pattern").collect())
     assert subs == [("a",), ("a", "a"), ("a", "b"), ("b",)]
+
+
+def test_word_vectors_of_a_flat_spectrum(spark):
+    """Singular values of a matrix whose spectrum hardly falls are exact."""
+    rng = np.random.default_rng(2)
+    n, k = 120, 10
+    X = rng.normal(size=(n, n)) * (rng.random((n, n)) < 0.3)
+    cells = spark.createDataFrame([(f"t{i}", f"t{j}", float(X[i, j])) for i, j in zip(*X.nonzero())], "word string, context string, ppmi double")
+    vocab = spark.createDataFrame([(f"t{i}", i) for i in range(n)], "token string, tok_id long")
+    got = np.array([r.vec for r in V.svd_word_vectors(cells, vocab, k).orderBy("tok_id").collect()])
+    u, s, vt = np.linalg.svd(X)
+    assert np.allclose((got ** 2).sum(axis=0), s[:k], rtol=1e-6)
+    assert np.allclose(got @ got.T, u[:, :k] @ np.diag(s[:k]) @ u[:, :k].T, atol=1e-5)
+
+
+def test_null_strata_are_kept(spark):
+    from textmill.operators import windows as W
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, None), (5, "b")], "id long, y string")
+    assert sorted(r.id for r in W.stratified_folds(df, "y", 2).collect()) == [1, 2, 3, 4, 5]
+    assert sorted(r.id for r in W.stratified_split(df, "y").collect()) == [1, 2, 3, 4, 5]

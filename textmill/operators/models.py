@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from textmill.functions.hashing import phash
 from textmill.functions.text import char_ngrams
 
-MAX_TREE_DEPTH = 30  # Spark's limit; deeper grid values are capped
+MAX_TREE_DEPTH = 30  # Spark's limit
 
 
 def text_pipeline_stages(lo: int = 3, hi: int = 4, min_df: float = 0.1, max_df: float = 0.5,
@@ -52,7 +52,9 @@ def fit_nb(smoothing: float = 1.0):
 
 
 def fit_rf(n_trees: int = 100, max_depth: int = 10, seed: int = 42):
-    return RandomForestClassifier(numTrees=n_trees, maxDepth=min(max_depth, MAX_TREE_DEPTH), seed=seed)
+    if max_depth > MAX_TREE_DEPTH:
+        raise ValueError(f"max_depth {max_depth} is over Spark's limit of {MAX_TREE_DEPTH}")
+    return RandomForestClassifier(numTrees=n_trees, maxDepth=max_depth, seed=seed)
 
 
 def fit_lr(C: float = 1.0, n_rows: int = 1, penalty: str = "l2", weight_col: str | None = None,
@@ -182,7 +184,7 @@ def batch_score(model: PipelineModel, df: DataFrame, key: str = "id") -> DataFra
 
 
 def subset_search(df: DataFrame, features: list[str], label: str = "label", fold_col: str = "fold",
-                  min_size: int = 1, mode: str = "forward", max_subsets: int | None = None,
+                  min_size: int = 1, mode: str = "forward",
                   max_iter: int = 10) -> DataFrame:
     """Score feature subsets by CV F1 (validation by the fold column).
     ``forward``: greedy forward selection (n^2 fits at most); ``exhaustive``:
@@ -203,8 +205,6 @@ def subset_search(df: DataFrame, features: list[str], label: str = "label", fold
     rows = []
     if mode == "exhaustive":
         subsets = [list(c) for k in range(len(features), min_size - 1, -1) for c in combinations(features, k)]
-        if max_subsets is not None:
-            subsets = subsets[:max_subsets]
         rows = [(",".join(s), len(s), score(s)) for s in subsets]
     else:
         chosen, remaining = [], list(features)

@@ -41,15 +41,20 @@ def group_row_number(df: DataFrame, group: list[str], order: list[Column | str],
         Window.unboundedPreceding, -1)
     blocks = blocks.select("__pid", *group, "__first",
                            F.coalesce(F.sum("__cnt").over(w), F.lit(0)).alias("__before"))
-    joined = part.join(blocks, ["__pid", *group], "inner")
+    # Groups may be null: every row is numbered.
+    blocks = blocks.select(*[F.col(c).alias(f"__g_{c}") for c in ["__pid", *group]], "__first", "__before")
+    same = [part[c].eqNullSafe(blocks[f"__g_{c}"]) for c in ["__pid", *group]]
+    joined = part.join(blocks, same, "inner").drop(*[f"__g_{c}" for c in ["__pid", *group]])
     return (joined.withColumn(out, F.col("__mid") - F.col("__first") + 1 + F.col("__before"))
             .drop("__pid", "__mid", "__first", "__before", *names))
 
 
 def group_sizes_col(df: DataFrame, group: list[str], out: str = "group_n") -> DataFrame:
-    """Attach the group size by an aggregate + join (no group in one task)."""
-    sizes = df.groupBy(*group).agg(F.count("*").alias(out))
-    return df.join(sizes, group, "inner")
+    """Attach the group size by an aggregate + join (no group in one task);
+    rows of a null group count as one group."""
+    sizes = df.groupBy(*group).agg(F.count("*").alias(out)).withColumnsRenamed({c: f"__g_{c}" for c in group})
+    same = [df[c].eqNullSafe(sizes[f"__g_{c}"]) for c in group]
+    return df.join(sizes, same, "inner").drop(*[f"__g_{c}" for c in group])
 
 
 def stratified_split(df: DataFrame, stratum: str, test_size: float = 0.2, key: str = "id",

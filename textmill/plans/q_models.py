@@ -19,10 +19,10 @@ from textmill.operators import selection as SL
 from textmill.operators import valence as VL
 from textmill.operators import windows as WN
 from textmill.operators.counts import lexicon_counts
-from textmill.plans import corpus
+from textmill.plans import corpus, q_relational  # noqa: F401 (its oracles are used again below)
 from textmill.plans import sqlparts as S
 from textmill.plans.q_vectors import EXPLICIT_SQL, explicit_vectors
-from textmill.plans.registry import query
+from textmill.plans.registry import ORACLES, query
 from textmill.session import ensure_checkpoint_dir
 from textmill.sources import sinks as SK
 from textmill.sources.files import scan_features, table
@@ -405,6 +405,11 @@ def _text_data(spark, sf_dir, task: str = "task1", k: int = 3):
     return WN.stratified_folds(model, "label", k)
 
 
+def _train_rows(data, k: int = 3) -> int:
+    """Rows of a training part; penalties are per row."""
+    return max(1, data.count() * (k - 1) // k)
+
+
 def _cv_report(pipe, data):
     pred = MD.cv_predict(pipe, data, "fold")
     return M.classification_report(pred)
@@ -419,7 +424,7 @@ def assemble_pipeline(spark, sf_dir):
     """Text branch (character n-gram counts) + pass-through numeric branch
     -> classifier; out-of-fold report."""
     data = _text_data(spark, sf_dir).withColumn("n_chars", F.length("text").cast("double"))
-    pipe = Pipeline(stages=_stages(numeric=["n_chars"]) + [MD.fit_lr(C=1.0, n_rows=400, max_iter=25)])
+    pipe = Pipeline(stages=_stages(numeric=["n_chars"]) + [MD.fit_lr(C=1.0, n_rows=_train_rows(data))])
     return _cv_report(pipe, data)
 
 
@@ -435,15 +440,15 @@ def fit_rf(spark, sf_dir):
 
 @query("fit_lr")
 def fit_lr(spark, sf_dir):
-    return _cv_report(Pipeline(stages=_stages(scale=True) + [MD.fit_lr(C=0.1, n_rows=400, max_iter=25)]),
-                      _text_data(spark, sf_dir))
+    data = _text_data(spark, sf_dir)
+    return _cv_report(Pipeline(stages=_stages(scale=True) + [MD.fit_lr(C=0.1, n_rows=_train_rows(data))]), data)
 
 
 @query("fit_linear_svm")
 def fit_linear_svm(spark, sf_dir):
     """Six-class style: one-vs-rest linear SVM on the four-class label."""
     data = _text_data(spark, sf_dir, "task2")
-    return _cv_report(Pipeline(stages=_stages(scale=True) + [MD.fit_linear_svm(C=0.01, n_rows=400, multiclass=True, max_iter=25)]),
+    return _cv_report(Pipeline(stages=_stages(scale=True) + [MD.fit_linear_svm(C=0.01, n_rows=_train_rows(data), multiclass=True)]),
                       data)
 
 
@@ -457,7 +462,7 @@ def fit_kernel_svm(spark, sf_dir):
         .withColumnRenamed("rff", "features")
     out = None
     for f in range(3):
-        m = MD.fit_kernel_svm(C=1.0, n_rows=400, max_iter=25).fit(rff.where(F.col("fold") != f))
+        m = MD.fit_kernel_svm(C=1.0, n_rows=_train_rows(data)).fit(rff.where(F.col("fold") != f))
         p = m.transform(rff.where(F.col("fold") == f)).select("id", "label", "prediction")
         out = p if out is None else out.unionByName(p)
     return M.classification_report(out)
@@ -540,7 +545,7 @@ def batch_score(spark, sf_dir):
     reloaded = SK.load_model(path)
     allp = MD.add_char_ngrams(corpus.posts(spark, sf_dir).select("id", "text", "split"))
     scored = MD.batch_score(reloaded, allp).join(allp.select("id", "split"), "id")
-    return SK.submission_frame(scored.where(F.col("split") == "test"), test_case=SK.SUBMISSION_TEST_CASE)
+    return SK.submission_frame(scored.where(F.col("split") == "test"), test_case=_TEST_CASE)
 
 
 @query("subset_search")
@@ -577,6 +582,7 @@ def word_clusters(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- sinks (write, read back)
+_TEST_CASE = "run"  # the constant first column of a run file
 _LEX_FEATURES_SQL = f"""SELECT id, t AS name, CAST(count(*) AS DOUBLE) AS value FROM
   (SELECT doc_id AS id, unnest({S.word_tokens(S.clean_text('text'))}) AS t FROM documents)
 WHERE list_contains({S.lit_list(_LEX_TERMS)}, t) GROUP BY id, t"""
@@ -599,35 +605,37 @@ def scan_features_q(spark, sf_dir):
     return scan_features(spark, root, "documents", "lexicon")
 
 
-@query("sink_submission", f"""SELECT '{SK.SUBMISSION_TEST_CASE}' AS test_case, printf('%06d', d.doc_id) AS id,
+@query("sink_submission", f"""SELECT '{_TEST_CASE}' AS test_case, printf('%06d', d.doc_id) AS id,
   CASE WHEN length(d.text) > 2000 THEN 'toxic' ELSE 'non-toxic' END AS prediction
 FROM documents d WHERE d.doc_id NOT IN (SELECT doc_id FROM labels)""")
 def sink_submission(spark, sf_dir):
     """Run file for the test posts, read back (all columns strings)."""
     p = corpus.posts(spark, sf_dir).where(F.col("split") == "test")
     pred = p.select("id", F.when(F.length("text") > 2000, "toxic").otherwise("non-toxic").alias("prediction"))
-    path = SK.sink_submission(pred, _scratch(spark, "runs"), "task1", "team", "1", "", test_case=SK.SUBMISSION_TEST_CASE)
+    path = SK.sink_submission(pred, _scratch(spark, "runs"), "task1", "team", "1", "", test_case=_TEST_CASE)
     return spark.read.option("sep", "\t").csv(path).toDF("test_case", "id", "prediction")
 
 
-@query("sink_submission_const", f"""SELECT '{SK.SUBMISSION_TEST_CASE}' AS test_case, printf('%06d', doc_id) AS id,
+@query("sink_submission_const", f"""SELECT '{_TEST_CASE}' AS test_case, printf('%06d', doc_id) AS id,
   'non-toxic' AS prediction FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
 def sink_submission_const(spark, sf_dir):
     p = corpus.posts(spark, sf_dir).where(F.col("split") == "test")
     pred = p.select("id", F.lit("non-toxic").alias("prediction"))
     path = _scratch(spark, "runs_const")
-    SK.sink_submission_const(pred, path, SK.SUBMISSION_TEST_CASE, sep=",")
+    SK.sink_submission_const(pred, path, _TEST_CASE, sep=",")
     return spark.read.csv(path).toDF("test_case", "id", "prediction")
 
 
-@query("sink_metrics")
+@query("sink_metrics", _metrics_row_sql())
 def sink_metrics(spark, sf_dir):
     path = _scratch(spark, "metrics")
-    SK.sink_metrics(spark, M.metrics_row(predictions(spark, sf_dir), _CLASS_NAMES, "argmax"), path)
-    return spark.read.option("sep", "\t").option("header", True).csv(path)
+    SK.sink_metrics(spark, M.metrics_row(predictions(spark, sf_dir), _CLASS_NAMES, "argmax", ""), path)
+    row = spark.read.option("sep", "\t").option("header", True).csv(path)
+    return row.select(*[R6(F.col(f"`{c}`").cast("double")).alias(c) if c not in ("method", "hyperparameters")
+                        else F.coalesce(c, F.lit("")).alias(c) for c in row.columns])
 
 
-@query("sink_split")
+@query("sink_split", "SELECT doc_id AS id, lang AS language, 'test' AS split FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def sink_split(spark, sf_dir):
     p = corpus.posts(spark, sf_dir).select("id", "language", "split")
     path = _scratch(spark, "split")
@@ -635,7 +643,7 @@ def sink_split(spark, sf_dir):
     return spark.read.parquet(path).where(F.col("split") == "test")
 
 
-@query("sink_translated")
+@query("sink_translated", ORACLES["translate_lookup"])
 def sink_translated(spark, sf_dir):
     from textmill.plans.q_relational import translated_posts
     path = _scratch(spark, "translated")
@@ -655,12 +663,13 @@ def save_model(spark, sf_dir):
     return a.join(b, "id").select("id", (F.col("p1") == F.col("p2")).alias("same"))
 
 
-@query("sink_token_vectors")
+@query("sink_token_vectors", ORACLES["scan_token_vectors"])
 def sink_token_vectors(spark, sf_dir):
     tv = J.token_vectors_from_embeddings(table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]), 8)
     path = _scratch(spark, "token_vectors")
     SK.sink_token_vectors(tv, path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).select("id", "pos", A.posexplode("vec").alias("dim", "value")).select(
+        "id", "pos", "dim", R6(F.col("value").cast("double")).alias("value"))
 
 
 @query("scan_word_vectors")
