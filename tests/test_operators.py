@@ -140,3 +140,31 @@ def test_null_strata_are_kept(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, None), (5, "b")], "id long, y string")
     assert sorted(r.id for r in W.stratified_folds(df, "y", 2).collect()) == [1, 2, 3, 4, 5]
     assert sorted(r.id for r in W.stratified_split(df, "y").collect()) == [1, 2, 3, 4, 5]
+
+
+def test_sentence_patterns_match_joined_growth(spark):
+    """Trees, self-headed roots, rings of heads, missing and null heads."""
+    heads = {0: [0, 0, 1, 1, 3, 3, 0], 1: [1, 2, 0, 0, 3], 2: [1, 0, 1], 3: [9, None, 1, 2], 4: [3, 0, 1, 2, 0]}
+    rows = [(7, s, i, h, "abc"[i % 3]) for s, hs in heads.items() for i, h in enumerate(hs)]
+    tok = spark.createDataFrame(rows, "doc_id long, sent_id long, i long, head long, code string")
+    want, g = {}, P.unigrams(tok)
+    for n in range(1, 5):
+        for r in g.collect():
+            want[tuple(r.pattern)] = want.get(tuple(r.pattern), 0) + 1
+        g = P.grow_connected_ngrams(g, tok)
+    got = {}
+    for r in P.sentence_patterns(tok, 4).collect():
+        got[tuple(r.pattern)] = got.get(tuple(r.pattern), 0) + r.cnt
+    assert got == want
+
+
+def test_connected_sets_lists_each_set_once():
+    sets = [frozenset(m) for m in P.connected_sets({0: 0, 1: 0, 2: 0, 3: 1, 4: 1, 5: 4}, 4)]
+    assert len(sets) == len(set(sets))
+
+
+def test_asked_filter_needs_its_column(spark):
+    tok = spark.createDataFrame([(1, 0, 0, 0, "a", "DET", True), (1, 0, 1, 0, "b", None, None)], "doc_id long, sent_id long, i long, head long, code string, pos string, is_stop boolean")
+    assert [r.code for r in P.eligible(tok, ["DET"], True).collect()] == ["b"]
+    with pytest.raises(Exception):
+        P.eligible(tok.drop("pos"), ["DET"]).collect()

@@ -2,10 +2,12 @@
 
 Input is a token table (doc_id, sent_id, i, form, lemma, head).  Patterns
 are connected sub-trees of the dependency tree, encoded as the sorted
-array of their tokens' codes.  Everything is joins and aggregates:
+array of their tokens' codes:
 
-* growth n-1 -> n: explode the members of each (n-1)-gram, join the tokens
-  whose head is a member, add the child, ``array_sort``, distinct;
+* plain mining: a sentence's tokens come together once, and its connected
+  sets are listed inside its row (Arrow batches), counted per sentence;
+* growth n-1 -> n (pruned mining): explode the members of each (n-1)-gram,
+  join the tokens whose head is a member, add the child, distinct;
 * counts: ``groupBy(n, pattern)`` (map-side partial aggregation);
 * score: p(pattern) >= alpha x product of the unigram probabilities;
 * maximal patterns: every proper sub-multiset of a surviving pattern
@@ -18,7 +20,11 @@ word never lands in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmill.operators.setops import pattern_subsets
@@ -89,11 +95,13 @@ def assign_cluster(tokens: DataFrame, clusters: DataFrame | None = None) -> Data
 
 # ---------------------------------------------------------------- n-grams
 def eligible(tokens: DataFrame, pos_blacklist: list[str] | None = None, filter_stopwords: bool = False) -> DataFrame:
+    """Tokens with a code; a filter that is asked for needs its column
+    (``pos``, ``is_stop``), and tokens where that is null stay."""
     t = tokens.where(F.col("code").isNotNull())
-    if pos_blacklist and "pos" in t.columns:
-        t = t.where(~F.col("pos").isin(pos_blacklist))
-    if filter_stopwords and "is_stop" in t.columns:
-        t = t.where(~F.col("is_stop"))
+    if pos_blacklist:
+        t = t.where(F.col("pos").isNull() | ~F.col("pos").isin(pos_blacklist))
+    if filter_stopwords:
+        t = t.where(~F.coalesce("is_stop", F.lit(False)))
     return t
 
 
@@ -116,14 +124,78 @@ def grow_connected_ngrams(grams: DataFrame, tok: DataFrame) -> DataFrame:
     return grown.dropDuplicates([*SENT, "gram"])
 
 
+def connected_sets(head: dict, max_n: int) -> Iterator[tuple]:
+    """Each connected set of at most ``max_n`` nodes once, given each node's
+    head.  A set is listed from its top node: every later member is a child
+    of an earlier one, and a branch that is passed over is never taken up."""
+    children = defaultdict(list)
+    for i, h in head.items():
+        if h is not None and h != i and h in head:
+            children[h].append(i)
+
+    def grow(top, members, frontier):
+        yield members
+        if len(members) < max_n:
+            for k, c in enumerate(frontier):
+                yield from grow(top, (*members, c), frontier[k + 1:] + [x for x in children.get(c, ()) if x != top])
+
+    for top in head:
+        ring, up = [top], head[top]  # a ring of heads has a top at each of its nodes
+        while up != top and up in head and len(ring) < max_n:
+            ring.append(up)
+            up = head[up]
+        other = up == top and top != min(ring)
+        for members in grow(top, (top,), children.get(top, [])):
+            if not (other and set(ring) <= set(members)):
+                yield members
+
+
+#: Counts that a task holds before it passes them on.
+HELD_COUNTS = 200_000
+
+
+def sentence_patterns(tok: DataFrame, max_n: int) -> DataFrame:
+    """(doc_id, pattern, cnt): connected n-grams (n = 1..max_n) counted within
+    documents; a document's counts of a pattern may come in several rows.
+    The tokens of a sentence (within one document's row of text) are brought
+    together once; nothing else moves."""
+    sents = tok.groupBy(*SENT).agg(F.collect_list(F.struct("i", "head", "code")).alias("t")).select("doc_id", "t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(counts):
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], ids), pa.array([k[1] for k in counts], pa.list_(pa.string())),
+                                               pa.array(list(counts.values()), pa.int64())], names=["doc_id", "pattern", "cnt"])
+
+        for batch in batches:
+            ids, counts = batch.schema.field("doc_id").type, Counter()
+            for doc, t in zip(batch.column("doc_id").to_pylist(), batch.column("t")):
+                nodes = t.values
+                position, code = nodes.field("i").to_pylist(), nodes.field("code").to_pylist()
+                of = dict(zip(position, code))
+                for members in connected_sets(dict(zip(position, nodes.field("head").to_pylist())), max_n):
+                    counts[doc, tuple(sorted([of[m] for m in members]))] += 1
+                    if len(counts) >= HELD_COUNTS:
+                        yield rows(counts)
+                        counts = Counter()
+            if counts:
+                yield rows(counts)
+
+    return sents.mapInArrow(run, f"doc_id {sents.schema['doc_id'].dataType.simpleString()}, pattern array<string>, cnt long")
+
+
 def encode(grams: DataFrame, tok: DataFrame | None = None) -> DataFrame:
     """(doc, sentence, gram, pattern): the pattern is carried by the grams."""
     return grams.select(*SENT, "gram", "pattern")
 
 
+def _occurrences(encoded: DataFrame) -> Column:
+    """One a row, or ``cnt`` where rows are counts already."""
+    return F.sum("cnt") if "cnt" in encoded.columns else F.count("*")
+
+
 def ngram_counts(encoded: DataFrame) -> DataFrame:
     """(n, pattern, cnt, p) with p = cnt / total count of length n."""
-    c = encoded.groupBy(F.size("pattern").alias("n"), "pattern").agg(F.count("*").alias("cnt"))
+    c = encoded.groupBy(F.size("pattern").alias("n"), "pattern").agg(_occurrences(encoded).alias("cnt"))
     tot = c.groupBy("n").agg(F.sum("cnt").alias("__tot"))
     return c.join(F.broadcast(tot), "n").withColumn("p", F.col("cnt") / F.col("__tot")).drop("__tot")
 
@@ -154,7 +226,7 @@ def compact_pattern_ids(patterns: DataFrame) -> DataFrame:
 
 def doc_pattern_counts(encoded: DataFrame, final_ids: DataFrame) -> DataFrame:
     """Per-document counts of the surviving patterns, with their new ids."""
-    return (encoded.join(final_ids, "pattern").groupBy("doc_id", "pid").agg(F.count("*").alias("n")))
+    return (encoded.join(final_ids, "pattern").groupBy("doc_id", "pid").agg(_occurrences(encoded).alias("n")))
 
 
 def mine_collocations(tokens: DataFrame, min_n: int, max_n: int, alpha: float, min_freq: int,
@@ -162,18 +234,9 @@ def mine_collocations(tokens: DataFrame, min_n: int, max_n: int, alpha: float, m
     """All connected n-grams for n in {1} + [max(min_n, 2), max_n], counts,
     frequency and score filter, maximal patterns, ids, document counts.
     Returns (final patterns with ids, per-document counts)."""
-    tok = cut_lineage(eligible(tokens, pos_blacklist, filter_stopwords))
-    grams = unigrams(tok)
-    levels = {1: grams}
-    for n in range(2, max_n + 1):
-        grams = cut_lineage(grow_connected_ngrams(grams, tok))
-        levels[n] = grams
-    wanted = sorted({1} | set(range(max(min_n, 2), max_n + 1)))
-    enc = None
-    for n in wanted:
-        e = encode(levels[n], tok)
-        enc = e if enc is None else enc.unionByName(e)
-    enc = cut_lineage(enc)
+    enc = cut_lineage(sentence_patterns(eligible(tokens, pos_blacklist, filter_stopwords), max_n))
+    if min_n > 2:
+        enc = enc.where((F.size("pattern") == 1) | (F.size("pattern") >= min_n))
     counts = ngram_counts(enc)
     scored = collocation_score(counts, unigram_probabilities(counts), alpha)
     kept = scored.where((F.col("cnt") >= min_freq) & (F.col("n") >= min_n) & F.col("keep"))

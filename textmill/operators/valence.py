@@ -52,24 +52,24 @@ def token_scores(tokens: Column, valence: list[tuple[str, float]], negations: li
     return F.transform(tokens, score)
 
 
-def polarity(scores: Column) -> dict[str, Column]:
-    """neg / neu / pos shares and compound, each rounded to 4 places."""
-    total = F.aggregate(scores, F.lit(0.0), lambda a, x: a + x)
-    pos_sum = F.aggregate(scores, F.lit(0.0), lambda a, x: a + F.when(x > 0, x + 1).otherwise(0.0))
-    neg_sum = F.aggregate(scores, F.lit(0.0), lambda a, x: a + F.when(x < 0, x - 1).otherwise(0.0))
-    neu = F.size(F.filter(scores, lambda x: x == 0)).cast("double")
-    denom = pos_sum + F.abs(neg_sum) + neu
-    safe = F.when(denom > 0, denom)
-    compound = total / F.sqrt(total * total + F.lit(NORMALISATION_ALPHA))
-    return {
-        "neg": F.round(F.coalesce(F.abs(neg_sum / safe), F.lit(0.0)), 4),
-        "neu": F.round(F.coalesce(F.abs(neu / safe), F.lit(0.0)), 4),
-        "pos": F.round(F.coalesce(F.abs(pos_sum / safe), F.lit(0.0)), 4),
-        "compound": F.round(compound, 4),
-    }
+def polarity(scores: Column) -> Column:
+    """Struct of neg / neu / pos shares and compound, each rounded to 4
+    places, by one pass over the scores."""
+    add = lambda a, x: F.struct((a["total"] + x).alias("total"), (a["pos"] + F.when(x > 0, x + 1).otherwise(0.0)).alias("pos"),
+                                (a["neg"] + F.when(x < 0, x - 1).otherwise(0.0)).alias("neg"), (a["neu"] + F.when(x == 0, 1.0).otherwise(0.0)).alias("neu"))
+    zero = F.struct(*[F.lit(0.0).alias(k) for k in ("total", "pos", "neg", "neu")])
+
+    def shares(s):
+        denom = s["pos"] + F.abs(s["neg"]) + s["neu"]
+        safe = F.when(denom > 0, denom)
+        part = lambda x: F.round(F.coalesce(F.abs(x / safe), F.lit(0.0)), 4) + F.lit(0.0)
+        compound = F.round(s["total"] / F.sqrt(s["total"] * s["total"] + F.lit(NORMALISATION_ALPHA)), 4) + F.lit(0.0)
+        return F.struct(part(s["neg"]).alias("neg"), part(s["neu"]).alias("neu"), part(s["pos"]).alias("pos"), compound.alias("compound"))
+
+    # the final function sees the sums once, so the scores are worked out once
+    return F.aggregate(scores, zero, add, shares)
 
 
 def valence_scores(df, tokens: str, valence, negations, boosters, key: str = "id"):
     s = token_scores(F.col(tokens), valence, negations, boosters)
-    cols = polarity(s)
-    return df.select(key, *[(c + F.lit(0.0)).alias(n) for n, c in cols.items()])
+    return df.select(key, F.inline(F.array(polarity(s))))

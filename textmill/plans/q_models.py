@@ -83,7 +83,7 @@ dw AS (SELECT doc_id, token, c / sum(c) OVER (PARTITION BY doc_id) AS w FROM dw0
 itoks AS (SELECT item_id, unnest({S.word_tokens('text')}) AS token FROM benchmark),
 iw0 AS (SELECT item_id, token, count(*) AS c FROM itoks JOIN vv USING (token) GROUP BY item_id, token),
 iw AS (SELECT item_id, token, c / sum(c) OVER (PARTITION BY item_id) AS w FROM iw0),
-dist AS (SELECT a.token AS ta, b.token AS tb, sqrt(list_sum(list_transform(list_zip(va.v, vb.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS dist
+dist AS (SELECT a.token AS ta, b.token AS tb, list_distance(va.v, vb.v) AS dist
          FROM (SELECT DISTINCT token FROM dw) a, (SELECT DISTINCT token FROM iw) b, vv va, vv vb
          WHERE va.token = a.token AND vb.token = b.token),
 imin AS (SELECT iw.item_id, dist.ta, min(dist.dist) AS m FROM iw JOIN dist ON dist.tb = iw.token GROUP BY iw.item_id, dist.ta),

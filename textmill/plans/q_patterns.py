@@ -1,7 +1,7 @@
 """Queries for dependency-pattern mining.
 
-Parameters follow the reference run (alpha 2, minimum frequency 10) with
-n up to 3, so the oracle can unroll the growth loop."""
+Parameters follow the reference run (alpha 2, minimum frequency 10, n up to
+4); the oracle unrolls the growth loop."""
 
 from __future__ import annotations
 
@@ -11,8 +11,9 @@ from textmill.operators import patterns as P
 from textmill.plans import corpus
 from textmill.plans import sqlparts as S
 from textmill.plans.registry import query
+from textmill.session import cut_lineage
 
-MIN_N, MAX_N, ALPHA, MIN_FREQ = 1, 3, 2.0, 10
+MIN_N, MAX_N, ALPHA, MIN_FREQ = 1, 4, 2.0, 10
 LABELS = sorted({lab for _, lab in corpus.PHRASES})
 
 
@@ -87,8 +88,8 @@ pp_{name} AS (SELECT pattern, product(up.p) AS pprod FROM (SELECT pattern, unnes
 
 GROWN = MERGED + """,
 g1 AS (SELECT doc_id, sent_id, [i] AS gram FROM mt),
-""" + _grow_sql("g1", "g2") + ",\n" + _grow_sql("g2", "g3") + """,
-gall AS (SELECT * FROM g1 UNION ALL SELECT * FROM g2 UNION ALL SELECT * FROM g3),
+""" + _grow_sql("g1", "g2") + ",\n" + _grow_sql("g2", "g3") + ",\n" + _grow_sql("g3", "g4") + """,
+gall AS (SELECT * FROM g1 UNION ALL SELECT * FROM g2 UNION ALL SELECT * FROM g3 UNION ALL SELECT * FROM g4),
 """ + _enc_sql("gall", "enc")
 
 SCORED = GROWN + """,
@@ -133,28 +134,18 @@ def assign_cluster(spark, sf_dir):
 
 @query("grow_connected_ngrams", f"WITH {GROWN} SELECT doc_id, CAST(len(gram) AS INTEGER) AS n, count(*) AS cnt FROM gall GROUP BY doc_id, len(gram)")
 def grow_connected_ngrams(spark, sf_dir):
-    """Connected n-grams (n = 1..3) over the dependency tree, per document."""
-    tok = P.eligible(coded_tokens(spark, sf_dir))
+    """Connected n-grams (n = 1..4) over the dependency tree, per document."""
+    tok = cut_lineage(P.eligible(coded_tokens(spark, sf_dir)))
     g = P.unigrams(tok)
-    levels = [g]
+    allg = g
     for _ in range(2, MAX_N + 1):
-        g = P.grow_connected_ngrams(g, tok)
-        levels.append(g)
-    allg = levels[0].unionByName(levels[1]).unionByName(levels[2])
+        g = cut_lineage(P.grow_connected_ngrams(g, tok))
+        allg = allg.unionByName(g)
     return allg.groupBy("doc_id", F.size("gram").cast("int").alias("n")).agg(F.count("*").alias("cnt"))
 
 
 def _counts(spark, sf_dir):
-    tok = P.eligible(coded_tokens(spark, sf_dir))
-    g = P.unigrams(tok)
-    levels = [g]
-    for _ in range(2, MAX_N + 1):
-        g = P.grow_connected_ngrams(g, tok)
-        levels.append(g)
-    enc = None
-    for lv in levels:
-        e = P.encode(lv, tok)
-        enc = e if enc is None else enc.unionByName(e)
+    enc = cut_lineage(P.sentence_patterns(P.eligible(coded_tokens(spark, sf_dir)), MAX_N))
     return enc, P.ngram_counts(enc)
 
 
@@ -261,8 +252,11 @@ k2 AS (SELECT pattern FROM s2 WHERE cnt >= {MIN_FREQ} AND keep),
 h2 AS (SELECT doc_id, sent_id, gram FROM e2 WHERE pattern IN (SELECT pattern FROM k2)),
 """ + _grow_sql("h2", "g3") + ",\n" + _enc_sql("g3", "e3") + ",\n" + _score_sql("e3", "up", "s3") + f""",
 k3 AS (SELECT pattern FROM s3 WHERE cnt >= {MIN_FREQ} AND keep),
-enc AS (SELECT * FROM e1 UNION ALL SELECT * FROM e2 UNION ALL SELECT * FROM e3),
-kept AS (SELECT pattern FROM k1 UNION SELECT pattern FROM k2 UNION SELECT pattern FROM k3),
+h3 AS (SELECT doc_id, sent_id, gram FROM e3 WHERE pattern IN (SELECT pattern FROM k3)),
+""" + _grow_sql("h3", "g4") + ",\n" + _enc_sql("g4", "e4") + ",\n" + _score_sql("e4", "up", "s4") + f""",
+k4 AS (SELECT pattern FROM s4 WHERE cnt >= {MIN_FREQ} AND keep),
+enc AS (SELECT * FROM e1 UNION ALL SELECT * FROM e2 UNION ALL SELECT * FROM e3 UNION ALL SELECT * FROM e4),
+kept AS (SELECT pattern FROM k1 UNION SELECT pattern FROM k2 UNION SELECT pattern FROM k3 UNION SELECT pattern FROM k4),
 """ + _final_sql("kept")
 
 

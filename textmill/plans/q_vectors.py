@@ -21,9 +21,12 @@ def R6(c):
 
 WINDOW = 3
 MIN_COUNT = 10
-# Fixed context words of the explicit PPMI vectors used where an exact
-# oracle is wanted (a dense slice of the PPMI matrix).
-CONTEXTS = ["and", "of", "the"]
+# Context words of the explicit PPMI vectors used where an
+# exact oracle is wanted (a slice of the PPMI matrix, as wide as the SVD's
+# vectors); function words of the corpus's four languages.
+CONTEXTS = ["the", "of", "and", "to", "in", "a", "is", "that", "it", "for", "was", "on", "with", "be", "as", "by", "this", "are", "at", "from",
+            "der", "die", "und", "den", "von", "zu", "das", "mit", "sich", "auf", "de", "la", "le", "des", "et", "les", "un", "du", "une", "pour",
+            "en", "que", "es", "el", "y", "los", "se", "del", "er", "est"]
 
 
 def _doc_tokens(spark, sf_dir):
