@@ -97,6 +97,9 @@ def assign_cluster(tokens: DataFrame, clusters: DataFrame | None = None) -> Data
 def eligible(tokens: DataFrame, pos_blacklist: list[str] | None = None, filter_stopwords: bool = False) -> DataFrame:
     """Tokens with a code; a filter that is asked for needs its column
     (``pos``, ``is_stop``), and tokens where that is null stay."""
+    missing = {c for c, asked in (("pos", pos_blacklist), ("is_stop", filter_stopwords)) if asked} - set(tokens.columns)
+    if missing:
+        raise ValueError(f"tokens have no column {sorted(missing)}")
     t = tokens.where(F.col("code").isNotNull())
     if pos_blacklist:
         t = t.where(F.col("pos").isNull() | ~F.col("pos").isin(pos_blacklist))
