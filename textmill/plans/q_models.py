@@ -70,10 +70,7 @@ def _rwmd(spark, sf_dir):
     docs = corpus.doc_tokens(spark, sf_dir).withColumnRenamed("id", "doc_id")
     items = table(spark, sf_dir, "benchmark", ["item_id", "text"]).select(
         "item_id", T.word_tokens(F.col("text")).alias("tokens"))
-    dw = NR.bow_weights(docs, "doc_id", "tokens", vecs)
-    iw = NR.bow_weights(items, "item_id", "tokens", vecs)
-    dist = NR.token_distances(dw, iw, vecs)
-    return NR.relaxed_wmd(dw, iw, dist)
+    return [NR.with_vectors(NR.bow_weights(d, k, "tokens", vecs), vecs, k) for d, k in ((docs, "doc_id"), (items, "item_id"))]
 
 
 _RWMD_SQL = EXPLICIT_SQL + f""",
@@ -97,23 +94,16 @@ rwd AS (SELECT doc_id, item_id, greatest(l_ab, l_ba) AS rwmd FROM lab JOIN lba U
 def relaxed_wmd(spark, sf_dir):
     """Relaxed word mover's distance of every document to every benchmark
     item, on the explicit PPMI word vectors."""
-    r = _rwmd(spark, sf_dir)
+    r = NR.relaxed_wmd(*_rwmd(spark, sf_dir))
     return r.select("doc_id", "item_id", R6(F.col("rwmd")).alias("rwmd"))
 
 
-def _rwmd_rounded(spark, sf_dir):
-    """Distances rounded to 9 places before the argmin: equal distances
-    summed in a different order differ in the last bits, and ties must go
-    to the smallest item id on every engine."""
-    return _rwmd(spark, sf_dir).withColumn("rwmd", F.round("rwmd", 9))
-
-
 @query("nearest_argmin", f"""WITH {_RWMD_SQL}
 SELECT doc_id, arg_min(item_id, (round(rwmd, 9), item_id)) AS item_id, round(min(round(rwmd, 9)), 6) + 0.0 AS rwmd
 FROM rwd GROUP BY doc_id""")
 def nearest_argmin(spark, sf_dir):
     """First item with the minimum distance for each document."""
-    a = NR.nearest_argmin(_rwmd_rounded(spark, sf_dir), "doc_id", "item_id", "rwmd")
+    a = NR.nearest_items(*_rwmd(spark, sf_dir))
     return a.select("doc_id", "item_id", R6(F.col("rwmd")).alias("rwmd"))
 
 
@@ -122,7 +112,7 @@ best AS (SELECT doc_id, arg_min(item_id, (round(rwmd, 9), item_id)) AS item_id F
 SELECT best.doc_id, best.item_id, CAST(length(b.text) AS BIGINT) AS item_chars FROM best JOIN benchmark b USING (item_id)""")
 def nearest_reference(spark, sf_dir):
     """Nearest reference item of each document with the item's attributes."""
-    a = NR.nearest_argmin(_rwmd_rounded(spark, sf_dir), "doc_id", "item_id", "rwmd")
+    a = NR.nearest_items(*_rwmd(spark, sf_dir))
     b = table(spark, sf_dir, "benchmark", ["item_id", "text"])
     return a.join(b, "item_id").select("doc_id", "item_id", F.length("text").cast("long").alias("item_chars"))
 
@@ -435,7 +425,7 @@ def fit_nb(spark, sf_dir):
 
 @query("fit_rf")
 def fit_rf(spark, sf_dir):
-    return _cv_report(Pipeline(stages=_stages() + [MD.fit_rf(n_trees=20, max_depth=10)]), _text_data(spark, sf_dir))
+    return _cv_report(Pipeline(stages=_stages() + [MD.fit_rf()]), _text_data(spark, sf_dir))
 
 
 @query("fit_lr")
@@ -487,7 +477,7 @@ def _leader(cv, grid):
 @query("grid_search")
 def grid_search(spark, sf_dir):
     data = _text_data(spark, sf_dir)
-    lr = MD.fit_lr(max_iter=25)
+    lr = MD.fit_lr()
     grid = _grid(lr)
     cv = MD.grid_search(Pipeline(stages=_stages(scale=True) + [lr]), grid, data)
     return spark.createDataFrame(_leader(cv, grid), "params string, score double").orderBy(F.desc("score"))
@@ -515,7 +505,7 @@ def successive_halving(spark, sf_dir):
 @query("model_search")
 def model_search(spark, sf_dir):
     data = _text_data(spark, sf_dir)
-    nb, lr, rf = MD.fit_nb(), MD.fit_lr(max_iter=25), MD.fit_rf(n_trees=10)
+    nb, lr, rf = MD.fit_nb(), MD.fit_lr(), MD.fit_rf(n_trees=10)
     cands = [("nb", Pipeline(stages=_stages() + [nb]), ParamGridBuilder().addGrid(nb.smoothing, [0.5, 1.0]).build()),
              ("lr", Pipeline(stages=_stages(scale=True) + [lr]), ParamGridBuilder().addGrid(lr.regParam, [0.01, 0.1]).build()),
              ("rf", Pipeline(stages=_stages() + [rf]), ParamGridBuilder().addGrid(rf.maxDepth, [5, 10]).build())]
@@ -560,8 +550,8 @@ def subset_search(spark, sf_dir):
 
 @query("rank_feature_subsets")
 def rank_feature_subsets(spark, sf_dir):
-    """Top 10 subsets by score (the operator's own cap)."""
-    return subset_search(spark, sf_dir).orderBy(F.desc("score"), F.col("size")).limit(10)
+    """All scored subsets, the best first."""
+    return subset_search(spark, sf_dir).orderBy(F.desc("score"), F.col("size"), F.col("subset"))
 
 
 @query("holdout_report")
@@ -577,8 +567,8 @@ def holdout_report(spark, sf_dir):
 
 @query("word_clusters")
 def word_clusters(spark, sf_dir):
-    """Batch self-organising map (8 x 8 here) over the explicit PPMI vectors."""
-    return CL.batch_som(explicit_vectors(spark, sf_dir), side=8, iterations=5)
+    """Batch self-organising map (32 x 32) over the explicit PPMI vectors."""
+    return CL.batch_som(explicit_vectors(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- sinks (write, read back)
@@ -651,7 +641,7 @@ def sink_translated(spark, sf_dir):
     return spark.read.parquet(path)
 
 
-@query("save_model")
+@query("save_model", "SELECT doc_id AS id, true AS same FROM labels")
 def save_model(spark, sf_dir):
     """Saved and reloaded model predicts the same as the fitted one."""
     data = _text_data(spark, sf_dir)
@@ -672,7 +662,7 @@ def sink_token_vectors(spark, sf_dir):
         "id", "pos", "dim", R6(F.col("value").cast("double")).alias("value"))
 
 
-@query("scan_word_vectors")
+@query("scan_word_vectors", f"WITH {EXPLICIT_SQL} SELECT token, CAST(count(*) AS INTEGER) AS dims FROM vec GROUP BY token")
 def scan_word_vectors(spark, sf_dir):
     """Load a (token, vec) word-vector table: the explicit PPMI vectors of
     the corpus written as Parquet, then read with the scanner."""
