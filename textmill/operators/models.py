@@ -179,8 +179,9 @@ def stack_predictions(pipeline: Pipeline, train: DataFrame, test: DataFrame, fol
                        F.col("prediction").cast("double").alias("value"))
 
 
-def batch_score(model: PipelineModel, df: DataFrame, key: str = "id") -> DataFrame:
-    return model.transform(df).select(key, "prediction")
+def batch_score(model: PipelineModel, df: DataFrame, carry: list[str] = (), key: str = "id") -> DataFrame:
+    """(key, prediction) and the columns ``carry`` of every row."""
+    return model.transform(df).select(key, "prediction", *carry)
 
 
 def subset_search(df: DataFrame, features: list[str], label: str = "label", fold_col: str = "fold",

@@ -23,9 +23,9 @@ from textmill.plans import corpus, q_relational  # noqa: F401 (its oracles are u
 from textmill.plans import sqlparts as S
 from textmill.plans.q_vectors import EXPLICIT_SQL, explicit_vectors
 from textmill.plans.registry import ORACLES, query
-from textmill.session import ensure_checkpoint_dir
+from textmill.session import cut_lineage, ensure_checkpoint_dir
 from textmill.sources import sinks as SK
-from textmill.sources.files import scan_features, table
+from textmill.sources.files import scan_features, spread, table
 
 
 def R6(c):
@@ -383,16 +383,47 @@ def selection_report(spark, sf_dir):
 
 # ---------------------------------------------------------------- rows-only: text models
 def _text_data(spark, sf_dir, task: str = "task1", k: int = 3):
-    p = corpus.posts(spark, sf_dir)
-    lab = p.where(F.col(task).isNotNull())
-    model = MD.add_char_ngrams(lab.select("id", "text", task), "text", 3, 4)
+    """(id, text, grams, label, fold) of the labelled posts, written once:
+    folds are made on ids and labels, n-grams last and never shuffled."""
     idx = {n: i for i, n in enumerate(sorted(set(corpus.TASK1_NAMES.values()) if task == "task1"
                                              else corpus.TASK2_NAMES))}
     lab_col = F.lit(None).cast("double")
     for n, i in idx.items():
         lab_col = F.when(F.col(task) == n, F.lit(float(i))).otherwise(lab_col)
-    model = model.withColumn("label", lab_col)
-    return WN.stratified_folds(model, "label", k)
+    lab = corpus.posts_labels(spark, sf_dir).where(F.col(task).isNotNull()).select("id", lab_col.alias("label"))
+    folds = WN.stratified_folds(lab, "label", k)
+    texts = table(spark, sf_dir, "documents", ["doc_id", "text"]).withColumnRenamed("doc_id", "id")
+    return cut_lineage(MD.add_char_ngrams(spread(texts.join(folds, "id")), "text", 3, 4))
+
+
+_NB_GRAMS_SQL = rf"""lab AS (SELECT doc_id AS id, CAST(toxic AS DOUBLE) AS label FROM labels),
+fold AS (SELECT id, label, (row_number() OVER (PARTITION BY label ORDER BY {S.phash('id')}, id) - 1) % 3 AS fold FROM lab),
+t AS (SELECT doc_id AS id, regexp_replace(lower(text), '[\s\x{{0B}}\x{{85}}\p{{Z}}][\s\x{{0B}}\x{{85}}\p{{Z}}]+', ' ', 'g') AS s FROM documents),
+g AS MATERIALIZED (SELECT id, substring(s, p, n) AS term, count(*) AS c
+      FROM t, (VALUES (3), (4)) v(n), LATERAL (SELECT unnest(range(1, length(s) - n + 2)) AS p) GROUP BY ALL)"""
+
+
+def _nb_sql(train: str, target: str) -> str:
+    """Naive Bayes predictions nb(k, id, prediction): ``train`` has the
+    (k, id, label) that model k learns from, ``target`` the (k, id) it scores."""
+    return _NB_GRAMS_SQL + f""",
+tr AS ({train}), ta AS ({target}),
+n AS (SELECT k, count(*) AS n FROM tr GROUP BY k),
+v AS MATERIALIZED (SELECT tr.k, g.term FROM tr JOIN g USING (id) JOIN n USING (k) GROUP BY tr.k, g.term, n.n HAVING count(*) >= 0.1 * n.n AND count(*) <= 0.5 * n.n),
+o AS MATERIALIZED (SELECT tr.k, tr.label, g.term, sum(g.c) AS o FROM tr JOIN g USING (id) JOIN v ON v.k = tr.k AND v.term = g.term GROUP BY ALL),
+pr AS (SELECT k, label, ln(count(*) + 1.0) - ln((SELECT n FROM n WHERE n.k = tr.k) + (SELECT count(DISTINCT label) FROM tr) * 1.0) AS prior FROM tr GROUP BY k, label),
+tc AS (SELECT k, label, sum(o) + (SELECT count(*) FROM v WHERE v.k = o.k) AS tc FROM o GROUP BY k, label),
+th AS MATERIALIZED (SELECT v.k, tc.label, v.term, ln(coalesce(o.o, 0) + 1.0) - ln(tc.tc) AS th FROM v JOIN tc ON tc.k = v.k
+       LEFT JOIN o ON o.k = v.k AND o.label = tc.label AND o.term = v.term),
+li AS (SELECT ta.k, ta.id, th.label, sum(g.c * th.th) AS li FROM ta JOIN g USING (id) JOIN th ON th.k = ta.k AND th.term = g.term GROUP BY ALL),
+nb AS (SELECT ta.k, ta.id, arg_max(pr.label, pr.prior + coalesce(li.li, 0.0)) AS prediction
+       FROM ta JOIN pr ON pr.k = ta.k LEFT JOIN li ON li.k = ta.k AND li.id = ta.id AND li.label = pr.label GROUP BY ta.k, ta.id)"""
+
+
+_CV_NB_SQL = _nb_sql("SELECT k, id, label FROM fold, (VALUES (0), (1), (2)) x(k) WHERE fold <> k", "SELECT fold AS k, id FROM fold")
+# model 3 learns from all labelled posts
+_CV_AND_FULL_NB_SQL = _nb_sql("SELECT k, id, label FROM fold, (VALUES (0), (1), (2), (3)) x(k) WHERE fold <> k",
+                              "SELECT fold AS k, id FROM fold UNION ALL SELECT 3 AS k, doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 
 
 def _train_rows(data, k: int = 3) -> int:
@@ -458,7 +489,7 @@ def fit_kernel_svm(spark, sf_dir):
     return M.classification_report(out)
 
 
-@query("cv_predict")
+@query("cv_predict", f"WITH {_CV_NB_SQL} SELECT nb.id, fold.label, nb.prediction FROM nb JOIN fold USING (id)")
 def cv_predict(spark, sf_dir):
     """Out-of-fold prediction for every labelled post (each id once)."""
     data = _text_data(spark, sf_dir)
@@ -512,7 +543,7 @@ def model_search(spark, sf_dir):
     return MD.model_search(cands, data)
 
 
-@query("stack_predictions")
+@query("stack_predictions", f"WITH {_CV_AND_FULL_NB_SQL} SELECT id, 'char_prediction' AS name, prediction AS value FROM nb")
 def stack_predictions(spark, sf_dir):
     """Character-model prediction as a feature: out-of-fold on train,
     full fit on test."""
@@ -525,7 +556,7 @@ def _scratch(spark, name):
     return f"{ensure_checkpoint_dir(spark)}/textmill-out/{name}"
 
 
-@query("batch_score")
+@query("batch_score", f"WITH {_CV_AND_FULL_NB_SQL} SELECT 'run' AS test_case, printf('%06d', id) AS id, printf('%.1f', prediction) AS prediction FROM nb WHERE k = 3")
 def batch_score(spark, sf_dir):
     """Fit, save, reload and score every post; submission rows for test."""
     train = _text_data(spark, sf_dir)
@@ -534,7 +565,7 @@ def batch_score(spark, sf_dir):
     SK.save_model(model, path)
     reloaded = SK.load_model(path)
     allp = MD.add_char_ngrams(corpus.posts(spark, sf_dir).select("id", "text", "split"))
-    scored = MD.batch_score(reloaded, allp).join(allp.select("id", "split"), "id")
+    scored = MD.batch_score(reloaded, allp, ["split"])
     return SK.submission_frame(scored.where(F.col("split") == "test"), test_case=_TEST_CASE)
 
 
