@@ -168,3 +168,28 @@ def test_asked_filter_needs_its_column(spark):
     assert [r.code for r in P.eligible(tok, ["DET"], True).collect()] == ["b"]
     with pytest.raises(ValueError):
         P.eligible(tok.drop("pos"), ["DET"])
+
+
+@pytest.mark.parametrize("block_words", [20_000, 3])
+def test_nearest_items_match_brute_force(spark, monkeypatch, block_words):
+    from textmill.operators import nearest as NR
+
+    monkeypatch.setattr(NR, "BLOCK_WORDS", block_words)
+    monkeypatch.setattr(NR, "CELLS", 4)
+    r = np.random.default_rng(3)
+    vec = {w: r.normal(size=5) for w in "abcdefgh"}
+    docs = {1: list("aabc"), 2: list("h"), 3: ["x"], 4: list("efgab"), 5: list("ab")}
+    items = {10: list("abc"), 11: list("hg"), 12: ["x"], 13: list("deeef"), 14: list("cba")}
+    vecs = spark.createDataFrame([(w, v.tolist()) for w, v in vec.items()], "token string, vec array<double>")
+    sides = [NR.with_vectors(NR.bow_weights(spark.createDataFrame(list(x.items()), f"{k} long, tokens array<string>"), k, "tokens", vecs), vecs, k)
+             for x, k in ((docs, "doc_id"), (items, "item_id"))]
+
+    def one_way(a, b):
+        a, b = ([w for w in x if w in vec] for x in (a, b))
+        return np.mean([min(np.linalg.norm(vec[x] - vec[y]) for y in b) for x in a])
+
+    want = {(d, i): max(one_way(a, b), one_way(b, a)) for d, a in docs.items() for i, b in items.items() if d != 3 and i != 12}
+    got = {(x.doc_id, x.item_id): x.rwmd for x in NR.relaxed_wmd(*sides).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    best = {x.doc_id: x.item_id for x in NR.nearest_items(*sides).collect()}
+    assert best == {d: min((round(want[d, i], 9), i) for i in items if i != 12)[1] for d in docs if d != 3}
