@@ -193,3 +193,24 @@ def test_nearest_items_match_brute_force(spark, monkeypatch, block_words):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
     best = {x.doc_id: x.item_id for x in NR.nearest_items(*sides).collect()}
     assert best == {d: min((round(want[d, i], 9), i) for i in items if i != 12)[1] for d in docs if d != 3}
+
+
+def test_counts_and_positions_inside_the_row(spark):
+    from textmill.functions import arrays as A
+    rows = {1: list("abacb"), 2: [], 3: None, 4: ["x"]}
+    df = spark.createDataFrame(list(rows.items()), "id long, tokens array<string>")
+    got = sorted((r.id, r.token, r.n) for r in A.explode_counts(df, "id", "tokens").collect())
+    assert got == [(1, "a", 2), (1, "b", 2), (1, "c", 1), (4, "x", 1)]
+    at = {r.id: {x.value: x.at for x in r.p or []} for r in df.select("id", A.value_positions("tokens").alias("p")).collect()}
+    assert at == {1: {"a": [0, 2], "b": [1, 4], "c": [3]}, 2: {}, 3: {}, 4: {"x": [0]}}
+    vocab = spark.createDataFrame([("a",), ("b",)], "token string")
+    kept = {r.id: r.kept for r in J.filter_in_vocab(df, "tokens", vocab, max_len=3).collect()}
+    assert kept == {1: ["a", "b", "a"], 2: [], 3: [], 4: []}
+
+
+def test_feature_subsets_of_long_lists(spark):
+    from textmill.operators.setops import feature_subsets
+    names = spark.createDataFrame([(f"f{i:02d}",) for i in range(40)], "name string")
+    got = feature_subsets(names, "name", min_size_from_top=2).collect()
+    assert len(got) == len({r.mask for r in got}) == 1 + 40 + 40 * 39 // 2
+    assert all(r.size == len(r.members.split(",")) for r in got)

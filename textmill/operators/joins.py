@@ -90,12 +90,15 @@ def build_vocabulary(tok: DataFrame, tokens: str, min_count: int = 10, token: st
 
 
 def token_ids(exploded: DataFrame, vocab: DataFrame, token: str = "token") -> DataFrame:
+    """Ids of the tokens in the vocabulary.  Give (key, token, n) of
+    ``explode_counts`` rather than occurrences: a frequent token then joins
+    once per document."""
     return exploded.join(vocab.select(token, "tok_id"), token, "inner")
 
 
-def sif_weights(exploded: DataFrame, token: str = "token", a: float = 1e-3) -> DataFrame:
-    """a / (a + count / total) per token."""
-    counts = exploded.groupBy(token).agg(F.count("*").alias("n"))
+def sif_weights(exploded: DataFrame, token: str = "token", a: float = 1e-3, n: str | None = None) -> DataFrame:
+    """a / (a + count / total) per token; ``n`` names the column of counted rows."""
+    counts = exploded.groupBy(token).agg((F.sum(n) if n else F.count("*")).alias("n"))
     total = counts.agg(F.sum("n").alias("__total"))
     return (counts.join(F.broadcast(total), how="inner")
             .select(token, (F.lit(a) / (F.lit(a) + F.col("n") / F.col("__total"))).alias("w")))
@@ -103,6 +106,8 @@ def sif_weights(exploded: DataFrame, token: str = "token", a: float = 1e-3) -> D
 
 def token_weights(exploded: DataFrame, weights: DataFrame, token: str = "token",
                   default: float = 1e-6) -> DataFrame:
+    """Weights of the tokens, ``default`` for the others; like ``token_ids``
+    best over counted tokens."""
     return (exploded.join(weights.select(token, "w"), token, "left")
             .withColumn("w", F.coalesce(F.col("w"), F.lit(default))))
 
@@ -117,13 +122,15 @@ def row_totals(ids: DataFrame, counts: DataFrame, key: str = "id", n: str = "n",
 def filter_in_vocab(docs: DataFrame, tokens: str, vocab: DataFrame, max_len: int | None = None,
                     key: str = "id", token: str = "token", out: str = "kept") -> DataFrame:
     """In-vocabulary tokens of each document in order (first ``max_len``).
-    Tokens are exploded with their position, semi-joined with the
-    vocabulary and re-assembled per document (a document's tokens are
+    A document sends each distinct token once, with its positions, through
+    the semi-join and is re-assembled from what is left (its tokens are
     bounded by the document, already one row)."""
-    ex = docs.select(key, A.posexplode(tokens).alias("__p", token))
+    ex = docs.select(key, A.explode(A.value_positions(tokens)).alias("__e")).select(
+        key, F.col("__e.value").alias(token), F.col("__e.at").alias("__at"))
     kept = ex.join(vocab.select(token), token, "left_semi")
-    per_doc = kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("__p", token))).alias("__s"))
-    arr = F.transform("__s", lambda s: s[token])
+    per_doc = kept.groupBy(key).agg(F.collect_list(F.struct("__at", token)).alias("__s"))
+    flat = F.flatten(F.transform("__s", lambda s: F.transform(s["__at"], lambda p: F.struct(p.alias("p"), s[token].alias("t")))))
+    arr = F.transform(F.array_sort(flat), lambda s: s["t"])
     if max_len is not None:
         arr = F.slice(arr, 1, max_len)
     per_doc = per_doc.select(key, arr.alias(out))

@@ -3,6 +3,8 @@ sinks (SURVEY 2.1, 2.3-2.5, 2.8, 2.9)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml import Pipeline
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
@@ -553,7 +555,8 @@ def stack_predictions(spark, sf_dir):
 
 
 def _scratch(spark, name):
-    return f"{ensure_checkpoint_dir(spark)}/textmill-out/{name}"
+    """A folder of this call's own."""
+    return f"{ensure_checkpoint_dir(spark)}/textmill-out/{uuid.uuid4().hex}/{name}"
 
 
 @query("batch_score", f"WITH {_CV_AND_FULL_NB_SQL} SELECT 'run' AS test_case, printf('%06d', id) AS id, printf('%.1f', prediction) AS prediction FROM nb WHERE k = 3")

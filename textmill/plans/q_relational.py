@@ -382,8 +382,8 @@ def token_ids(spark, sf_dir):
     tokens dropped (inner join)."""
     tok = corpus.doc_tokens(spark, sf_dir)
     vocab = J.build_vocabulary(tok, "tokens", min_count=10)
-    ids = J.token_ids(tok.select("id", A.explode("tokens").alias("token")), vocab)
-    return ids.groupBy("id").agg(F.count("*").alias("n_in_vocab"), F.sum("tok_id").cast("long").alias("sum_ids"))
+    ids = J.token_ids(A.explode_counts(tok, "id", "tokens"), vocab)
+    return ids.groupBy("id").agg(F.sum("n").cast("long").alias("n_in_vocab"), F.sum(F.col("n") * F.col("tok_id")).cast("long").alias("sum_ids"))
 
 
 @query("token_weights", f"""WITH {S.POSTS},
@@ -395,11 +395,10 @@ FROM toks LEFT JOIN wt USING (token) GROUP BY id""")
 def token_weights(spark, sf_dir):
     """Weight per token from the training split's frequencies
     (a / (a + count / total)); tokens without a weight get 1e-6."""
-    p = corpus.posts(spark, sf_dir)
-    tok = p.select("id", "split", A.explode(T.word_tokens(T.clean_text(F.col("text")))).alias("token"))
-    weights = J.sif_weights(tok.where(F.col("split") == "train"), "token", a=1e-3)
-    w = J.token_weights(tok, weights)
-    return w.groupBy("id").agg(F.count("*").alias("n_tokens"), R6(F.sum("w")).alias("weight_sum"))
+    tok = A.explode_counts(corpus.doc_tokens(spark, sf_dir), "id", "tokens")
+    train = J.restrict_to_keys(tok, table(spark, sf_dir, "labels", ["doc_id"]).withColumnRenamed("doc_id", "id"))
+    w = J.token_weights(tok, J.sif_weights(train, "token", a=1e-3, n="n"))
+    return w.groupBy("id").agg(F.sum("n").cast("long").alias("n_tokens"), R6(F.sum(F.col("n") * F.col("w"))).alias("weight_sum"))
 
 
 @query("translate_lookup", f"WITH {TRANSLATED} SELECT id, language, translated_text FROM tposts")
@@ -602,20 +601,18 @@ def union_languages(spark, sf_dir):
     return SO.union_splits(p.where(F.col("language") == "en"), p.where(F.col("language") == "es"))
 
 
-_TAGS_BY_SPLIT = f"""{S.SOCIAL},
-tg AS (SELECT DISTINCT split, unnest(regexp_extract_all(text, '#{S.W}+')) AS tag FROM social)"""
-
-
-@query("vocabulary_diff", f"""WITH {_TAGS_BY_SPLIT},
-a AS (SELECT tag FROM tg WHERE split = 'train' EXCEPT SELECT tag FROM tg WHERE split = 'test'),
-b AS (SELECT tag FROM tg WHERE split = 'test' EXCEPT SELECT tag FROM tg WHERE split = 'train')
-SELECT 'train_only' AS side, tag, (SELECT count(*) FROM a) AS size FROM a
-UNION ALL SELECT 'test_only', tag, (SELECT count(*) FROM b) FROM b""")
+@query("vocabulary_diff", f"""WITH {S.POSTS},
+w AS (SELECT DISTINCT split, unnest({S.word_tokens(S.clean_text('text'))}) AS token FROM posts),
+a AS (SELECT token FROM w WHERE split = 'train' EXCEPT SELECT token FROM w WHERE split = 'test'),
+b AS (SELECT token FROM w WHERE split = 'test' EXCEPT SELECT token FROM w WHERE split = 'train')
+SELECT 'train_only' AS side, token, (SELECT count(*) FROM a) AS size FROM a
+UNION ALL SELECT 'test_only', token, (SELECT count(*) FROM b) FROM b""")
 def vocabulary_diff(spark, sf_dir):
-    s = corpus.social(spark, sf_dir)
-    tags = s.select("split", A.explode(T.extract_hashtags(F.col("text"))).alias("tag"))
-    return SO.vocabulary_diff(tags.where(F.col("split") == "train").select("tag"),
-                              tags.where(F.col("split") == "test").select("tag"), "tag")
+    """Words of the training posts only and of the test posts only."""
+    tok = corpus.doc_tokens(spark, sf_dir)
+    keys = table(spark, sf_dir, "labels", ["doc_id"]).withColumnRenamed("doc_id", "id")
+    train, test = (part.select(A.explode("tokens").alias("token")) for part in (J.restrict_to_keys(tok, keys), J.missing_keys(tok, keys)))
+    return SO.vocabulary_diff(train, test, "token")
 
 
 @query("dedupe_terms", f"""WITH {S.SOCIAL}

@@ -52,10 +52,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None
 
 
 def scan_posts(spark: SparkSession, path: str, columns: list[str] | None = None,
-               sep: str = "\t", schema: T.StructType = POST_SCHEMA) -> DataFrame:
-    """Delimited post table (header, quoted multi-line fields)."""
+               sep: str = "\t", schema: T.StructType = POST_SCHEMA, multi_line: bool = False) -> DataFrame:
+    """Delimited post table (header, quoted fields).  ``multi_line`` reads
+    fields with line ends, but then a file is one task whatever its size."""
     df = (spark.read.schema(schema)
-          .option("header", True).option("sep", sep).option("multiLine", True)
+          .option("header", True).option("sep", sep).option("multiLine", multi_line)
           .option("quote", '"').option("escape", '"').option("enforceSchema", False)
           .csv(path))
     return df.select(*columns) if columns else df
@@ -79,9 +80,11 @@ def scan_lexicon(spark: SparkSession, path: str, sep: str = "\t", skip_comments:
     return terms
 
 
-def scan_reference_items(spark: SparkSession, path: str, with_modifications: bool = False) -> DataFrame:
+def scan_reference_items(spark: SparkSession, path: str, with_modifications: bool = False,
+                         multi_line: bool = False) -> DataFrame:
+    """Reference items, originals only unless modifications are asked for."""
     df = (spark.read.schema(REFERENCE_ITEM_SCHEMA).option("header", True)
-          .option("multiLine", True).option("escape", '"').csv(path))
+          .option("multiLine", multi_line).option("escape", '"').csv(path))
     return df if with_modifications else df.where(F.col("of_id") == -1)
 
 
