@@ -12,12 +12,14 @@ import random
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import inheritable_thread_target
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (LinearSVC, LogisticRegression, NaiveBayes, OneVsRest,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import CountVectorizer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import CountVectorizer, StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param.shared import HasInputCol, HasLabelCol, HasOutputCol, Param, Params, TypeConverters
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,16 +27,43 @@ from pyspark.sql import types as T
 
 from textmill.functions.hashing import phash
 from textmill.functions.text import char_ngrams
+from textmill.operators.metrics import f1_binary
 
 MAX_TREE_DEPTH = 30  # Spark's limit
 
 
+class NaiveBayesSelector(Estimator, HasInputCol, HasOutputCol, HasLabelCol):
+    """Pipeline stage that keeps the features whose naive Bayes score, the sum
+    over classes of |log p(feature | class)|, is at least ``threshold``
+    ("mean", "median" or a number).  Fitted, it is a ``VectorSlicer``."""
+
+    threshold = Param(Params._dummy(), "threshold", "mean, median or a number", TypeConverters.identity)
+
+    def __init__(self, inputCol: str = "counts", outputCol: str = "chosen", labelCol: str = "label", threshold="mean"):
+        super().__init__()
+        self._setDefault(labelCol="label", threshold="mean")
+        self._set(inputCol=inputCol, outputCol=outputCol, labelCol=labelCol, threshold=threshold)
+
+    def _fit(self, dataset: DataFrame) -> VectorSlicer:
+        nb = NaiveBayes(featuresCol=self.getInputCol(), labelCol=self.getLabelCol()).fit(dataset)
+        score = np.abs(nb.theta.toArray()).sum(axis=0)
+        t = self.getOrDefault(self.threshold)
+        limit = {"mean": np.mean, "median": np.median}[t](score) if isinstance(t, str) else float(t)
+        kept = np.flatnonzero(score >= limit - 1e-12 * abs(limit))
+        if not len(kept):
+            raise ValueError(f"no feature reaches the threshold {limit}")
+        return VectorSlicer(inputCol=self.getInputCol(), outputCol=self.getOutputCol(), indices=[int(i) for i in kept])
+
+
 def text_pipeline_stages(lo: int = 3, hi: int = 4, min_df: float = 0.1, max_df: float = 0.5,
-                         numeric: list[str] | None = None, scale: bool = False) -> list:
-    """Character n-gram counts (+ pass-through numeric columns) -> features.
+                         numeric: list[str] | None = None, scale: bool = False, select=None) -> list:
+    """Character n-gram counts, chosen by naive Bayes if ``select`` gives a
+    threshold (+ pass-through numeric columns) -> features.
     The n-gram array column ``grams`` is made by ``add_char_ngrams``."""
     stages = [CountVectorizer(inputCol="grams", outputCol="counts", minDF=min_df, maxDF=max_df)]
-    inputs = ["counts"] + list(numeric or [])
+    if select is not None:
+        stages.append(NaiveBayesSelector("counts", "chosen", threshold=select))
+    inputs = ["counts" if select is None else "chosen"] + list(numeric or [])
     stages.append(VectorAssembler(inputCols=inputs, outputCol="raw", handleInvalid="keep"))
     if scale:
         stages.append(StandardScaler(inputCol="raw", outputCol="features", withMean=False))
@@ -184,36 +213,35 @@ def batch_score(model: PipelineModel, df: DataFrame, carry: list[str] = (), key:
     return model.transform(df).select(key, "prediction", *carry)
 
 
-def subset_search(df: DataFrame, features: list[str], label: str = "label", fold_col: str = "fold",
-                  min_size: int = 1, mode: str = "forward",
-                  max_iter: int = 10) -> DataFrame:
-    """Score feature subsets by CV F1 (validation by the fold column).
-    ``forward``: greedy forward selection (n^2 fits at most); ``exhaustive``:
-    every subset of at least ``min_size`` members."""
+def subset_search(train: DataFrame, validation: DataFrame, features: list[str], label: str = "label",
+                  fold_col: str = "fold", key: str = "id", min_size: int = 1, n_trees: int = 50, max_depth: int = 5,
+                  positive: float = 1.0, parallelism: int = 4) -> DataFrame:
+    """(subset, size, validation, crossvalidation) of every subset of at least
+    ``min_size`` features: F1 of the positive class by a forest fitted on
+    ``train`` and scored on ``validation``, and by one cross-validated over
+    both (out-of-fold predictions pooled).  Each fit is a Spark ML job;
+    ``parallelism`` subsets run at once."""
     from itertools import combinations
-
-    data = VectorAssembler(inputCols=features, outputCol="__all", handleInvalid="keep").transform(df)
-    data = data.withColumn("label", F.col(label).cast("double")).cache()
-
-    def score(subset):
-        from pyspark.ml.feature import VectorSlicer
-        idx = [features.index(f) for f in subset]
-        pipe = Pipeline(stages=[VectorSlicer(inputCol="__all", outputCol="features", indices=idx),
-                                LogisticRegression(maxIter=max_iter)])
-        cv = CrossValidator(estimator=pipe, estimatorParamMaps=[{}], evaluator=evaluator(), foldCol=fold_col)
-        return float(cv.fit(data).avgMetrics[0])
-
-    rows = []
-    if mode == "exhaustive":
-        subsets = [list(c) for k in range(len(features), min_size - 1, -1) for c in combinations(features, k)]
-        rows = [(",".join(s), len(s), score(s)) for s in subsets]
-    else:
-        chosen, remaining = [], list(features)
-        while remaining:
-            best = max(((f, score(chosen + [f])) for f in remaining), key=lambda t: t[1])
-            chosen.append(best[0])
-            remaining.remove(best[0])
-            rows.append((",".join(chosen), len(chosen), best[1]))
-    data.unpersist()
-    out = df.sparkSession.createDataFrame(rows, "subset string, size int, score double")
-    return out.orderBy(F.desc("score"), F.col("size"))
+    from multiprocessing.pool import ThreadPool
+
+    def assembled(df):
+        v = VectorAssembler(inputCols=features, outputCol="__all", handleInvalid="keep").transform(df)
+        return v.select(key, fold_col, "__all", F.col(label).cast("double").alias("label")).cache()
+
+    train, validation = assembled(train), assembled(validation)
+    both = train.unionByName(validation)
+
+    def scored(subset):
+        pipe = Pipeline(stages=[VectorSlicer(inputCol="__all", outputCol="features", indices=[features.index(f) for f in subset]),
+                                fit_rf(n_trees, max_depth)])
+        held = f1_binary(pipe.fit(train).transform(validation), positive).first()[0]
+        crossed = f1_binary(cv_predict(pipe, both, fold_col, key), positive).first()[0]
+        return ",".join(subset), len(subset), float(held), float(crossed)
+
+    subsets = [list(c) for k in range(len(features), max(min_size, 1) - 1, -1) for c in combinations(features, k)]
+    with ThreadPool(parallelism) as pool:
+        rows = pool.map(inheritable_thread_target(scored), subsets)
+    train.unpersist()
+    validation.unpersist()
+    out = both.sparkSession.createDataFrame(rows, "subset string, size int, validation double, crossvalidation double")
+    return out.orderBy(F.desc("validation"), "size", "subset")

@@ -18,6 +18,7 @@ from textmill.operators import metrics as M
 from textmill.operators import models as MD
 from textmill.operators import nearest as NR
 from textmill.operators import selection as SL
+from textmill.operators import setops as SO
 from textmill.operators import valence as VL
 from textmill.operators import windows as WN
 from textmill.operators.counts import lexicon_counts
@@ -166,26 +167,31 @@ def predictions(spark, sf_dir):
                     (F.array_position(head, F.array_max(head)) - 1).cast("long").alias("prediction"))
 
 
-_PRED_SQL = """pr AS (SELECT vec_id AS id, CAST(label AS BIGINT) AS label,
-  CAST(list_position(list_slice(embedding, 1, 10), list_max(list_slice(embedding, 1, 10))) - 1 AS BIGINT) AS prediction FROM embeddings),
-cls AS (SELECT label AS c FROM pr UNION SELECT prediction FROM pr),
-pc AS (SELECT c, (SELECT count(*) FROM pr WHERE label = c AND prediction = c) AS tp,
-              (SELECT count(*) FROM pr WHERE label = c) AS support, (SELECT count(*) FROM pr WHERE prediction = c) AS predicted FROM cls),
+_REPORT_SQL = """cls AS (SELECT label AS c FROM res UNION SELECT prediction FROM res),
+pc AS (SELECT c, (SELECT count(*) FROM res WHERE label = c AND prediction = c) AS tp,
+              (SELECT count(*) FROM res WHERE label = c) AS support, (SELECT count(*) FROM res WHERE prediction = c) AS predicted FROM cls),
 pm AS (SELECT c, tp, support, predicted, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS p,
               CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS r FROM pc),
 pf AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f FROM pm)"""
-
-
-@query("classification_report", f"""WITH {_PRED_SQL}
+_PRED_SQL = """res AS (SELECT vec_id AS id, CAST(label AS BIGINT) AS label,
+  CAST(list_position(list_slice(embedding, 1, 10), list_max(list_slice(embedding, 1, 10))) - 1 AS BIGINT) AS prediction FROM embeddings),
+""" + _REPORT_SQL
+_REPORT_ROWS = """
 SELECT CAST(c AS VARCHAR) AS class, round(p, 6) + 0.0 AS precision, round(r, 6) + 0.0 AS recall, round(f, 6) + 0.0 AS f1, CAST(support AS BIGINT) AS support FROM pf
 UNION ALL SELECT 'accuracy', NULL, NULL, round(sum(tp) / sum(support), 6) + 0.0, CAST(sum(support) AS BIGINT) FROM pf
 UNION ALL SELECT 'macro avg', round(avg(p), 6) + 0.0, round(avg(r), 6) + 0.0, round(avg(f), 6) + 0.0, CAST(sum(support) AS BIGINT) FROM pf
 UNION ALL SELECT 'weighted avg', round(sum(p * support) / sum(support), 6) + 0.0, round(sum(r * support) / sum(support), 6) + 0.0,
-  round(sum(f * support) / sum(support), 6) + 0.0, CAST(sum(support) AS BIGINT) FROM pf""")
+  round(sum(f * support) / sum(support), 6) + 0.0, CAST(sum(support) AS BIGINT) FROM pf"""
+
+
+def _rounded_report(pred):
+    return M.classification_report(pred).select("class", *[R6(F.col(c)).alias(c) for c in ["precision", "recall", "f1"]],
+                                                F.col("support").cast("long"))
+
+
+@query("classification_report", f"WITH {_PRED_SQL}{_REPORT_ROWS}")
 def classification_report(spark, sf_dir):
-    rep = M.classification_report(predictions(spark, sf_dir))
-    return rep.select("class", *[R6(F.col(c)).alias(c) for c in ["precision", "recall", "f1"]],
-                      F.col("support").cast("long"))
+    return _rounded_report(predictions(spark, sf_dir))
 
 
 _CLASS_NAMES = {i: f"c{i}" for i in range(10)}
@@ -345,9 +351,46 @@ def _li_labelled(spark, sf_dir):
                      (F.col("l_returnflag") == "R").cast("int").alias("label"))
 
 
-@query("vif_filter")
+def _vif_sql() -> str:
+    """Variance inflation factors in closed form: the diagonal of the inverse of
+    a correlation matrix of at most four columns, as minors over the determinant."""
+    def det(cols):
+        r = lambda i, j: f"r{min(i, j)}{max(i, j)}"
+        pairs = [(i, j) for i in cols for j in cols if i < j]
+        out = "1 - (" + " + ".join(["0"] + [f"{r(*p)} * {r(*p)}" for p in pairs]) + ")"
+        for a in cols:
+            for b in cols:
+                for c in cols:
+                    if a < b < c:
+                        out += f" + 2 * {r(a, b)} * {r(b, c)} * {r(a, c)}"
+        if len(cols) == 4:
+            p, q, t, u = cols
+            out += "".join(f" + pow({r(*x)} * {r(*y)}, 2)" for x, y in (((p, q), (t, u)), ((p, t), (q, u)), ((p, u), (q, t))))
+            out += "".join(f" - 2 * {r(a, b)} * {r(b, c)} * {r(c, d)} * {r(d, a)}" for a, b, c, d in ((p, q, t, u), (p, q, u, t), (p, t, q, u)))
+        return f"({out})"
+
+    def vif(i, cols):
+        return f"({det([c for c in cols if c != i])} / {det(cols)})"
+
+    def kept(cols):
+        if len(cols) == 1:
+            return str(cols)
+        top = "greatest(" + ", ".join(vif(i, cols) for i in cols) + ")"
+        drop = " ".join(f"WHEN {vif(i, cols)} = {top} THEN {kept([c for c in cols if c != i])}" for i in cols)
+        return f"CASE WHEN {top} <= 5 THEN {cols} {drop} END"
+
+    every = list(range(len(_LI_COLS)))
+    r = ", ".join(f"corr({_LI_COLS[i]}, {_LI_COLS[j]}) AS r{i}{j}" for i in every for j in every if i < j)
+    rows = " UNION ALL ".join(f"SELECT '{c}' AS name, round({vif(i, every)}, 6) + 0.0 AS vif, list_contains(kept, {i}) AS kept FROM k"
+                              for i, c in enumerate(_LI_COLS))
+    whole = " AND ".join(f"{c} IS NOT NULL" for c in _LI_COLS)
+    return f"WITH m AS (SELECT {r} FROM lineitem WHERE {whole}), k AS (SELECT *, {kept(every)} AS kept FROM m) {rows}"
+
+
+@query("vif_filter", _vif_sql())
 def vif_filter(spark, sf_dir):
-    return SL.vif_filter(table(spark, sf_dir, "lineitem", _LI_COLS), _LI_COLS, threshold=5.0)
+    v = SL.vif_filter(table(spark, sf_dir, "lineitem", _LI_COLS), _LI_COLS, threshold=5.0)
+    return v.select("name", R6(F.col("vif")).alias("vif"), "kept")
 
 
 @query("select_by_tree_importance")
@@ -424,6 +467,9 @@ nb AS (SELECT ta.k, ta.id, arg_max(pr.label, pr.prior + coalesce(li.li, 0.0)) AS
 
 _CV_NB_SQL = _nb_sql("SELECT k, id, label FROM fold, (VALUES (0), (1), (2)) x(k) WHERE fold <> k", "SELECT fold AS k, id FROM fold")
 # model 3 learns from all labelled posts
+_HOLDOUT_SQL = f"""(SELECT *, row_number() OVER (PARTITION BY label ORDER BY {S.phash('id')}, id) > round(CAST(0.2 AS DOUBLE) * count(*) OVER (PARTITION BY label)) AS learn FROM lab)"""
+_HOLDOUT_NB_SQL = _nb_sql(f"SELECT 0 AS k, id, label FROM {_HOLDOUT_SQL} WHERE learn", f"SELECT 0 AS k, id FROM {_HOLDOUT_SQL} WHERE NOT learn")
+_NB_RESULT_SQL = ", res AS MATERIALIZED (SELECT nb.id, lab.label, nb.prediction FROM nb JOIN lab USING (id)), " + _REPORT_SQL + _REPORT_ROWS
 _CV_AND_FULL_NB_SQL = _nb_sql("SELECT k, id, label FROM fold, (VALUES (0), (1), (2), (3)) x(k) WHERE fold <> k",
                               "SELECT fold AS k, id FROM fold UNION ALL SELECT 3 AS k, doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 
@@ -444,16 +490,16 @@ def _stages(**kw):
 
 @query("assemble_pipeline")
 def assemble_pipeline(spark, sf_dir):
-    """Text branch (character n-gram counts) + pass-through numeric branch
-    -> classifier; out-of-fold report."""
+    """Text branch (character n-gram counts, chosen by naive Bayes) +
+    pass-through numeric branch -> classifier; out-of-fold report."""
     data = _text_data(spark, sf_dir).withColumn("n_chars", F.length("text").cast("double"))
-    pipe = Pipeline(stages=_stages(numeric=["n_chars"]) + [MD.fit_lr(C=1.0, n_rows=_train_rows(data))])
+    pipe = Pipeline(stages=_stages(numeric=["n_chars"], select="mean") + [MD.fit_lr(C=1.0, n_rows=_train_rows(data))])
     return _cv_report(pipe, data)
 
 
-@query("fit_nb")
+@query("fit_nb", f"WITH {_CV_NB_SQL}{_NB_RESULT_SQL}")
 def fit_nb(spark, sf_dir):
-    return _cv_report(Pipeline(stages=_stages() + [MD.fit_nb()]), _text_data(spark, sf_dir))
+    return _rounded_report(MD.cv_predict(Pipeline(stages=_stages() + [MD.fit_nb()]), _text_data(spark, sf_dir), "fold"))
 
 
 @query("fit_rf")
@@ -574,29 +620,45 @@ def batch_score(spark, sf_dir):
 
 @query("subset_search")
 def subset_search(spark, sf_dir):
-    """Greedy forward search over the booster-count features by CV F1."""
-    feats = _lexicon_features(spark, sf_dir)
+    """Every subset of at least three booster counts, by hold-out and
+    cross-validated F1."""
     names = sorted(corpus.BOOSTERS)
-    wide = feats.groupBy("id").pivot("name", names).agg(F.first("value")).na.fill(0.0)
-    data = WN.stratified_folds(_task1_labels(spark, sf_dir).join(wide, "id", "left").na.fill(0.0), "label", 3)
-    return MD.subset_search(data, names, "label", "fold", mode="forward")
-
-
-@query("rank_feature_subsets")
+    wide = J.join_features(_task1_labels(spark, sf_dir), _lexicon_features(spark, sf_dir), names).na.fill(0.0)
+    data = cut_lineage(WN.stratified_split(WN.stratified_folds(wide, "label", 5), "label", 0.2))
+    train, held = (data.where(F.col("split") == part) for part in ("train", "test"))
+    return MD.subset_search(train, held, names, min_size=3)
+
+
+@query("rank_feature_subsets", """WITH f AS (SELECT source AS name, row_number() OVER (ORDER BY source) - 1 AS bit FROM (SELECT DISTINCT source FROM documents)),
+m AS (SELECT range AS mask FROM range(CAST(pow(2, (SELECT count(*) FROM f)) AS BIGINT)) WHERE bit_count(range) >= (SELECT count(*) FROM f) - 2),
+c AS (SELECT source, count(*) AS n, sum(toxic) AS pos FROM labels JOIN documents USING (doc_id) GROUP BY source),
+s AS (SELECT m.mask, count(*) AS size, string_agg(f.name, ',' ORDER BY f.bit) AS members, sum(coalesce(c.pos, 0)) AS tp, sum(coalesce(c.n, 0)) AS predicted
+      FROM m JOIN f ON (m.mask >> f.bit) & 1 = 1 LEFT JOIN c ON c.source = f.name GROUP BY m.mask)
+SELECT mask, CAST(size AS INTEGER) AS size, members, round(2 * tp / (predicted + (SELECT sum(pos) FROM c)), 6) + 0.0 AS f1
+FROM s ORDER BY f1 DESC, mask LIMIT 10""")
 def rank_feature_subsets(spark, sf_dir):
-    """All scored subsets, the best first."""
-    return subset_search(spark, sf_dir).orderBy(F.desc("score"), F.col("size"), F.col("subset"))
-
-
-@query("holdout_report")
+    """The ten best subsets of sources by the F1 of the rule that a post of
+    these sources is toxic."""
+    posts = corpus.posts_labels(spark, sf_dir).select("id", (F.col("task1") == "toxic").cast("int").alias("y"))
+    src = table(spark, sf_dir, "documents", ["doc_id", "source"]).select(F.col("doc_id").alias("id"), F.col("source").alias("name"))
+    counts = src.join(posts, "id").groupBy("name").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
+    subsets = q_relational.feature_subsets(spark, sf_dir)
+    parts = subsets.select("*", A.explode(F.split("members", ",")).alias("name")).join(counts, "name", "left")
+    total = counts.agg(F.sum("pos").alias("all"))
+    scored = (parts.groupBy("mask", "size", "members").agg(F.sum(F.coalesce("pos", F.lit(0))).alias("tp"), F.sum(F.coalesce("n", F.lit(0))).alias("predicted"))
+              .join(F.broadcast(total), how="inner")
+              .select("mask", "size", "members", R6(2 * F.col("tp") / (F.col("predicted") + F.col("all"))).alias("f1")))
+    return SO.rank_subsets(scored, "f1", 10, "mask")
+
+
+@query("holdout_report", f"WITH {_HOLDOUT_NB_SQL}{_NB_RESULT_SQL}")
 def holdout_report(spark, sf_dir):
     """Fit on train minus validation (stratified 20 % hold-out), report on
     the validation part."""
     data = _text_data(spark, sf_dir)
     split = WN.stratified_split(data.drop("fold"), "label", 0.2)
     model = Pipeline(stages=_stages() + [MD.fit_nb()]).fit(split.where(F.col("split") == "train"))
-    pred = model.transform(split.where(F.col("split") == "test"))
-    return M.classification_report(pred)
+    return _rounded_report(model.transform(split.where(F.col("split") == "test")))
 
 
 @query("word_clusters")
