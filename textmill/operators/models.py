@@ -60,7 +60,9 @@ def text_pipeline_stages(lo: int = 3, hi: int = 4, min_df: float = 0.1, max_df:
     """Character n-gram counts, chosen by naive Bayes if ``select`` gives a
     threshold (+ pass-through numeric columns) -> features.
     The n-gram array column ``grams`` is made by ``add_char_ngrams``."""
-    stages = [CountVectorizer(inputCol="grams", outputCol="counts", minDF=min_df, maxDF=max_df)]
+    # Spark takes 1.0 as one document; a share of 1.0 is no bound
+    top = float(2 ** 63 - 1) if isinstance(max_df, float) and max_df == 1.0 else max_df
+    stages = [CountVectorizer(inputCol="grams", outputCol="counts", minDF=min_df, maxDF=top)]
     if select is not None:
         stages.append(NaiveBayesSelector("counts", "chosen", threshold=select))
     inputs = ["counts" if select is None else "chosen"] + list(numeric or [])
@@ -240,7 +242,7 @@ def subset_search(train: DataFrame, validation: DataFrame, features: list[str],
 
     subsets = [list(c) for k in range(len(features), max(min_size, 1) - 1, -1) for c in combinations(features, k)]
     with ThreadPool(parallelism) as pool:
-        rows = pool.map(inheritable_thread_target(scored), subsets)
+        rows = pool.map(inheritable_thread_target(both.sparkSession)(scored), subsets)
     train.unpersist()
     validation.unpersist()
     out = both.sparkSession.createDataFrame(rows, "subset string, size int, validation double, crossvalidation double")
