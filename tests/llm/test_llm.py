@@ -253,6 +253,23 @@ def test_decontamination(spark):
     assert find_contamination(df, bench.limit(0)).collect() == [] and find_contamination(df.limit(0), bench).collect() == []
 
 
+def test_decontamination_of_short_items(spark):
+    r = random.Random(12)
+    words = [f"w{k}" for k in range(3000)]
+    sentence = lambda n: [r.choice(words) for _ in range(n)]
+    items = [sentence(n) for n in (3, 4, 5, 6, 7)]
+    bench = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)] + [(8, "the of"), (9, "the"), (10, "")], "item_id long, text string")
+    docs, hit = [" ".join(sentence(100) + ["the", "of"] * 20) for _ in range(40)], set()
+    for k, item in enumerate(items):
+        docs.append(" ".join(sentence(50) + [w.title() + "?" for w in item] + sentence(50)))
+        hit.add((len(docs) - 1, k, 1.0, 50, 50 + len(item)))
+        docs.append(" ".join(sentence(50) + item[:-1] + ["edited"] + sentence(50)))  # not the whole item
+    docs += [" ".join(items[4][3:]), " ".join(items[4][:3])]  # an item across two documents
+    df = frame(spark, docs)
+    assert {tuple(x) for x in find_contamination(df, bench).collect()} == hit
+    assert {x["doc_id"] for x in decontaminate(df, bench).collect()} == set(range(len(docs))) - {h[0] for h in hit}
+
+
 def test_alignment_against_the_whole_table():
     r = random.Random(4)
     for _ in range(200):

@@ -27,8 +27,9 @@ from textmill.llm.common import WORD, hash128, rolling_hashes, split_words, writ
 #: Lengths of seeds: the shortest rare n-gram is taken, and no longer one that contains it.
 SEED_WORDS = (3, 4, 5)
 MAX_CHANCE = 0.5
-#: Items of fewer words are too short to tell from chance and are never matched.
-MIN_ITEM_WORDS = 8
+#: Items of fewer words are too short to align: their one seed is the whole item,
+#: if that is rare, and only all its words in a row match.
+ALIGNED_WORDS = 8
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: A match's alignment score, as a share of the item's own, is at least this.
 MIN_SCORE = 0.4
@@ -54,6 +55,7 @@ class Items:
     words: dict[str, int]
     texts: list[np.ndarray]
     seeds: dict[int, tuple] = field(default_factory=dict)
+    wholes: dict[int, tuple] = field(default_factory=dict)
     min_score: float = MIN_SCORE
 
     @classmethod
@@ -62,7 +64,7 @@ class Items:
         ids, texts = [], []
         for item, text in rows:
             own = [words.setdefault(w, len(words)) for w in normal(pa.array(re.findall(WORD, text or ""), pa.string())).to_pylist()]
-            if len(own) >= MIN_ITEM_WORDS:
+            if own:
                 ids.append(item)
                 texts.append(np.array(own, np.int32))
         return cls(ids, words, texts)
@@ -73,9 +75,13 @@ class Items:
     def choose(self, counts: np.ndarray, total: int) -> None:
         """Seeds, by the corpus's counts of the words and its number of words."""
         p = np.log(np.maximum(counts, 0.5) / max(total, 1))
-        units, found = self.units(), {n: defaultdict(list) for n in SEED_WORDS}
+        units, found, wholes = self.units(), defaultdict(lambda: defaultdict(list)), defaultdict(lambda: defaultdict(list))
         for k, text in enumerate(self.texts):
             before, taken = np.concatenate([[0], np.cumsum(p[text])]), np.zeros(len(text) + 1, bool)
+            if len(text) < ALIGNED_WORDS:
+                if np.log(max(total, 1)) + before[-1] < np.log(MAX_CHANCE):
+                    wholes[len(text)][int(rolling_hashes(units[text], len(text))[0])].append((k, 0))
+                continue
             for n in SEED_WORDS:
                 if len(text) < n:
                     continue
@@ -87,7 +93,7 @@ class Items:
                     found[n][int(keys[q])].append((k, q))
                 taken = np.zeros(len(text) + 1, bool)
                 taken[: len(covered)] = covered
-        self.seeds = {n: (np.array(sorted(f), np.uint64), dict(f)) for n, f in found.items() if f}
+        self.seeds, self.wholes = ({n: (np.array(sorted(f), np.uint64), dict(f)) for n, f in some.items() if f} for some in (found, wholes))
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
@@ -117,24 +123,34 @@ def matches(items: Items, units: np.ndarray, offsets: np.ndarray, text: np.ndarr
     """(document, item, score, start, end) of the passages of documents given
     as numbers of the items' words (-1: none of them)."""
     known = np.concatenate([[0], np.cumsum(text >= 0)])
-    spans = defaultdict(list)
-    for n, (keys, places) in items.seeds.items():
-        if len(text) < n:
-            continue
-        at = np.flatnonzero(known[n:] - known[:-n] == n)
-        got = rolling_hashes(units[text], n)[at]
-        near = np.minimum(np.searchsorted(keys, got), len(keys) - 1)
-        hit = keys[near] == got
-        at, got = at[hit], got[hit]
-        document = np.searchsorted(offsets, at, side="right") - 1
-        inside = at + n <= offsets[document + 1]
-        for p, key, d in zip(at[inside].tolist(), got[inside].tolist(), document[inside].tolist()):
-            first, last = int(offsets[d]), int(offsets[d + 1])
-            for k, q in places[key]:
-                size = len(items.texts[k])
-                slack = size // 2 + 2
-                spans[d, k].append((max(first, p - q - slack), min(last, p - q + size + slack)))
+
+    def hits(seeds: dict[int, tuple]) -> Iterator[tuple[int, int, int, int]]:
+        """(position, document, item, position in the item) of each seed found."""
+        for n, (keys, places) in seeds.items():
+            if len(text) < n:
+                continue
+            at = np.flatnonzero(known[n:] - known[:-n] == n)
+            got = rolling_hashes(units[text], n)[at]
+            near = np.minimum(np.searchsorted(keys, got), len(keys) - 1)
+            hit = keys[near] == got
+            at, got = at[hit], got[hit]
+            document = np.searchsorted(offsets, at, side="right") - 1
+            inside = at + n <= offsets[document + 1]
+            for p, key, d in zip(at[inside].tolist(), got[inside].tolist(), document[inside].tolist()):
+                for k, q in places[key]:
+                    yield p, d, k, q
+
     out = []
+    for p, d, k, _ in hits(items.wholes):
+        size = len(items.texts[k])
+        if np.array_equal(text[p : p + size], items.texts[k]):
+            out.append((d, k, 1.0, p - int(offsets[d]), p + size - int(offsets[d])))
+    spans = defaultdict(list)
+    for p, d, k, q in hits(items.seeds):
+        first, last = int(offsets[d]), int(offsets[d + 1])
+        size = len(items.texts[k])
+        slack = size // 2 + 2
+        spans[d, k].append((max(first, p - q - slack), min(last, p - q + size + slack)))
     for (d, k), own in spans.items():
         own.sort()
         joined = [list(own[0])]
@@ -218,7 +234,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     document that aligns with an item: words start:end, and the alignment's
     score as a share of a perfect copy's.
 
-    Null and empty texts match nothing; repeated documents and items each give
+    Items of fewer than ``ALIGNED_WORDS`` words match whole or not at all, with
+    score 1.  Null and empty texts match nothing; repeated documents and items each give
     their rows; no items or no documents give an empty table."""
     spark, out = docs.sparkSession, None
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
