@@ -1,5 +1,7 @@
 """Models, selectors and searches on small made-to-measure rows."""
 
+import inspect
+
 import numpy as np
 import pytest
 from pyspark.ml import Pipeline
@@ -8,6 +10,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
+from textmill.functions.text import char_ngrams
 from textmill.operators import models as MD
 from textmill.operators import selection as SL
 
@@ -77,6 +80,53 @@ def test_successive_halving_and_random_search(rows):
     assert len(MD.random_search(pipe, grid, rows, n_iter=2).getEstimatorParamMaps()) == 2
 
 
+def test_search_over_five_folds(rows):
+    lr = MD.fit_lr(max_iter=5)
+    pipe = Pipeline(stages=[VectorAssembler(inputCols=["a"], outputCol="features"), lr])
+    cv = MD.random_search(pipe, ParamGridBuilder().addGrid(lr.regParam, [0.01, 0.1]).build(), rows.withColumn("fold", (F.col("id") % 5).cast("int")))
+    assert cv.getNumFolds() == 5 and len(cv.avgMetrics) == 2
+
+
+def test_searches_have_the_reference_grids():
+    forest = MD.BalancedForest()
+    grid = MD.forest_grid(forest)
+    assert len(grid) == 864 and {m[forest.numTrees] for m in grid} == {50, 100, 200}
+    assert inspect.signature(MD.random_search).parameters["n_iter"].default == 100
+    pipe, grid = MD.halving_search(["a", "b"])
+    assert len(grid) == 192 and len({str(sorted((p.name, v) for p, v in m.items())) for m in grid}) == 192
+    assert pipe.getStages()[-1].getNumTrees() == 100
+
+
+def test_balanced_forest_splits_large_nodes_only(rows):
+    data = VectorAssembler(inputCols=["a", "c", "d"], outputCol="features").transform(
+        rows.withColumn("label", F.when(F.col("id") % 7 == 0, 1.0 - F.col("label")).otherwise(F.col("label"))))
+
+    def sizes(node):
+        if node.subtreeDepth() == 0:
+            return []
+        return [node.impurityStats().rawCount(), *sizes(node.leftChild()), *sizes(node.rightChild())]
+
+    found = {}
+    for least in (2, 30):
+        forest = MD.BalancedForest()
+        model = Pipeline(stages=[forest]).fit(data, {forest.minInstancesSplit: least, forest.numTrees: 5, forest.maxDepth: 6}).stages[0]
+        assert model.getNumTrees == 5 and model.transform(data).where("prediction = label").count() > 80
+        found[least] = [sizes(t.rootNode()) for t in model._java_obj.trees()]
+    assert min(min(f) for f in found[2]) < 30
+    assert [[n for n in f if n >= 30] for f in found[2]] == found[30]  # children are smaller than their node
+
+
+def test_halving_search_runs_on_texts(spark):
+    texts = ["aaa bbb", "aaa ccc", "ddd bbb", "ddd eee"] * 6
+    df = spark.createDataFrame([(i, t, float(i % 4 > 1), i // 4 % 3) for i, t in enumerate(texts)], "id long, text string, label double, fold int")
+    df = df.withColumns({f"g{lo}": F.array_distinct(char_ngrams(F.col("text"), lo, hi)) for lo, hi in ((2, 5), (3, 4))})
+    pipe, grid = MD.halving_search(["g2", "g3"])
+    pipe.getStages()[-1].setNumTrees(3)
+    some = [m for m in grid if m[pipe.getStages()[-1].maxDepth] == 5 and m[pipe.getStages()[-1].minInstancesPerNode] == 1][::9]
+    got = MD.successive_halving(pipe, [{p: v for p, v in m.items() if p.name != "numTrees"} for m in some], df, min_fraction=0.9).collect()
+    assert [sum(r["round"] == k for r in got) for k in (0, 1)] == [len(some), -(-len(some) // 3)]
+
+
 def test_selectors_find_the_telling_column(rows):
     tree = {r.name: r.selected for r in SL.select_by_tree_importance(rows, ["a", "c", "d"], "label").collect()}
     assert tree == {"a": True, "c": False, "d": False}

@@ -12,10 +12,11 @@ import random
 
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
+from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (LinearSVC, LogisticRegression, NaiveBayes, OneVsRest,
-                                       RandomForestClassifier)
+                                       RandomForestClassificationModel, RandomForestClassifier,
+                                       _ProbabilisticClassifierParams, _RandomForestClassifierParams)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import CountVectorizer, StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -30,6 +31,8 @@ from textmill.functions.text import char_ngrams
 from textmill.operators.metrics import f1_binary
 
 MAX_TREE_DEPTH = 30  # Spark's limit
+ALL_TERMS = 2 ** 31 - 1  # a vocabulary without a bound
+NO_MAX_DF = float(2 ** 63 - 1)  # Spark takes 1.0 as one document
 
 
 class NaiveBayesSelector(Estimator, HasInputCol, HasOutputCol, HasLabelCol):
@@ -55,13 +58,64 @@ class NaiveBayesSelector(Estimator, HasInputCol, HasOutputCol, HasLabelCol):
         return VectorSlicer(inputCol=self.getInputCol(), outputCol=self.getOutputCol(), indices=[int(i) for i in kept])
 
 
+class BalancedForest(Estimator, _ProbabilisticClassifierParams, _RandomForestClassifierParams):
+    """Random forest whose rows weigh rows / (classes x rows of the class), by
+    the rows it is fitted on, and whose nodes of fewer than
+    ``minInstancesSplit`` rows are leaves.  Spark has no such parameter: as a
+    node's split depends on its own rows only, such nodes are cut after the fit.
+    Fitted, it is a ``RandomForestClassificationModel``."""
+
+    minInstancesSplit = Param(Params._dummy(), "minInstancesSplit", "least rows of a node that is split", TypeConverters.toInt)
+
+    def __init__(self, seed: int = 42):
+        super().__init__()
+        self._setDefault(minInstancesSplit=2)
+        self._set(seed=seed)
+
+    def _fit(self, dataset: DataFrame) -> RandomForestClassificationModel:
+        label = self.getLabelCol()
+        counts = {r[0]: r[1] for r in dataset.groupBy(label).count().collect()}
+        weight = F.lit(None).cast("double")
+        for value, n in counts.items():
+            weight = F.when(F.col(label) == value, sum(counts.values()) / (len(counts) * n)).otherwise(weight)
+        rf = self._copyValues(RandomForestClassifier()).setWeightCol("__weight")
+        model = rf.fit(dataset.withColumn("__weight", weight))
+        least = self.getOrDefault(self.minInstancesSplit)
+        # a node that was split has two children of minInstancesPerNode rows at least
+        if least > 2 * self.getMinInstancesPerNode():
+            model = rf._copyValues(self._cut(model, least))
+            model._transfer_params_to_java()
+        return model
+
+    @staticmethod
+    def _cut(model, least: int) -> RandomForestClassificationModel:
+        context = SparkContext._active_spark_context
+        ml = context._jvm.org.apache.spark.ml
+
+        def cut(node):
+            if node.subtreeDepth() == 0:
+                return node
+            stats = node.impurityStats()
+            if stats.rawCount() < least:
+                return ml.tree.LeafNode(node.prediction(), node.impurity(), stats)
+            return ml.tree.InternalNode(node.prediction(), node.impurity(), node.gain(), cut(node.leftChild()),
+                                        cut(node.rightChild()), node.split(), stats)
+
+        kind, old = ml.classification.DecisionTreeClassificationModel, model._java_obj
+        trees = context._gateway.new_array(kind, model.getNumTrees)
+        for k, tree in enumerate(old.trees()):
+            trees[k] = kind(tree.uid(), cut(tree.rootNode()), model.numFeatures, model.numClasses)
+        return RandomForestClassificationModel(
+            ml.classification.RandomForestClassificationModel(old.uid(), trees, model.numFeatures, model.numClasses))
+
+
 def text_pipeline_stages(lo: int = 3, hi: int = 4, min_df: float = 0.1, max_df: float = 0.5,
                          numeric: list[str] | None = None, scale: bool = False, select=None) -> list:
     """Character n-gram counts, chosen by naive Bayes if ``select`` gives a
     threshold (+ pass-through numeric columns) -> features.
     The n-gram array column ``grams`` is made by ``add_char_ngrams``."""
-    # Spark takes 1.0 as one document; a share of 1.0 is no bound
-    top = float(2 ** 63 - 1) if isinstance(max_df, float) and max_df == 1.0 else max_df
+    # a share of 1.0 is no bound
+    top = NO_MAX_DF if isinstance(max_df, float) and max_df == 1.0 else max_df
     stages = [CountVectorizer(inputCol="grams", outputCol="counts", minDF=min_df, maxDF=top)]
     if select is not None:
         stages.append(NaiveBayesSelector("counts", "chosen", threshold=select))
@@ -146,15 +200,38 @@ def evaluator(metric: str = "f1"):
     return MulticlassClassificationEvaluator(metricName=metric)
 
 
+def forest_grid(forest: BalancedForest) -> list:
+    """The reference's 864 maps of its random search."""
+    return (ParamGridBuilder().addGrid(forest.numTrees, [50, 100, 200]).addGrid(forest.featureSubsetStrategy, ["auto", "sqrt"])
+            .addGrid(forest.maxDepth, [3, 5, 7, 10]).addGrid(forest.minInstancesSplit, [2, 5, 10])
+            .addGrid(forest.minInstancesPerNode, [1, 2, 4]).addGrid(forest.bootstrap, [True, False])
+            .addGrid(forest.impurity, ["gini", "entropy"]).build())
+
+
+def halving_search(gram_cols: list[str]) -> tuple[Pipeline, list]:
+    """Pipeline and 192 maps of the reference's halving search (binary n-gram
+    counts, naive Bayes selector, forests of 100); ``gram_cols`` hold the
+    distinct n-grams of each range."""
+    counts = CountVectorizer(inputCol=gram_cols[0], outputCol="counts", binary=True)
+    chosen = NaiveBayesSelector("counts", "features")
+    forest = fit_rf(100)
+    grid = (ParamGridBuilder().addGrid(counts.inputCol, gram_cols).addGrid(counts.maxDF, [NO_MAX_DF, 0.5])
+            .addGrid(counts.minDF, [0.0, 0.1]).addGrid(counts.vocabSize, [ALL_TERMS, 2000])
+            .addGrid(chosen.threshold, ["median", 1e-4, float("-inf")]).addGrid(forest.maxDepth, [5, 7])
+            .addGrid(forest.minInstancesPerNode, [1, 50]).build())
+    return Pipeline(stages=[counts, chosen, forest]), grid
+
+
 def grid_search(pipeline: Pipeline, grid: list, df: DataFrame, fold_col: str = "fold",
                 parallelism: int = 4, metric: str = "f1"):
     """Full grid with k-fold CV on the fold column; best model refitted."""
+    folds = df.agg(F.max(fold_col)).first()[0] + 1
     cv = CrossValidator(estimator=pipeline, estimatorParamMaps=grid, evaluator=evaluator(metric),
-                        foldCol=fold_col, parallelism=parallelism)
+                        numFolds=folds, foldCol=fold_col, parallelism=parallelism)
     return cv.fit(df)
 
 
-def random_search(pipeline: Pipeline, grid: list, df: DataFrame, n_iter: int, fold_col: str = "fold",
+def random_search(pipeline: Pipeline, grid: list, df: DataFrame, n_iter: int = 100, fold_col: str = "fold",
                   seed: int = 42, parallelism: int = 4):
     """``n_iter`` parameter maps drawn (seeded) from the grid, then CV."""
     rng = random.Random(seed)
@@ -179,7 +256,7 @@ def successive_halving(pipeline: Pipeline, grid: list, df: DataFrame, key: str =
         history += [(rnd, cands[i], float(s), float(frac)) for i, s in enumerate(scores)]
         if len(cands) <= 1 or frac >= 1.0:
             break
-        keep = max(1, len(cands) // factor)
+        keep = -(-len(cands) // factor)
         order = sorted(range(len(cands)), key=lambda i: -scores[i])[:keep]
         cands = [cands[i] for i in order]
         frac = min(1.0, frac * factor)
