@@ -270,6 +270,17 @@ def test_decontamination_of_short_items(spark):
     assert {x["doc_id"] for x in decontaminate(df, bench).collect()} == set(range(len(docs))) - {h[0] for h in hit}
 
 
+def test_decontamination_of_excerpts(spark):
+    r = random.Random(13)
+    words = [f"w{k}" for k in range(3000)]
+    sentence = lambda n: [r.choice(words) for _ in range(n)]
+    item = sentence(300)
+    docs = [" ".join(sentence(50) + item[100 : 100 + n] + sentence(50)) for n in (10, 25, 100)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    found = {x["doc_id"]: (x["start"], x["end"]) for x in find_contamination(frame(spark, docs), bench).collect()}
+    assert found == {1: (50, 75), 2: (50, 150)}
+
+
 def test_alignment_against_the_whole_table():
     r = random.Random(4)
     for _ in range(200):

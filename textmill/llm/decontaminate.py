@@ -33,6 +33,8 @@ ALIGNED_WORDS = 8
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: A match's alignment score, as a share of the item's own, is at least this.
 MIN_SCORE = 0.4
+#: or is that of so many matching words, whatever the item's length.
+MIN_WORDS = 20
 #: Words of a block of items, which bounds what is broadcast.
 BLOCK_WORDS = 1_000_000
 
@@ -162,7 +164,7 @@ def matches(items: Items, units: np.ndarray, offsets: np.ndarray, text: np.ndarr
         for a, b in joined:
             score, start, end = align(items.texts[k], text[a:b])
             share = score / (MATCH * len(items.texts[k]))
-            if share >= items.min_score:
+            if share >= items.min_score or score >= MATCH * MIN_WORDS:
                 out.append((d, k, share, a + start - int(offsets[d]), a + end - int(offsets[d])))
     return out
 
@@ -235,7 +237,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     score as a share of a perfect copy's.
 
     Items of fewer than ``ALIGNED_WORDS`` words match whole or not at all, with
-    score 1.  Null and empty texts match nothing; repeated documents and items each give
+    score 1; of longer ones a passage scores ``min_score`` or as much as
+    ``MIN_WORDS`` matching words.  Null and empty texts match nothing; repeated documents and items each give
     their rows; no items or no documents give an empty table."""
     spark, out = docs.sparkSession, None
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
