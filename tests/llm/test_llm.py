@@ -281,6 +281,19 @@ def test_decontamination_of_excerpts(spark):
     assert found == {1: (50, 75), 2: (50, 150)}
 
 
+def test_decontamination_seeds(spark):
+    r = random.Random(14)
+    words = [f"w{k}" for k in range(3000)]
+    sentence = lambda n: [r.choice(words) for _ in range(n)]
+    item, common = sentence(40), [r.choice("abcdefghijklmno") for _ in range(30)]
+    docs = [" ".join(r.choice("abcdefghijklmno") for _ in range(8000)) for _ in range(100)]  # no 5 of these words are rare
+    docs += [" ".join(sentence(50) + ["edited" if k % 3 == 2 else w for k, w in enumerate(item)] + sentence(50))]
+    docs += [" ".join(["x"] * 50 + common + ["x"] * 50)]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(common))], "item_id long, text string")
+    found = {(x["doc_id"], x["item_id"]) for x in find_contamination(frame(spark, docs), bench).collect()}
+    assert found == {(100, 1), (101, 2)}
+
+
 def test_alignment_against_the_whole_table():
     r = random.Random(4)
     for _ in range(200):

@@ -3,8 +3,9 @@ matches in training documents, and Smith-Waterman alignment of words scores
 each match, so that edited copies are found with exact ones.
 
 An n-gram is rare if, by the corpus's counts of its words, fewer than
-``MAX_CHANCE`` occurrences are expected by chance; the observed count plays no
-part, so an item copied into very many documents keeps its seeds.  Items go in
+``MAX_CHANCE`` occurrences are expected by chance; the n-gram's own count plays
+no part.  The words' counts include the copies, so an item copied into very many
+documents has longer seeds, up to the whole item, but keeps some.  Items go in
 blocks of bounded size, each broadcast and held against all documents; texts
 are scanned in place and never shuffled.
 """
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 from textmill.llm.common import WORD, hash128, rolling_hashes, split_words, written
 
 #: Lengths of seeds: the shortest rare n-gram is taken, and no longer one that contains it.
-SEED_WORDS = (3, 4, 5)
+#: Longer ones than these are for items that have none of these.
+SEED_WORDS = (2, 3, 4, 5)
 MAX_CHANCE = 0.5
 #: Items of fewer words are too short to align: their one seed is the whole item,
 #: if that is rare, and only all its words in a row match.
@@ -84,15 +86,17 @@ class Items:
                 if np.log(max(total, 1)) + before[-1] < np.log(MAX_CHANCE):
                     wholes[len(text)][int(rolling_hashes(units[text], len(text))[0])].append((k, 0))
                 continue
-            for n in SEED_WORDS:
-                if len(text) < n:
-                    continue
+            some = False
+            for n in range(SEED_WORDS[0], len(text) + 1):
+                if some and n > SEED_WORDS[-1]:
+                    break
                 rare = np.log(max(total, 1)) + before[n:] - before[:-n] < np.log(MAX_CHANCE)
                 covered = rare.copy()
                 covered |= taken[: len(rare)] | taken[1 : len(rare) + 1]
                 keys = rolling_hashes(units[text], n)
                 for q in np.flatnonzero(rare & ~(taken[: len(rare)] | taken[1 : len(rare) + 1])).tolist():
                     found[n][int(keys[q])].append((k, q))
+                    some = True
                 taken = np.zeros(len(text) + 1, bool)
                 taken[: len(covered)] = covered
         self.seeds, self.wholes = ({n: (np.array(sorted(f), np.uint64), dict(f)) for n, f in some.items() if f} for some in (found, wholes))
