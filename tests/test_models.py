@@ -51,6 +51,13 @@ def test_naive_bayes_selector_matches_numpy(spark):
         MD.NaiveBayesSelector(threshold=1e6).fit(df)
 
 
+def test_vocabulary_has_no_bound(spark):
+    n = 2 ** 18 + 10  # over Spark's default
+    df = spark.range(n // 10 + 1).select(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.concat_ws("-", "id", k)).alias("grams"))
+    model = MD.text_pipeline_stages(min_df=0.0, max_df=1.0)[0].fit(df)
+    assert len(model.vocabulary) == df.count() * 10
+
+
 def test_selector_inside_a_pipeline_saves(spark, tmp_path):
     texts = ["aaa bbb", "aaa ccc", "ddd bbb", "ddd eee"] * 3
     df = MD.add_char_ngrams(spark.createDataFrame([(i, t, float(i % 4 > 1)) for i, t in enumerate(texts)], "id long, text string, label double"))

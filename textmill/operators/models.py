@@ -116,7 +116,8 @@ def text_pipeline_stages(lo: int = 3, hi: int = 4, min_df: float = 0.1, max_df:
     The n-gram array column ``grams`` is made by ``add_char_ngrams``."""
     # a share of 1.0 is no bound
     top = NO_MAX_DF if isinstance(max_df, float) and max_df == 1.0 else max_df
-    stages = [CountVectorizer(inputCol="grams", outputCol="counts", minDF=min_df, maxDF=top)]
+    stages = [CountVectorizer(inputCol="grams", outputCol="counts", minDF=min_df, maxDF=top,
+                              vocabSize=ALL_TERMS)]
     if select is not None:
         stages.append(NaiveBayesSelector("counts", "chosen", threshold=select))
     inputs = ["counts" if select is None else "chosen"] + list(numeric or [])
