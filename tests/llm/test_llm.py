@@ -348,6 +348,14 @@ def test_ranker(spark):
     assert {x["score"] for x in score_quality(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_warc_id_of_two_repeated_payloads(spark):
+    a, b = "a" * 1500, "b" * 1600
+    pages = [(1, "u", a), (1, "u", b), (5, "u", a), (6, "u", b)]
+    folder, _ = warc.write_warc(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    got = Counter(tuple(r)[:2] + tuple(r)[3:] for r in warc.archived_pages(spark, folder).collect())
+    assert got == Counter([(1, 1500, "revisit", 5), (1, 1600, "revisit", 6), (5, 1500, "response", None), (6, 1600, "response", None)])
+
+
 def test_warc(spark):
     big = "é" * 800
     pages = [(k, f"http://x/{k}\r\nX: y", t) for k, t in enumerate([None, "", "small", "small", big, big, big, "é" * 300_000])] + [(5, "http://x/5", big), (None, None, big)]

@@ -87,11 +87,12 @@ def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_
     fs, root = file_system(folder)
     fs.create_dir(root, recursive=True)
     slim = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    keyed = slim.where(F.octet_length("html") >= MIN_REVISIT_BYTES).select("id", F.sha2("html", 256).alias("digest"))
+    slim = slim.withColumn("digest", F.when(F.octet_length("html") >= MIN_REVISIT_BYTES, F.sha2("html", 256)))
+    keyed = slim.where(F.col("digest").isNotNull()).select("id", "digest")
     largest = keyed.groupBy("digest").agg(F.max("id").alias("keeper"), F.min("id").alias("other")).where("keeper > other").select("digest", "keeper")
-    revisits = keyed.join(largest, "digest").where("id < keeper").groupBy("id").agg(F.max("keeper").alias("refers_to"), F.max("digest").alias("digest"))
-    # One id may stand for several payloads: a row revisits only if its own payload is the repeated one.
-    rows = slim.join(revisits, "id", "left").select("id", "url", "html", F.when(F.col("digest").isNull() | (F.octet_length("html") < MIN_REVISIT_BYTES), None).when(F.sha2("html", 256) == F.col("digest"), F.col("refers_to")).alias("refers_to"))
+    # One id may stand for several payloads, each repeated or not.
+    revisits = keyed.join(largest, "digest").where("id < keeper").groupBy("id", "digest").agg(F.max("keeper").alias("refers_to"))
+    rows = slim.join(revisits, ["id", "digest"], "left").select("id", "url", "html", "refers_to")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, out, n, size = TaskContext.get().partitionId(), None, 0, 0
