@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.llm.decontaminate import find_contamination
+from textmill.llm.importance import POLYNOMIAL, resample
 from textmill.llm.line_dedup import dedup_lines
 from textmill.llm.near_dup import near_duplicates
 from textmill.llm.pieces import encode_pieces
@@ -150,3 +151,37 @@ SELECT n.doc_id, n.n AS n_shingles, m.component_id, n.doc_id = m.component_id AS
 @query("op10_near_dedup", OP10_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB expression: crc32 of a string's bytes, by the byte-wise table."""
+    steps = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (POLYNOMIAL if value & 1 else 0)
+        steps.append(value)
+    pairs = f"list_transform(range(1, 2 * CAST(strlen({text}) AS BIGINT), 2), lambda i: CAST('0x' || substr(hex({text}), i, 2) AS BIGINT))"
+    return f"xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {pairs}), lambda c, b: xor(c >> 8, {steps}[(xor(c, b) & 255) + 1])))"
+
+
+OP11_SQL = rf"""
+WITH a AS (SELECT doc_id, true AS own, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+ UNION ALL SELECT item_id, false, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+f AS (SELECT own, doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS feature FROM a),
+c AS (SELECT own, doc_id, feature, count(*) AS c FROM f GROUP BY ALL),
+b AS (SELECT feature, {crc32_sql("feature")} % 10000 AS bucket FROM (SELECT DISTINCT feature FROM c)),
+n AS (SELECT bucket, coalesce(sum(c) FILTER (WHERE own), 0) AS s, coalesce(sum(c) FILTER (WHERE NOT own), 0) AS t FROM c JOIN b USING (feature) GROUP BY bucket),
+z AS (SELECT CAST(coalesce(sum(c) FILTER (WHERE own), 0) AS DOUBLE) AS s, CAST(coalesce(sum(c) FILTER (WHERE NOT own), 0) AS DOUBLE) AS t FROM c),
+g AS (SELECT bucket, CAST(floor(1000 * ln((CAST(n.t AS DOUBLE) + 1) * (z.s + 10000) / ((CAST(n.s AS DOUBLE) + 1) * (z.t + 10000)))) AS BIGINT) AS gain FROM n, z),
+d AS (SELECT doc_id, sum(c) AS n, sum(c * gain) AS total FROM c JOIN b USING (feature) JOIN g USING (bucket) WHERE own GROUP BY doc_id),
+x AS (SELECT a.doc_id, len(a.w) AS n_words, CAST(coalesce(d.n, 0) AS BIGINT) AS n_features, CAST(coalesce(floor(CAST(d.total AS DOUBLE) / d.n), 0) AS BIGINT) AS weight,
+ CAST('0x' || substr(sha256('7:' || a.doc_id), 1, 8) AS BIGINT) AS h FROM a LEFT JOIN d ON a.doc_id = d.doc_id WHERE a.own),
+y AS (SELECT doc_id, n_words, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM x),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM y WHERE n_words >= 20)
+SELECT y.doc_id, n_features, weight, score, CASE WHEN r.r <= (SELECT 25 * count(*) // 100 FROM r) THEN r.r END AS rank FROM y LEFT JOIN r ON y.doc_id = r.doc_id
+"""
+
+
+@query("op11_importance_resampling", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
