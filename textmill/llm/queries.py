@@ -19,6 +19,7 @@ from textmill.llm.quality_rules import quality_rules
 from textmill.llm.ranker import score_quality
 from textmill.llm.substring_dedup import dedup_substrings
 from textmill.llm.token_file import read_tokens, write_tokens
+from textmill.llm.url_templates import ALPHA, DEPTH, LITERALS, NEUTRAL, REJECT_AT, SUPPORT, WEIGHT, UrlRule, filter_urls
 from textmill.llm.warc import archived_pages, write_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -185,3 +186,37 @@ SELECT y.doc_id, n_features, weight, score, CASE WHEN r.r <= (SELECT 25 * count(
 @query("op11_importance_resampling", OP11_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: The fixed rules of the query.
+URL_RULES = [UrlRule("allow", "org", "/"), UrlRule("block", "example.org", "/es/"), UrlRule("block", "example.org", "/en/1"), UrlRule("allow", "com", "/fr/"), UrlRule("block", "com", "/de/")]
+
+
+def _op13_sql() -> str:
+    """One step of SQL for each level of the tree."""
+    rule = lambda value: "CASE " + " ".join(
+        f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{value(r)}'" for r in sorted(URL_RULES, key=lambda r: -len(r.host + r.path))) + " END"
+    alike = lambda x, of: f"(a_{of} = {of} OR {of} = 0 OR abs({x} / {of} - (a_{x} - {x}) / (a_{of} - {of})) <= sqrt(ln(2 / {ALPHA}) / 2) * (1 / sqrt({of}) + 1 / sqrt(a_{of} - {of})))"
+    purity = f"(sum(bad) + {WEIGHT}::DOUBLE * max(p)) / (sum(lab) + {WEIGHT}::DOUBLE)"
+    steps = [f"""WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+s AS (SELECT *, {rule(lambda r: r.host + r.path)} AS rule, {rule(lambda r: r.verdict)} AS said, CASE WHEN path = '' THEN [] ELSE string_split(path, '/')[2:] END AS seg FROM h),
+t0 AS (SELECT s.*, CASE said WHEN 'block' THEN 1 WHEN 'allow' THEN 0 END AS bad, '' AS node, n, p, false AS done FROM s
+ JOIN (SELECT host, count(*) AS n, (count(*) FILTER (WHERE said = 'block') + {WEIGHT}::DOUBLE * {NEUTRAL}::DOUBLE) / (count(said) + {WEIGHT}::DOUBLE) AS p FROM s GROUP BY host) USING (host))"""]
+    for k in range(1, DEPTH + 1):
+        steps.append(f"""l{k} AS (SELECT *, CASE WHEN len(seg) < {k} THEN '$' ELSE '=' || seg[{k}] END AS kid FROM t{k - 1} WHERE NOT done),
+k{k} AS (SELECT host, node, kid, max(n) AS n, max(p) AS p, count(*)::DOUBLE AS c, count(bad)::DOUBLE AS lab, coalesce(sum(bad), 0)::DOUBLE AS bad,
+ count(*) FILTER (WHERE len(seg) > {k})::DOUBLE AS on_, count(*) FILTER (WHERE regexp_matches(coalesce(seg[{k + 1}], ''), '[0-9]'))::DOUBLE AS dig FROM l{k} GROUP BY host, node, kid),
+a{k} AS (SELECT *, kid != '$' AND c >= {SUPPORT} AND c * {LITERALS} >= n AS literal FROM k{k}),
+b{k} AS (SELECT *, sum(c) OVER w AS a_c, sum(lab) OVER w AS a_lab, sum(bad) OVER w AS a_bad, sum(on_) OVER w AS a_on_, sum(dig) OVER w AS a_dig FROM a{k} WINDOW w AS (PARTITION BY host, node, literal)),
+c{k} AS (SELECT *, CASE WHEN kid = '$' THEN kid WHEN NOT literal THEN '*' WHEN a_c > c AND {alike('lab', 'c')} AND {alike('bad', 'lab')} AND {alike('on_', 'c')} AND {alike('dig', 'c')} THEN '~' ELSE kid END AS label FROM b{k}),
+d{k} AS (SELECT host, node, label, CAST(sum(c) AS BIGINT) AS n, {purity} AS p FROM c{k} GROUP BY host, node, label),
+t{k} AS (SELECT page_id, l.host, path, rule, said, seg, bad, l.node || '/' || d.label AS node, d.n, d.p, l.kid = '$' AS done FROM l{k} l
+ JOIN (SELECT host, node, kid, label FROM c{k}) x ON l.host = x.host AND l.node = x.node AND l.kid = x.kid JOIN d{k} d ON x.host = d.host AND x.node = d.node AND x.label = d.label
+ UNION ALL SELECT page_id, host, path, rule, said, seg, bad, node, n, p, done FROM t{k - 1} WHERE done)""")
+    return ",\n".join(steps) + f"\nSELECT page_id, host, path, rule, host || node AS template, coalesce(said, CASE WHEN p >= {REJECT_AT} THEN 'block' ELSE 'allow' END) AS verdict FROM t{DEPTH}"
+
+
+@query("op13_url_filters", _op13_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"), URL_RULES).drop("purity")
