@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textmill.llm.conversations import digests, repair
 from textmill.llm.decontaminate import find_contamination
 from textmill.llm.importance import POLYNOMIAL, resample
 from textmill.llm.line_dedup import dedup_lines
@@ -220,3 +221,52 @@ t{k} AS (SELECT page_id, l.host, path, rule, said, seg, bad, l.node || '/' || d.
 @query("op13_url_filters", _op13_sql())
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES).drop("purity")
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Test damage to a copy of ``conversations``, by the checksum of id and
+    turn: a twentieth of the rows each is dropped, emptied, stripped of its
+    full stops, repeated, or given the role user."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    harm = (F.crc32(F.concat(text("conv_id"), F.lit(":"), text("turn"))) % 20).alias("harm")
+    rows = turns.select("conv_id", "turn", text("role").alias("role"), text("text").alias("text"), harm).where("harm > 0")
+    text = F.when(F.col("harm") == 1, "").when(F.col("harm") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    copies = F.explode(F.when(F.col("harm") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    return rows.select("conv_id", "turn", F.when(F.col("harm") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+OP12_SQL = rf"""
+WITH RECURSIVE d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+x AS (SELECT *, {crc32_sql("key")} % 20 AS harm FROM d),
+e AS (SELECT conv_id, turn, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role, CASE harm WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+ FROM (SELECT * FROM x WHERE harm > 0 UNION ALL SELECT * FROM x WHERE harm = 3)),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k, substr(role, 1, 1) AS i FROM e),
+f AS (SELECT *, lag(i) OVER (PARTITION BY conv_id ORDER BY k) AS i0, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'duplicate'
+ WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' END AS fault FROM r),
+ins(s, t, c, a, body) AS (VALUES ('', '', 0, '', CAST([] AS VARCHAR[])), ('', 'u', 5, 'I', ['user:']), ('', 'a', 10, 'II', ['user:', 'assistant:']), ('s', 's', 0, '', []), ('s', 'u', 5, 'I', ['user:']), ('s', 'a', 10, 'II', ['user:', 'assistant:']),
+ ('u', 'u', 0, '', []), ('u', 'a', 5, 'I', ['assistant:']), ('a', 'a', 0, '', []), ('a', 'u', 5, 'I', ['user:'])),
+nxt(s, t, role) AS (VALUES ('', 'u', 'user'), ('s', 'u', 'user'), ('a', 'u', 'user'), ('u', 'a', 'assistant')),
+ops AS (SELECT conv_id, k, s, t, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS c, 'K' AS a, [role || ':' || text] AS body FROM f JOIN (SELECT s, t FROM nxt UNION ALL SELECT '', 's') ON t = i WHERE coalesce(fault, '') NOT IN ('blank', 'duplicate')
+ UNION ALL SELECT conv_id, k, s, t, CASE WHEN fault = 'truncated' THEN 6 ELSE 1 END, 'R', [nxt.role || ':' || text] FROM f, nxt WHERE coalesce(fault, '') NOT IN ('blank', 'duplicate')
+ UNION ALL SELECT conv_id, k, s, s, 2, 'D', [] FROM f, (VALUES (''), ('s'), ('u'), ('a')) AS z(s)),
+steps AS (SELECT o.conv_id, o.k, ins.s, o.t, ins.c + o.c AS c, ins.a || o.a AS a, list_concat(ins.body, o.body) AS body FROM ops o JOIN ins ON ins.t = o.s),
+best(conv_id, k, s, c, a, body) AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT), '', 0, '', CAST([] AS VARCHAR[]) FROM f
+ UNION ALL SELECT conv_id, k, t, m.c, m.a, m.body FROM (SELECT b.conv_id, n.k, n.t, arg_min({{'c': b.c + n.c, 'a': b.a || n.a, 'body': list_concat(b.body, n.body)}}, {{'c': b.c + n.c, 'a': b.a || n.a}}) AS m
+  FROM best b JOIN steps n ON n.conv_id IS NOT DISTINCT FROM b.conv_id AND n.k = b.k + 1 AND n.s = b.s GROUP BY b.conv_id, n.k, n.t)),
+z AS (SELECT b.conv_id, arg_min({{'c': b.c + ins.c, 'a': b.a || ins.a, 'body': list_concat(b.body, ins.body)}}, {{'c': b.c + ins.c, 'a': b.a || ins.a}}) AS m
+ FROM best b JOIN (SELECT conv_id, max(k) AS k FROM f GROUP BY conv_id) n ON n.conv_id IS NOT DISTINCT FROM b.conv_id AND n.k = b.k JOIN ins ON ins.s = b.s WHERE ins.t IN ('', 'a') GROUP BY b.conv_id),
+q AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+ count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE i0 || i NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+ CAST(coalesce(z.m.c, 0) AS BIGINT) AS cost, coalesce(z.m.a, '') AS audit, sha256(coalesce(array_to_string(z.m.body, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN q ON q.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+@query("op12_conversation_repair", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    found = digests(repair(damaged(turns)))
+    every = turns.select("conv_id", F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")).alias("conv")).distinct()
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.join(found, "conv", "left").select("conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
