@@ -11,7 +11,8 @@ the branch above, and a template is rejected from ``REJECT_AT`` on.
 Counts are aggregated before they move.  A node has at most ``LITERALS``
 branches of its own, so its look-up row is bounded.  Pages join the look-up
 rows, one for each node, on (host, node); a host with a third of all pages is
-a skewed partition on the pages' side alone, which adaptive execution splits.
+a skewed partition on the pages' side alone, which adaptive execution splits
+(the look-up rows are written first: it splits plain shuffles only).
 """
 
 from __future__ import annotations
@@ -104,7 +105,7 @@ def _deeper(grown: DataFrame, level: int) -> DataFrame:
     """``grown`` with the pages whose path goes on moved to their branch of ``level``."""
     kid = F.when(F.size("segments") < level, F.lit("$")).otherwise(F.concat(F.lit("="), F.get("segments", F.lit(level - 1))))
     live = grown.where(~F.col("done")).withColumn("kid", kid)
-    found = live.join(branches(live, level), ["host", "node"])
+    found = live.join(written(branches(live, level), "branches"), ["host", "node"])
     at = lambda k: F.get(F.filter("entries", lambda e: e["kid"] == k), F.lit(0))
     found = found.withColumn("entry", F.coalesce(at(F.col("kid")), at(F.lit("*"))))
     new = {"node": F.concat("node", F.lit("/"), "entry.label"), "n": F.col("entry.n"), "p": F.col("entry.p"), "done": F.col("kid") == "$"}
@@ -131,6 +132,7 @@ def filter_urls(pages: DataFrame, rules: list[UrlRule], id_col: str = "page_id",
 
     # Each host is a node of its own; a page carries its node's pages and purity.
     hosts = rows.groupBy("host").agg(F.count("*").alias("n"), _purity(F.coalesce(F.sum("bad"), F.lit(0)), F.count("bad"), F.lit(NEUTRAL)).alias("p"))
+    hosts = written(hosts, "hosts")
     grown = written(rows.join(hosts, "host").withColumn("node", F.lit("")).withColumn("done", F.lit(False)), "tree")
     for level in range(1, DEPTH + 1):
         grown = written(_deeper(grown, level), "tree")
