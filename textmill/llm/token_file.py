@@ -2,7 +2,7 @@
 batches, so that equal-length sequences and masks are read without a copy.
 
 A shard holds the tokens of a range of documents, back to back, cut into rows
-of ``length`` ids; only its last row is padded, and the mask is false there.
+of ``length`` ids; only its last row is padded, and the mask is 0 there.
 Beside it lies an Arrow file with the documents' ids, local starts and
 counts.  Ids take 16 bits where the vocabulary allows, else 32.
 """
@@ -25,13 +25,29 @@ from pyspark.sql import functions as F
 from textmill.llm.common import file_system, shared_path, split_words, written
 
 #: Ids of one row (one training sequence), rows of one record batch, and
-#: characters of one shard (a work size).
-LENGTH, BATCH_ROWS, SHARD_CHARS = 2048, 256, 8_000_000
+#: characters of one shard (a work size), which grow beyond so many shards.
+LENGTH, BATCH_ROWS, SHARD_CHARS, SHARDS = 2048, 256, 8_000_000, 65_536
 #: Entries of a worker's table of distinct words; it is emptied when full.
 TABLE_ENTRIES = 700_000
 #: Words whose letters and marks are those of ASCII and Latin-1, where Unicode
 #: normalisation changes nothing and lower case is one letter each.
 PLAIN = r"[!-~À-ÖØ-öø-ÿ]+"
+#: The pattern by which such a word falls into runs of letters, single digits
+#: and runs of other marks (fixed: that of the public tokenizers file).
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: A run that is encoded as it stands; apostrophes and < may begin more.
+PART = r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:;=-@\[-`{-~]+"
+
+# Classes of bytes: space, letter, digit, mark, odd (anything whose word the
+# library or the pattern must see as a whole).  0xC3 leads Latin-1's letters.
+_SPACE, _LETTER, _DIGIT, _MARK, _ODD = range(5)
+_CLASS = np.full(256, _ODD, np.uint8)
+_CLASS[[9, 10, 11, 12, 13, 32]] = _SPACE
+_CLASS[33:127] = _MARK
+_CLASS[[ord("'"), ord("<")]] = _ODD
+_CLASS[48:58] = _DIGIT
+_CLASS[[*range(65, 91), *range(97, 123), 0xC3]] = _LETTER
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def _byte_letters() -> dict[int, str]:
@@ -42,6 +58,53 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def split_parts(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """(offsets, parts) of whole texts, byte by byte: runs of letters in lower
+    case, single digits and runs of marks, of words of nothing else; words
+    with anything else stay whole and as they are."""
+    texts = texts.fill_null("")
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, np.int32, len(texts) + 1, 4 * texts.offset) if len(texts) else np.zeros(1, np.int32)
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data else np.zeros(0, np.uint8)
+    ends = ends - ends[0]
+    if not len(raw):
+        return np.zeros(len(ends), np.int64), pa.array([], pa.string()).dictionary_encode()
+    kind = _CLASS[raw]
+    low = np.frombuffer(raw.tobytes().translate(_LOWER), np.uint8)
+    lead = np.flatnonzero(raw[:-1] == 0xC3) + 1  # second bytes of Latin-1's letters, but for the two signs among them
+    second = raw[lead]
+    kind[lead] = np.where((second == 0x97) | (second == 0xB7), _ODD, _LETTER)
+    if len(lead):
+        low = low.copy()
+        low[lead] += np.where((second < 0x9F) & (second != 0x97), 32, 0).astype(np.uint8)
+    space = kind == _SPACE
+    first = ~space
+    first[1:] &= space[:-1]
+    first[ends[:-1][ends[:-1] < len(raw)]] = True  # a text begins a word (or is a space)
+    first &= ~space
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return np.zeros(len(ends), np.int64), pa.array([], pa.string()).dictionary_encode()
+    cut = first | (kind == _DIGIT)
+    cut[1:] |= (kind[1:] != kind[:-1]) & ~space[1:]
+    odd = np.flatnonzero(kind == _ODD)
+    if len(odd):
+        # Words with an odd byte: no cuts inside, and their own letters.
+        whole = np.unique(np.searchsorted(starts, odd, side="right") - 1)
+        step = np.zeros(len(raw) + 1, np.int8)
+        step[starts[whole]] += 1
+        step[np.append(starts, len(raw))[whole + 1]] -= 1
+        inside = np.cumsum(step[:-1], dtype=np.int8).astype(bool)
+        cut &= ~inside | first
+        low = np.where(inside, raw, low)
+    kept = ~space
+    at = np.cumsum(kept, dtype=np.int32)  # places without the spaces
+    where = np.flatnonzero(cut)
+    bounds = np.append(at[where] - 1, at[-1]).astype(np.int32)
+    parts = pa.StringArray.from_buffers(len(where), pa.py_buffer(bounds), pa.py_buffer(low[kept]))
+    return np.searchsorted(where, ends), parts.dictionary_encode()
+
+
 class WordEncoder:
     """Encodes whole texts with a tokenizers file, as
     ``Tokenizer.encode(text, add_special_tokens=False)`` does.
@@ -65,6 +128,8 @@ class WordEncoder:
             special = "|".join(regex.escape(x["content"]) for x in parts["added_tokens"])
             self.plain = regex.compile(f"(?!.*(?:{special})){PLAIN}" if special else PLAIN)
             self.letters = _byte_letters()
+            self.by_part = self.pattern.pattern == SPLIT
+            self.part = regex.compile(PART)
             self.words: dict[str, tuple] = {}
             self.parts: dict[str, tuple] = {}
 
@@ -92,6 +157,9 @@ class WordEncoder:
             self.words[word] = ids
         return ids
 
+    def _unit(self, unit: str) -> tuple:
+        return self._part(unit) if self.part.fullmatch(unit) else self.words.get(unit) or self._word(unit)
+
     def encode(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(tokens of each document, all ids back to back), ``end`` appended to each."""
         kind = np.uint32 if self.wide else np.uint16
@@ -99,19 +167,17 @@ class WordEncoder:
         if not self.by_word:
             ids = [[*e.ids, *tail] for e in self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
             return np.array([len(x) for x in ids], np.int64), np.fromiter(itertools.chain.from_iterable(ids), kind)
-        offsets, words = split_words(texts)
-        get, word = self.words.get, self._word
-        ids = [get(w) or word(w) for w in words.dictionary.to_pylist()]
+        offsets, words = split_parts(texts) if self.by_part else split_words(texts)
+        known, new = (self.parts.get, self._unit) if self.by_part else (self.words.get, self._word)
+        ids = [known(w) or new(w) for w in words.dictionary.to_pylist()]
         ids.append(tuple(tail))
-        sizes = np.array([len(x) for x in ids], np.int64)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter(itertools.chain.from_iterable(ids), kind, int(sizes.sum()))
         # One more "word" ends each document.
-        index = np.insert(np.asarray(words.indices, np.int64), offsets[1:], len(ids) - 1)
+        index = np.insert(np.asarray(words.indices, np.int32), offsets[1:], len(ids) - 1)
         ends = offsets + np.arange(len(offsets))
-        counts = sizes[index]
-        at = np.concatenate([[0], np.cumsum(counts)])
-        first = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        return np.diff(at[ends]), flat[np.repeat(first[index] - at[:-1], counts) + np.arange(at[-1])]
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat)).take(pa.array(index))
+        return np.diff(np.asarray(lists.offsets, np.int64)[ends]), lists.flatten().to_numpy()
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -130,31 +196,35 @@ class ShardWriter:
     def __init__(self, folder: str, name: str, length: int, wide: bool):
         self.fs, self.path = file_system(f"{folder}/{name}")
         self.length, self.kind = length, pa.uint32() if wide else pa.uint16()
-        self.schema = pa.schema([("ids", pa.list_(self.kind, length)), ("mask", pa.list_(pa.bool_(), length))])
+        self.schema = pa.schema([("ids", pa.list_(self.kind, length)), ("mask", pa.list_(pa.uint8(), length))])
         self.out = self.fs.open_output_stream(f"{self.path}.arrow")
         self.writer = pa.ipc.new_file(self.out, self.schema)
-        self.left = np.zeros(0, self.kind.to_pandas_dtype())
+        self.left: list[np.ndarray] = []
+        self.n_left = 0
         self.docs: list[tuple[pa.Array, np.ndarray]] = []
         self.tokens = 0
 
     def _rows(self, ids: np.ndarray, real: int) -> None:
         for k in range(0, len(ids), self.length * BATCH_ROWS):
             part = ids[k : k + self.length * BATCH_ROWS]
-            mask = np.arange(k, k + len(part)) < real
+            mask = (np.arange(k, k + len(part)) < real).astype(np.uint8)
             self.writer.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (part, mask)], schema=self.schema))
 
     def add(self, ids: pa.Array, counts: np.ndarray, tokens: np.ndarray) -> None:
         self.docs.append((ids, counts))
         self.tokens += len(tokens)
-        self.left = np.concatenate([self.left, tokens])
-        whole = len(self.left) // (self.length * BATCH_ROWS) * self.length * BATCH_ROWS
-        if whole:
-            self._rows(self.left[:whole], whole)
-            self.left = self.left[whole:]
+        self.left.append(tokens)
+        self.n_left += len(tokens)
+        per = self.length * BATCH_ROWS
+        if self.n_left >= per:
+            own = np.concatenate(self.left)
+            whole = len(own) // per * per
+            self._rows(own[:whole], whole)
+            self.left, self.n_left = [own[whole:]], len(own) - whole
 
     def close(self) -> int:
-        real = len(self.left)
-        self._rows(np.concatenate([self.left, np.zeros(-real % self.length, self.left.dtype)]), real)
+        real = self.n_left
+        self._rows(np.concatenate([*self.left, np.zeros(-real % self.length, self.kind.to_pandas_dtype())]), real)
         self.writer.close()
         self.out.close()
         counts = np.concatenate([c for _, c in self.docs]) if self.docs else np.zeros(0, np.int64)
@@ -177,10 +247,10 @@ class ShardReader:
         self.length = self.file.schema.field("ids").type.list_size
 
     def sequence(self, row: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, mask) of one row; the ids are a view."""
+        """(ids, mask) of one row, both views; the mask is 1 for ids, 0 for padding."""
         batch, at = self.file.get_batch(row // BATCH_ROWS), row % BATCH_ROWS
         cut = slice(at * self.length, (at + 1) * self.length)
-        return batch.column("ids").flatten().to_numpy()[cut], batch.column("mask").flatten().to_numpy(zero_copy_only=False)[cut]
+        return batch.column("ids").flatten().to_numpy()[cut], batch.column("mask").flatten().to_numpy()[cut]
 
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """(doc_id, local start, ids) of each document, in order."""
@@ -213,15 +283,15 @@ def write_tokens(docs: DataFrame, spec: str, end: int | None, length: int = LENG
     held = spark.sparkContext.broadcast(spec)  # a tokenizer's file: a few MB, whatever the documents
     key = xxhash.xxh3_128_hexdigest(spec)
     total = docs.agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0))).first()[0]
-    shards = max(1, -(-total // shard_chars))
+    shards = max(1, min(SHARDS, -(-total // shard_chars)))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part = encoder(key, held), TaskContext.get().partitionId()
         writer = None
         for batch in batches:
             writer = writer or ShardWriter(folder, f"part-{part:07d}-{uuid.uuid4().hex}", length, own.wide)
-            for k in range(0, batch.num_rows, 1000):
-                piece = batch.slice(k, 1000)
+            for k in range(0, batch.num_rows, 2000):
+                piece = batch.slice(k, 2000)
                 writer.add(piece.column(0), *own.encode(piece.column(1), end))
         if writer:
             n = writer.close()
@@ -231,7 +301,7 @@ def write_tokens(docs: DataFrame, spec: str, end: int | None, length: int = LENG
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange(shards, "id").sortWithinPartitions("id", "text")
     manifest = written(rows.mapInArrow(write, "part long, path string, n_docs long, n_tokens long"), "manifest")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard, at most SHARDS
     return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
