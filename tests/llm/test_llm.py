@@ -22,7 +22,7 @@ from textmill.llm.line_dedup import dedup_lines
 from textmill.llm.near_dup import DEFAULT_SPEC, near_duplicates
 from textmill.llm.pieces import ChunkTable, encode_pieces
 from textmill.llm.queries import tokenizer_file
-from textmill.llm.quality_rules import filter_quality, quality_rules, quartiles, sketches, with_counts
+from textmill.llm.quality_rules import filter_quality, habits, limits, quality_rules, sketches, with_counts
 from textmill.llm.ranker import fit, score_quality
 from textmill.llm.substring_dedup import dedup_substrings
 from textmill.llm.token_file import ShardReader, WordEncoder, read_tokens, write_tokens
@@ -31,6 +31,9 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _id int, n_units string, row string, kept int"
 
 
+SCHEMA_NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
+
+
 def rows(texts, first=0):
     return [(first + k, t, "en" if k % 3 else None, f"s{k % 2}", len(t or ""), k, "x", "y", 0) for k, t in enumerate(texts)]
 
@@ -182,6 +185,9 @@ def test_pii_base_spans_and_added_ones(spark):
         assert [(k, a, b) for a, b, k, _ in pii.scored(t) if k in pii.BASE_KINDS] == base_spans(t)
     assert [(k, s) for _, _, k, s in pii.scored("bank account GB82 WEST 1234 5698 7654 32.") if k == "iban"] == [("iban", 1.0)]
     assert not [k for _, _, k, _ in pii.scored("GB82 WEST 1234 5698 7654 33") if k == "iban"]
+    for text, span in (("my account ES91 2100 0418 4502 0005 1332 BIC XYZ", (11, 40)), ("konto de89370400440532013000, bic", (6, 28)), ("ES91 2100 0418 4502 0005 1332 Bank", (0, 29)), ("GB82 west 1234 5698 7654 32 und", (0, 27))):
+        assert [(a, b) for a, b, k, _ in pii.scored(text) if k == "iban"] == [span], text
+    assert [s for _, _, _, s in pii.scored("Kreditkarte 4111 1111 1111 1111")] == [1.0] and [s for _, _, _, s in pii.scored("4111 1111 1111 1111")] == [0.8]
     assert [k for _, _, k, _ in pii.scored("her ssn: 123-45-6789") if k == "ssn"] and not [k for _, _, k, _ in pii.scored("part 123-45-6789") if k == "ssn"]
     long = "1" * 200_000 + "a" * 200_000
     df = frame(spark, [None, "", "é x@y.z", long, "x@y.z"])
@@ -325,11 +331,40 @@ def test_quality_rules(spark, texts):
 def test_quantile_sketches_merge(spark, texts):
     counted = with_counts(frame(spark, texts * 3)).select(F.lit("en").alias("lang"), F.col("row.source").alias("source"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_same_next", "n_lines", "n_repeat_words")
     parts = sketches(counted, ["lang", "source"])
-    a = {r["rule"]: (r["n"], r["q25"], r["q75"]) for r in quartiles(parts, ["lang"]).collect()}
-    b = {r["rule"]: (r["n"], r["q25"], r["q75"]) for r in quartiles(sketches(counted, ["lang"]), ["lang"]).collect()}
+    a = {r["rule"]: tuple(r)[2:] for r in habits(parts, ["lang"]).collect()}
+    b = {r["rule"]: tuple(r)[2:] for r in habits(sketches(counted, ["lang"]), ["lang"]).collect()}
     assert a == b
-    exact = sorted(r["word_chars"] / max(r["n_words"], 1) for r in counted.collect())
-    assert a["word_length"][2] == pytest.approx(exact[-(-3 * len(exact) // 4) - 1], rel=0.011)
+    exact = sorted(x for r in counted.collect() if (x := r["word_chars"] / max(r["n_words"], 1)))
+    n, some, z, _, q75 = a["word_length"]
+    assert (n, some, z) == (3 * len(texts), len(exact), len(exact) / n)
+    assert np.exp(q75) == pytest.approx(exact[-(-3 * len(exact) // 4) - 1], rel=0.011)
+
+
+def test_quality_limits_follow_the_habits_of_a_source(spark):
+    """One text is kept where all write like that and dropped where none do."""
+    r = random.Random(8)
+    word = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    plain = lambda: " ".join(word(r.choice([4, 5, 6])) for _ in range(60))
+    odd = {
+        "symbols": lambda: " ".join(word(5) + "#*" * (k % 3 == 0) for k in range(60)),
+        "dup_lines": lambda: "\n".join(f"yes\n{word(5)} {word(5)} {word(6)}" for _ in range(30)),
+        "same_next": lambda: " ".join(f"{w} {w}" if k % 3 == 0 else w for k, w in enumerate(word(5) for _ in range(60))),
+        "word_length": lambda: " ".join(word(r.choice([8, 9, 10])) for _ in range(60)),
+    }
+    rows = [(plain(), "en", "plain") for _ in range(300)] + [(make(), "en", kind) for kind, make in odd.items() for _ in range(300)]
+    probes = [(make(), "en", source) for kind, make in odd.items() for source in ("plain", kind)]
+    df = spark.createDataFrame([(k, *x) for k, x in enumerate(rows + probes)], "doc_id long, text string, lang string, source string")
+    got = {x["doc_id"]: x for x in quality_rules(df).collect()}
+    kept = [got[len(rows) + k]["kept"] for k in range(len(probes))]
+    assert not any(got[len(rows) + k]["base_failed"] for k in range(len(probes)))
+    assert kept == [False, True] * len(odd)
+    assert sum(got[k]["kept"] for k in range(300)) >= 299
+
+
+def test_quality_limits_of_a_small_group_lean_on_its_language(spark):
+    counted = with_counts(frame(spark, ["a b# c"] * 3 + ["a b c"])).select(F.lit("en").alias("lang"), F.col("row.source").alias("source"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_same_next", "n_lines", "n_repeat_words")
+    own = {x["source"]: x for x in limits(counted).collect()}
+    assert len({x["symbols_high"] for x in own.values()}) == 2 and all(x["symbols_high"] is not None for x in own.values())
 
 
 def test_ranker(spark):
@@ -397,7 +432,8 @@ def test_words_are_split_at_ascii_white_space_only():
 
 def test_pipeline_stages(spark, tmp_path, texts):
     item = " ".join(f"q{k}" for k in range(40))
-    docs = frame(spark, [*texts, "lead in " + item + " and out of it again"]).select("doc_id", "text", "lang", "source", "n_chars")
+    docs = frame(spark, [*texts, "lead in " + item + " and out of it again"])
+    docs = docs.select(*SCHEMA_NAMES, F.lit(1).alias("a-b"), F.lit(2).alias("a b"), F.lit(3).alias("rows"), F.lit(4).alias("id"), F.lit(5).alias("text_"))
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     sf, now = str(tmp_path), docs
@@ -411,3 +447,19 @@ def test_pipeline_stages(spark, tmp_path, texts):
     left = {r["doc_id"]: r["text"] for r in now.collect()}
     assert {d: r["decoded"] for d, r in out.items()} == left
     assert all(r["n_tokens"] == len(r["ids"]) for r in out.values())
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path, texts):
+    """Null and repeated ids, no ``n_chars``, and no rows at all."""
+    good = [" ".join(random.Random(k).choices(texts[5].split(" "), k=60)) for k in range(6)]
+    docs = [(1, good[0]), (1, good[0]), (1, good[1]), (None, good[2]), (None, good[3]), (2, None), (3, good[4]), (4, good[4])]
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in docs], "doc_id long, text string, lang string, source string")
+    spark.createDataFrame([(1, "nothing like it here at all, not one of these words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    out = sorted((r["doc_id"] or 0, r["decoded"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert [x for x in out if x[0] != 1] == sorted([(0, good[2]), (0, good[3]), (3, good[4])]) and [x for x in out if x[0] == 1] in ([(1, good[0])], [(1, good[1])])
+    none = tmp_path / "none"
+    none.mkdir()
+    df.limit(0).write.parquet(f"{none}/documents.parquet")
+    spark.createDataFrame([(1, "item")], "item_id long, text string").write.parquet(f"{none}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(none)).collect() == []

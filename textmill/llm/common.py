@@ -51,6 +51,16 @@ def arrow_type(data_type) -> pa.DataType:
     return to_arrow_type(data_type)
 
 
+def named(column: str) -> Column:
+    """The column of that very name, whatever its letters."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def row_of(columns: list[str]) -> Column:
+    """These columns in one struct, whatever their names."""
+    return F.struct(*[named(c) for c in columns])
+
+
 def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
     """(offsets, words) of whole texts: document i has words
     offsets[i]:offsets[i + 1].  Null texts have none."""

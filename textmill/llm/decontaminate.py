@@ -22,8 +22,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from textmill.llm.common import WORD, hash128, rolling_hashes, split_words, written
+from textmill.llm.common import WORD, hash128, named, rolling_hashes, row_of, split_words, written
 
 #: Lengths of seeds: the shortest rare n-gram is taken, and no longer one that contains it.
 #: Longer ones than these are for items that have none of these.
@@ -264,6 +265,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
         if k:
             out = written(out, "clean")  # a block's documents are the last one's survivors
         ready = _prepared(docs, text_col, block, min_score)
-        rows = out.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
-        out = rows.mapInArrow(_finder(docs.sparkSession.sparkContext.broadcast(ready), True), f"row {rows.schema['row'].dataType.simpleString()}").select("row.*")
+        rows = out.select(row_of(docs.columns).alias("row"), named(text_col).alias("text"))
+        out = rows.mapInArrow(_finder(docs.sparkSession.sparkContext.broadcast(ready), True), T.StructType([rows.schema["row"]])).select("row.*")
     return out

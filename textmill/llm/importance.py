@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textmill.llm.common import split_words, written
+from textmill.llm.common import named, row_of, split_words, written
 from textmill.operators.windows import group_row_number
 
 #: Buckets of hashed features (the only table that is broadcast, whatever the
@@ -115,7 +115,7 @@ def with_features(docs: DataFrame, id_col: str, text_col: str, buckets: int, car
                 rest = [part.column("row")] if carry else []
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), lists, *rest], names=["id", "n_words", "buckets", *(["row"] if carry else [])])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []))
+    rows = docs.select(named(id_col).cast("long").alias("id"), named(text_col).alias("text"), *([row_of(carry).alias("row")] if carry else []))
     fields = [rows.schema["id"], T.StructField("n_words", T.LongType()), T.StructField("buckets", T.ArrayType(T.IntegerType()))]
     return rows.mapInArrow(run, T.StructType(fields + ([rows.schema["row"]] if carry else [])))
 
@@ -227,7 +227,7 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = 25, min_words: i
     then as they come (each is a document of its own).  An empty target gives
     flat target shares; an empty table gives an empty one."""
     featured = written(with_features(docs, id_col, text_col, buckets, carry or []), "features")
-    wanted = target.select(F.lit(0).alias("id"), F.col(f"`{target_text}`").alias("text"))
+    wanted = target.select(F.lit(0).alias("id"), named(target_text).alias("text"))
     gain = gains(bucket_counts(featured, buckets), bucket_counts(with_features(wanted, "id", "text", buckets, []), buckets))
     scored = with_weights(featured, gain).withColumn("score", F.col("weight") + gumbel("id", seed))
     # Composite keys are whole: highest score first, then ids, and the row's

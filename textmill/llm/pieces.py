@@ -14,6 +14,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from textmill.llm.common import named, row_of
 
 MARK = "▁"
 #: Entries of a worker's table; it is emptied when full.  Longer chunks are segmented each time.
@@ -90,7 +93,7 @@ def encode_pieces(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_co
                 own = [lists] + ([pa.array(table.decode(ids), pa.string())] if decode else [])
                 yield pa.RecordBatch.from_arrays([part.column("row"), *own], names=["row", "ids"] + ["decoded"] * decode)
 
-    row = docs.select(F.struct(F.col(id_col), *([F.struct(*[F.col(c) for c in keep]).alias("row")] if keep else [])).alias("row"), F.col(text_col).alias("text"))
-    kind = row.schema["row"].dataType.simpleString()
-    out = row.mapInArrow(run, f"row {kind}, ids array<int>" + ", decoded string" * decode)
+    row = docs.select(F.struct(named(id_col).alias(id_col), *([row_of(keep).alias("row")] if keep else [])).alias("row"), named(text_col).alias("text"))
+    added = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
+    out = row.mapInArrow(run, T.StructType([row.schema["row"], *added[: 1 + decode]]))
     return out.select(F.col("row").getField(id_col).alias(id_col), "ids", *["decoded"] * decode, *([F.col("row").getField("row").alias("row")] if keep else []))

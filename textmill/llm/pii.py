@@ -26,20 +26,25 @@ DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+#: Two letters, two digits and what follows, with single spaces; its end is found by the checksum.
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2}[0-9]{2}(?: ?[A-Za-z0-9])++")
+#: Characters of an account number (ISO 13616), and of a written group.
+IBAN_MIN, IBAN_MAX, IBAN_GROUP = 15, 34, 4
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 DIGIT = re.compile("[0-9]")
+LETTERS = re.compile(r"[^\W\d_]+")
 
-#: Scores without context, and what words nearby add.
+#: Scores without context, and what words nearby add (English, German, French, Spanish).
 SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.3}
 CONTEXT = {
-    "email": (("mail", 0.1), ("contact", 0.1)),
-    "ip": (("version", -0.3), ("release", -0.3), ("ip", 0.2), ("address", 0.2), ("host", 0.2), ("server", 0.2)),
-    "card": (("card", 0.2), ("visa", 0.2), ("credit", 0.2), ("payment", 0.2), ("order", -0.2), ("isbn", -0.3)),
-    "phone": (("call", 0.3), ("phone", 0.3), ("tel", 0.3), ("mobile", 0.3), ("fax", 0.2)),
-    "iban": (("iban", 0.1), ("account", 0.1), ("bank", 0.1)),
-    "ssn": (("ssn", 0.5), ("social", 0.4), ("security", 0.3), ("part", -0.2)),
+    "email": {0.1: "mail contact kontakt courriel contacter correo contacto"},
+    "ip": {-0.3: "version release versión ausgabe", 0.2: "ip address host server adresse serveur dirección servidor"},
+    "card": {0.2: "card visa credit payment karte kreditkarte zahlung carte paiement tarjeta crédito pago", -0.2: "order bestellung commande pedido", -0.3: "isbn"},
+    "phone": {0.3: "call phone tel mobile telefon anruf handy téléphone appelez portable teléfono llame móvil", 0.2: "fax"},
+    "iban": {0.1: "iban account bank konto bankkonto compte banque cuenta banco"},
+    "ssn": {0.5: "ssn", 0.4: "social sociale", 0.3: "security sécurité seguridad", -0.2: "part"},
 }
+WORDS = {kind: {word: more for more, words in own.items() for word in words.split()} for kind, own in CONTEXT.items()}
 
 
 def luhn(digits: str) -> bool:
@@ -67,6 +72,27 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, last))
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Confirmed account numbers: one word, or words of four characters of
+    which the last may be shorter.  Of the ends of words that would do, the
+    longest with a right checksum counts."""
+    for m in IBAN.finditer(text):
+        words, end, ends = m[0].split(" "), m.start(), []
+        for k, word in enumerate(words):
+            end += len(word) + (k > 0)
+            if len("".join(words[: k + 1])) > IBAN_MAX:
+                break
+            if k == 0 or len(word) <= IBAN_GROUP:
+                ends.append(end)
+            if len(word) != IBAN_GROUP:
+                break
+        for end in reversed(ends):
+            number = text[m.start() : end].replace(" ", "")
+            if len(number) >= IBAN_MIN and mod97(number):
+                yield m.start(), end
+                break
+
+
 def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
@@ -87,9 +113,7 @@ def proposed(text: str) -> Iterator[tuple[int, int, str]]:
         for m in PHONE.finditer(text):
             if 9 <= len(_digits(m[0])) <= 15:
                 yield m.start(), m.end(), "phone"
-    for m in IBAN.finditer(text):
-        if 15 <= len(x := m[0].replace(" ", "")) <= 34 and mod97(x):
-            yield m.start(), m.end(), "iban"
+    yield from ((a, b, "iban") for a, b in _ibans(text))
     for m in SSN.finditer(text):
         if m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000":
             yield m.start(), m.end(), "ssn"
@@ -99,8 +123,8 @@ def scored(text: str) -> list[tuple[int, int, str, float]]:
     """(start, end, kind, score) in order; ends are exclusive, in code points."""
     out = []
     for a, b, kind in proposed(text):
-        near = set(re.findall("[a-z]+", (text[max(0, a - CONTEXT_CHARS) : a] + " " + text[b : b + CONTEXT_CHARS]).lower()))
-        score = SCORE[kind] + sum(more for word, more in CONTEXT[kind] if word in near)
+        near = set(LETTERS.findall((text[max(0, a - CONTEXT_CHARS) : a] + " " + text[b : b + CONTEXT_CHARS]).lower()))
+        score = SCORE[kind] + sum(more for word, more in WORDS[kind].items() if word in near)
         if kind in BASE_KINDS or score >= MIN_SCORE:
             out.append((a, b, kind, round(min(1.0, max(0.0, score)), 3)))
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))

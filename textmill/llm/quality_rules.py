@@ -2,9 +2,11 @@
 
 For each language and source, the values of each ratio go into a mergeable
 quantile sketch: counts of logarithmic buckets, whose quantiles are within
-``ACCURACY`` of the exact ones.  Sketches merge by adding counts, so a small
-group falls back to its language's sketch and that to the corpus's.  The
-limits come from the sketch's quartiles, and a joined filter applies them.
+``ACCURACY`` of the exact ones.  Sketches merge by adding counts.  A group's
+habit is the share of its texts with a value over zero and the quartiles of
+those values; habits are shrunk by weights n / (n + k) from the group to its
+language and from that to the corpus.  The limits follow from the habit, and a
+joined filter applies them.
 """
 
 from __future__ import annotations
@@ -16,36 +18,39 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from textmill.llm.common import written
+from textmill.llm.common import named, row_of, written
 from textmill.llm.text_stats import COUNTS, text_stats
 
 ACCURACY = 0.01
 GAMMA = (1 + ACCURACY) / (1 - ACCURACY)
-#: Documents that a group needs for limits of its own.
-GROUP_DOCS = 200
+#: Texts that a language's (or the corpus's) habit counts for in a group.
+PRIOR_TEXTS = 50
 #: The fixed base rules.
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A document fails if its ratio is over the upper quartile (or under the
-    lower one, if ``low``) by more than ``spreads`` times the distance of the
-    quartiles, or ``least``, whichever is more."""
+    """If ``z`` is the share of texts with a value over zero, z * z is the
+    chance that two texts of a group have one.  With that weight the limit is
+    ``spread`` times the upper quartile of the values over zero, and with the
+    rest of the weight ``strange``, what is still let pass where the others
+    have none.  If ``low``, the lower quartile over ``spread`` is a limit too."""
 
     over: str
     under: str
-    spreads: float
-    least: float
+    spread: float
+    strange: float
     low: bool = False
 
 
 RULES = {
-    "symbols": Rule("n_symbols", "n_words", 6, 0.1),
-    "dup_lines": Rule("n_dup_lines", "n_lines", 6, 0.4),
+    "symbols": Rule("n_symbols", "n_words", 3, 0.1),
+    "dup_lines": Rule("n_dup_lines", "n_lines", 3, 0.4),
     "same_next": Rule("n_same_next", "n_words", 6, 0.15),
-    "word_length": Rule("word_chars", "n_words", 8, 2.0, low=True),
+    "word_length": Rule("word_chars", "n_words", 1.3, 7.0, low=True),
 }
 
 
@@ -59,8 +64,8 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 stats = text_stats(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("row"), *[pa.array(stats[c], pa.int64()) for c in COUNTS]], names=["row", *COUNTS])
 
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in COUNTS))
+    rows = docs.select(row_of(docs.columns).alias("row"), named(text_col).alias("text"))
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"], *[T.StructField(c, T.LongType()) for c in COUNTS]]))
 
 
 def _ratio(rule: Rule) -> Column:
@@ -75,32 +80,47 @@ def sketches(counted: DataFrame, groups: list[str]) -> DataFrame:
     return counted.select(*groups, rules).select(*groups, "x.rule", bucket.alias("bucket")).groupBy(*groups, "rule", "bucket").agg(F.count("*").alias("c"))
 
 
-def quartiles(sketch: DataFrame, groups: list[str]) -> DataFrame:
-    """(groups, rule, n, q25, q75) of sketches merged by ``groups``; a value
-    stands for its bucket's middle."""
+def habits(sketch: DataFrame, groups: list[str]) -> DataFrame:
+    """(groups, rule, n, some, z, q25, q75) of sketches merged by ``groups``:
+    texts, texts with a value over zero, their share, and the logarithms of
+    those values' quartiles (a value stands for its bucket's middle)."""
     merged = sketch.groupBy(*groups, "rule", "bucket").agg(F.sum("c").alias("c"))
     w = Window.partitionBy(*groups, "rule")  # at most a few thousand buckets
-    ranked = merged.withColumn("upto", F.sum("c").over(w.orderBy(F.col("bucket").asc_nulls_first()))).withColumn("n", F.sum("c").over(w))
-    value = F.when(F.col("bucket").isNull(), F.lit(0.0)).otherwise(F.pow(F.lit(GAMMA), F.col("bucket")) * (2 / (1 + GAMMA)))
-    at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.col("n") * F.lit(q)), value))
-    return ranked.groupBy(*groups, "rule").agg(F.first("n").alias("n"), at(0.25).alias("q25"), at(0.75).alias("q75"))
+    nonzero = F.when(F.col("bucket").isNotNull(), F.col("c"))
+    ranked = merged.select("*", F.sum("c").over(w).alias("n"), F.coalesce(F.sum(nonzero).over(w), F.lit(0)).alias("some"), F.sum(nonzero).over(w.orderBy(F.col("bucket").asc_nulls_first())).alias("upto"))
+    value = F.col("bucket") * F.lit(math.log(GAMMA)) + F.lit(math.log(2 / (1 + GAMMA)))
+    at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.col("some") * F.lit(q)), value))
+    return ranked.groupBy(*groups, "rule").agg(F.first("n").alias("n"), F.first("some").alias("some"), F.first(F.col("some") / F.col("n")).alias("z"), at(0.25).alias("q25"), at(0.75).alias("q75"))
+
+
+def _shrunk(value: str, n: str, towards: str) -> Column:
+    """``value`` with weight n / (n + PRIOR_TEXTS), the rest from ``towards``."""
+    own = F.col(n) / (F.col(n) + PRIOR_TEXTS)
+    return own * F.coalesce(F.col(value), F.lit(0.0)) + (1 - own) * F.coalesce(F.col(towards), F.lit(0.0))
+
+
+_SHAPE = {"z": "n", "q25": "some", "q75": "some"}
+
+
+def _towards(own: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """The habits ``own``, shrunk towards those of ``other`` with the same ``keys``."""
+    other = other.select(*[F.col(k).alias(f"_{k}") for k in keys], *[F.col(c).alias(f"_{c}") for c in _SHAPE])
+    same = [own[k].eqNullSafe(other[f"_{k}"]) for k in keys]
+    return own.join(other, same).select(*[c for c in own.columns if c not in _SHAPE], *[_shrunk(c, n, f"_{c}").alias(c) for c, n in _SHAPE.items()])
 
 
 def limits(counted: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """(lang, source, <rule>_low, <rule>_high), one row a group."""
     sketch = written(sketches(counted, [lang, source]), "sketch")
-    own, by_lang, whole = (quartiles(sketch, g) for g in ([lang, source], [lang], []))
-    by_lang = by_lang.select(F.col(lang).alias("l"), "rule", *[F.col(c).alias(f"{c}_l") for c in ("n", "q25", "q75")])
-    whole = whole.select("rule", F.col("q25").alias("q25_w"), F.col("q75").alias("q75_w"))
-    x = own.join(by_lang, own[lang].eqNullSafe(by_lang["l"]) & (own["rule"] == by_lang["rule"])).drop(by_lang["rule"]).join(whole, "rule")
-    pick = lambda q: F.when(F.col("n") >= GROUP_DOCS, F.col(q)).when(F.col("n_l") >= GROUP_DOCS, F.col(f"{q}_l")).otherwise(F.col(f"{q}_w"))
+    own, by_lang, whole = (habits(sketch, g) for g in ([lang, source], [lang], []))
+    x = _towards(own, _towards(by_lang, whole, ["rule"]), [lang, "rule"])
     out = []
     for name, rule in RULES.items():
-        here = F.col("rule") == name
-        margin = F.greatest(F.lit(rule.spreads) * (pick("q75") - pick("q25")), F.lit(float(rule.least)))
-        out.append(F.max(F.when(here, pick("q75") + margin)).alias(f"{name}_high"))
+        here, both = F.col("rule") == name, F.col("z") * F.col("z")
+        high = (1 - both) * F.lit(float(rule.strange)) + both * F.lit(float(rule.spread)) * F.exp("q75")
+        out.append(F.max(F.when(here, high)).alias(f"{name}_high"))
         if rule.low:
-            out.append(F.max(F.when(here, pick("q25") - margin)).alias(f"{name}_low"))
+            out.append(F.max(F.when(here, both * F.exp("q25") / F.lit(float(rule.spread)))).alias(f"{name}_low"))
     return x.groupBy(lang, source).agg(*out)
 
 
@@ -126,8 +146,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Null texts count as empty; null languages and sources are groups of their
     own; repeated rows are judged alike; an empty table gives an empty one."""
-    slim = docs.select(F.col(id_col), F.col(text_col), F.col(lang).alias("lang"), F.col(source).alias("source"))
-    counted = with_counts(slim, text_col).select(F.col("row").getField(id_col).alias(id_col), "row.lang", "row.source", *COUNTS)
+    slim = docs.select(named(id_col).alias("id"), named(text_col).alias("text"), named(lang).alias("lang"), named(source).alias("source"))
+    counted = with_counts(slim).select(F.col("row.id").alias(id_col), "row.lang", "row.source", *COUNTS)
     counted = written(counted, "counts")
     return judge(counted, limits(counted))
 

@@ -54,7 +54,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = find_pii(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
     number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return done.select("doc_id", *map(number, BASE_KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return done.select("doc_id", *map(number, BASE_KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+                       F.array_join(F.transform("spans", lambda s: F.round(s["score"] * 1000).cast("int").cast("string")), ",").alias("score_permille"))
 
 
 @query("op2_token_file")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textmill.llm.common import BASE_1, BASE_2, arrow_type, hash128, id_batches, rolling_hashes, split_words, starts_in_document
+from textmill.llm.common import BASE_1, BASE_2, arrow_type, hash128, id_batches, rolling_hashes, row_of, split_words, starts_in_document
 
 #: Work sizes only; results are the same for any.
 BATCH_CHARS = 4_000_000
@@ -175,7 +175,7 @@ def remove_repeated_windows(docs: DataFrame, unit: str, width: int, id_col: str
         raise TypeError(f"{id_col} must be a whole number")
     batch, n_batches, total = id_batches(docs, id_col, text_col, batch_chars)
     buckets = max(1, -(-total // (6 * bucket_windows)) if unit == "word" else -(-total // (60 * bucket_windows)))
-    row = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("boolean")
+    row = row_of(carry) if carry else F.lit(None).cast("boolean")
     dealt = docs.select(batch.alias("_batch"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("_id"),
                         F.coalesce(F.col(text_col), F.lit("")).alias("_text"), row.alias("_row"))
     sent = dealt.groupBy("_batch").applyInArrow(_sender(unit, width, buckets), "bucket int, batch int, entries binary")
