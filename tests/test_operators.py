@@ -181,8 +181,7 @@ def test_nearest_items_match_brute_force(spark, monkeypatch, block_words):
     docs = {1: list("aabc"), 2: list("h"), 3: ["x"], 4: list("efgab"), 5: list("ab")}
     items = {10: list("abc"), 11: list("hg"), 12: ["x"], 13: list("deeef"), 14: list("cba")}
     vecs = spark.createDataFrame([(w, v.tolist()) for w, v in vec.items()], "token string, vec array<double>")
-    sides = [NR.with_vectors(NR.bow_weights(spark.createDataFrame(list(x.items()), f"{k} long, tokens array<string>"), k, "tokens", vecs), vecs, k)
-             for x, k in ((docs, "doc_id"), (items, "item_id"))]
+    sides = [*(spark.createDataFrame(list(x.items()), f"{k} long, tokens array<string>") for x, k in ((docs, "doc_id"), (items, "item_id"))), vecs]
 
     def one_way(a, b):
         a, b = ([w for w in x if w in vec] for x in (a, b))
@@ -195,6 +194,25 @@ def test_nearest_items_match_brute_force(spark, monkeypatch, block_words):
     assert best == {d: min((round(want[d, i], 9), i) for i in items if i != 12)[1] for d in docs if d != 3}
 
 
+def test_nearest_item_skips_items_that_cannot_win():
+    """The second bound is worked out for few of the items, and never for one too few."""
+    from textmill.operators import nearest as NR
+    r = np.random.default_rng(4)
+    vecs = r.normal(size=(300, 8))
+    bags = [np.sort(r.choice(300, 12, replace=False)) for _ in range(400)]
+    items = NR.Items(list(range(400)), np.arange(0, 4800, 12), np.full(4800, 1 / 12), np.concatenate(bags), vecs)
+    docs = [(np.sort(np.unique(np.r_[b[:9], r.choice(300, 3)])), None) for b in bags[:50]]
+    docs = [(word, np.full(len(word), 1 / len(word))) for word, _ in docs]
+    least, back = NR.prefetched(vecs, items, docs)
+    tried = 0
+    for k, (word, weight) in enumerate(docs):
+        own = np.maximum(weight @ least[word], np.add.reduceat(items.weights * back[k][items.words], items.starts))
+        item, value, n = NR.nearest_of(word, weight, vecs, least, items)
+        assert (item, value) == (int(np.argmin(np.round(own, 9))), float(np.round(own.min(), 9)))
+        tried += n
+    assert tried < 0.1 * 50 * 400
+
+
 def test_counts_and_positions_inside_the_row(spark):
     from textmill.functions import arrays as A
     rows = {1: list("abacb"), 2: [], 3: None, 4: ["x"]}

@@ -73,7 +73,7 @@ def _rwmd(spark, sf_dir):
     docs = corpus.doc_tokens(spark, sf_dir).withColumnRenamed("id", "doc_id")
     items = table(spark, sf_dir, "benchmark", ["item_id", "text"]).select(
         "item_id", T.word_tokens(F.col("text")).alias("tokens"))
-    return [NR.with_vectors(NR.bow_weights(d, k, "tokens", vecs), vecs, k) for d, k in ((docs, "doc_id"), (items, "item_id"))]
+    return docs, items, vecs
 
 
 _RWMD_SQL = EXPLICIT_SQL + f""",

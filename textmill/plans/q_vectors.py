@@ -21,12 +21,9 @@ def R6(c):
 
 WINDOW = 3
 MIN_COUNT = 10
-# Context words of the explicit PPMI vectors used where an
-# exact oracle is wanted (a slice of the PPMI matrix, as wide as the SVD's
-# vectors); function words of the corpus's four languages.
-CONTEXTS = ["the", "of", "and", "to", "in", "a", "is", "that", "it", "for", "was", "on", "with", "be", "as", "by", "this", "are", "at", "from",
-            "der", "die", "und", "den", "von", "zu", "das", "mit", "sich", "auf", "de", "la", "le", "des", "et", "les", "un", "du", "une", "pour",
-            "en", "que", "es", "el", "y", "los", "se", "del", "er", "est"]
+# Dimensions of the explicit PPMI vectors used where an exact oracle is wanted:
+# the columns of the corpus's most frequent words (as wide as the SVD's vectors).
+DIMS = 50
 
 
 def _doc_tokens(spark, sf_dir):
@@ -44,7 +41,7 @@ def _counts(spark, sf_dir):
 
 SKIP_SQL = f"""toks AS (SELECT doc_id, unnest(tl) AS token, unnest(range(len(tl))) AS pos
               FROM (SELECT doc_id, {S.word_tokens(S.clean_text('text'))} AS tl FROM documents)),
-vocab AS (SELECT token FROM toks GROUP BY token HAVING count(*) > {MIN_COUNT}),
+vocab AS (SELECT token, count(*) AS n FROM toks GROUP BY token HAVING count(*) > {MIN_COUNT}),
 kept AS (SELECT doc_id, list(token ORDER BY pos) AS arr FROM toks JOIN vocab USING (token) GROUP BY doc_id),
 e AS (SELECT doc_id, arr, unnest(range(len(arr))) AS p FROM kept WHERE len(arr) > 1),
 w AS (SELECT doc_id, arr, p, 1 + ('0x' || substr(md5(doc_id || ':' || p || ':42'), 1, 8))::BIGINT % {WINDOW} AS w FROM e),
@@ -155,19 +152,19 @@ def pool_vectors(spark, sf_dir):
 
 def explicit_vectors(spark, sf_dir):
     """(token, vec): PPMI row of every vocabulary word restricted to the
-    fixed context words (0 where absent)."""
+    ``DIMS`` most frequent words as contexts (0 where absent)."""
     vocab, counts = _counts(spark, sf_dir)
-    m = V.ppmi(counts, 0.75).where(F.col("context").isin(CONTEXTS))
+    contexts = [r["token"] for r in vocab.orderBy(F.col("n").desc(), "token").limit(DIMS).collect()]
+    m = V.ppmi(counts, 0.75).where(F.col("context").isin(contexts))
     maps = m.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("context", "ppmi"))).alias("m"))
     v = vocab.select("token").join(maps.withColumnRenamed("word", "token"), "token", "left")
     # read several times downstream (weights, distances): written once
-    return cut_lineage(v.select("token", F.array(*[F.coalesce(F.col("m")[c], F.lit(0.0)) for c in CONTEXTS])
-                                .alias("vec")))
+    return cut_lineage(v.select("token", F.array(*[F.coalesce(F.col("m")[c], F.lit(0.0)) for c in contexts])
+                                .cast("array<double>").alias("vec")))
 
 
-_CTX_VALUES = ", ".join(f"('{c}', {i})" for i, c in enumerate(CONTEXTS))
 EXPLICIT_SQL = PPMI_SQL + f""",
-ctx AS (SELECT * FROM (VALUES {_CTX_VALUES}) c(ctx, dim)),
+ctx AS (SELECT token AS ctx, row_number() OVER (ORDER BY n DESC, token) - 1 AS dim FROM vocab QUALIFY dim < {DIMS}),
 vec AS (SELECT v.token, ctx.dim, coalesce(pm.ppmi, 0.0) AS x FROM vocab v CROSS JOIN ctx
         LEFT JOIN pm ON pm.word = v.token AND pm.context = ctx.ctx)"""
 
