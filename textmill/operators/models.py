@@ -8,8 +8,6 @@ same split and a lost executor recomputes the same rows.
 
 from __future__ import annotations
 
-import random
-
 import numpy as np
 import pandas as pd
 from pyspark import SparkContext, inheritable_thread_target
@@ -17,17 +15,17 @@ from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (LinearSVC, LogisticRegression, NaiveBayes, OneVsRest,
                                        RandomForestClassificationModel, RandomForestClassifier,
                                        _ProbabilisticClassifierParams, _RandomForestClassifierParams)
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import CountVectorizer, StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param.shared import HasInputCol, HasLabelCol, HasOutputCol, Param, Params, TypeConverters
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textmill.functions.hashing import phash
 from textmill.functions.text import char_ngrams
+from textmill.operators import search as SR
 from textmill.operators.metrics import f1_binary
 
 MAX_TREE_DEPTH = 30  # Spark's limit
@@ -197,10 +195,6 @@ def cv_predict(pipeline: Pipeline, df: DataFrame, fold_col: str = "fold", key: s
     return out
 
 
-def evaluator(metric: str = "f1"):
-    return MulticlassClassificationEvaluator(metricName=metric)
-
-
 def forest_grid(forest: BalancedForest) -> list:
     """The reference's 864 maps of its random search."""
     return (ParamGridBuilder().addGrid(forest.numTrees, [50, 100, 200]).addGrid(forest.featureSubsetStrategy, ["auto", "sqrt"])
@@ -224,20 +218,17 @@ def halving_search(gram_cols: list[str]) -> tuple[Pipeline, list]:
 
 
 def grid_search(pipeline: Pipeline, grid: list, df: DataFrame, fold_col: str = "fold",
-                parallelism: int = 4, metric: str = "f1"):
-    """Full grid with k-fold CV on the fold column; best model refitted."""
-    folds = df.agg(F.max(fold_col)).first()[0] + 1
-    cv = CrossValidator(estimator=pipeline, estimatorParamMaps=grid, evaluator=evaluator(metric),
-                        numFolds=folds, foldCol=fold_col, parallelism=parallelism)
-    return cv.fit(df)
+                parallelism: int = SR.PARALLEL, metric: str = "f1", refit: bool = True) -> SR.Search:
+    """Full grid with k-fold CV on the fold column; best model refitted.
+    Stages that maps share are fitted once a fold, and forests once for all
+    maps that are cuts of one another (see ``search``)."""
+    return SR.cross_validate(pipeline, grid, df, fold_col, metric, parallelism, refit)
 
 
 def random_search(pipeline: Pipeline, grid: list, df: DataFrame, n_iter: int = 100, fold_col: str = "fold",
-                  seed: int = 42, parallelism: int = 4):
+                  seed: int = 42, parallelism: int = SR.PARALLEL, metric: str = "f1") -> SR.Search:
     """``n_iter`` parameter maps drawn (seeded) from the grid, then CV."""
-    rng = random.Random(seed)
-    maps = grid if len(grid) <= n_iter else rng.sample(grid, n_iter)
-    return grid_search(pipeline, maps, df, fold_col, parallelism)
+    return grid_search(pipeline, SR.drawn(grid, n_iter, seed), df, fold_col, parallelism, metric)
 
 
 def successive_halving(pipeline: Pipeline, grid: list, df: DataFrame, key: str = "id",
@@ -252,7 +243,7 @@ def successive_halving(pipeline: Pipeline, grid: list, df: DataFrame, key: str =
     rnd = 0
     while True:
         sub = df.where(h < int(frac * 1_000_000))
-        cv = grid_search(pipeline, [grid[i] for i in cands], sub, fold_col)
+        cv = grid_search(pipeline, [grid[i] for i in cands], sub, fold_col, refit=False)
         scores = list(cv.avgMetrics)
         history += [(rnd, cands[i], float(s), float(frac)) for i, s in enumerate(scores)]
         if len(cands) <= 1 or frac >= 1.0:
@@ -266,17 +257,38 @@ def successive_halving(pipeline: Pipeline, grid: list, df: DataFrame, key: str =
 
 
 def model_search(candidates: list[tuple[str, Pipeline, list]], df: DataFrame, fold_col: str = "fold",
-                 parallelism: int = 4) -> DataFrame:
+                 parallelism: int = SR.PARALLEL, metric: str = "f1") -> DataFrame:
     """Leaderboard of several model families, each cross-validated on its grid."""
     rows = []
     for name, pipe, grid in candidates:
-        cv = grid_search(pipe, grid, df, fold_col, parallelism)
+        cv = grid_search(pipe, grid, df, fold_col, parallelism, metric, refit=False)
         best = int(np.argmax(cv.avgMetrics))
         rows.append((name, float(cv.avgMetrics[best]), str({p.name: v for p, v in grid[best].items()})))
     lb = df.sparkSession.createDataFrame(rows, "model string, score double, params string")
     return lb.orderBy(F.desc("score"))
 
 
+def weighted_grids(n_rows: int) -> dict[str, tuple[list, list]]:
+    """(last stages, maps) of the reference's linear SVM, logistic regression
+    and forest grids (10, 20 and 14 maps), with class weights from the training
+    part as an axis.  ``n_rows`` are the rows of a training part, as penalties
+    are per row.  Depths over Spark's limit stand for the limit."""
+    # The grids' costs and depths.
+    costs, depths = [0.01, 0.1, 1, 10, 100], [1, 10, 50, 100, 200, 300, 400]
+    out = {}
+    for name, model in (("svm", fit_linear_svm(weight_col="weight")), ("lr", fit_lr(weight_col="weight")), ("rf", fit_rf(100).setWeightCol("weight"))):
+        weights = SR.ClassWeights()
+        grid = ParamGridBuilder().addGrid(weights.balanced, [True, False])
+        if name == "rf":
+            grid.addGrid(model.maxDepth, [min(d, MAX_TREE_DEPTH) for d in depths])
+        else:
+            grid.addGrid(model.regParam, [1.0 / (c * max(n_rows, 1)) for c in costs])
+        if name == "lr":
+            grid.addGrid(model.elasticNetParam, [1.0, 0.0])
+        out[name] = ([weights, model], grid.build())
+    return out
+
+
 def stack_predictions(pipeline: Pipeline, train: DataFrame, test: DataFrame, fold_col: str = "fold",
                       key: str = "id") -> DataFrame:
     """Out-of-fold predictions for train rows, full-fit predictions for test
