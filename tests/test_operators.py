@@ -1,6 +1,8 @@
 """Hand fixtures and properties for windows, vectors, patterns, joins and
 sinks."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import Window
@@ -232,3 +234,23 @@ def test_feature_subsets_of_long_lists(spark):
     got = feature_subsets(names, "name", min_size_from_top=2).collect()
     assert len(got) == len({r.mask for r in got}) == 1 + 40 + 40 * 39 // 2
     assert all(r.size == len(r.members.split(",")) for r in got)
+
+
+@pytest.mark.parametrize("block", [1, 200_000])
+def test_phrases_of_any_length(spark, monkeypatch, block):
+    from textmill.operators import patterns as P
+    monkeypatch.setattr(P, "PHRASE_BLOCK", block)
+    rng = random.Random(6)
+    phrases = sorted({" ".join(rng.choice("abc") for _ in range(n)) for n in (1, 2, 3, 4, 5, 6) for _ in range(3)} - {"a", "b", "c"}) + ["in FRONT of", "of"]
+    sentences = [[rng.choice(["a", "B", "c", "in", "front", "of"]) for _ in range(rng.randrange(14))] for _ in range(80)] + ["stand in front of it".split()]
+    tokens = spark.createDataFrame([(1, k, i, w) for k, s in enumerate(sentences) for i, w in enumerate(s)], "doc_id long, sent_id int, i int, form string")
+    got = {tuple(r) for r in P.match_phrases(tokens, spark.createDataFrame([(p, p.upper()) for p in phrases], "phrase string, label string")).collect()}
+    want = set()
+    for k, s in enumerate(sentences):
+        low, taken = [w.lower() for w in s], set()
+        spans = sorted((-len(p.split()), i, p.upper()) for p in phrases for i in range(len(s)) if low[i:i + len(p.split())] == p.lower().split())
+        for n, i, label in spans:
+            if not taken & set(range(i, i - n)):
+                taken |= set(range(i, i - n))
+                want.add((1, k, i, -n, label))
+    assert got == want and (1, len(sentences) - 1, 1, 3, "IN FRONT OF") in got

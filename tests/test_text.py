@@ -63,3 +63,10 @@ def test_strip_markup(spark):
     html = '<html><script>var t="</p>";</script><p>a &amp;lt; b &copy;</p></html>'
     df = spark.createDataFrame([(html,)], "t string")
     assert df.select(T.strip_markup(F.col("t"))).first()[0] == "a &lt; b ©"
+
+
+def test_character_references(spark):
+    from textmill.functions.text import strip_markup
+    cases = {"caf&eacute; &#8217; &#x41;&#X42 &copy &notit; &amp;lt; &nosuch; & &#0; <b>x</b>": "café ’ AB © ¬it; &lt; &nosuch; & \ufffd x", "plain": "plain", None: None, "&NotEqualTilde;&lt;b&gt;": "\u2242\u0338<b>"}
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(cases)], "id long, t string")
+    assert [r.t for r in rows.select("id", strip_markup(F.col("t")).alias("t")).orderBy("id").collect()] == list(cases.values())

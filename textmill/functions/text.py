@@ -1,6 +1,6 @@
 """Scalar text functions (Column in, Column out).
 
-Every function is a built-in Spark expression (regexp_replace,
+Every function but ``unescape`` is a built-in Spark expression (regexp_replace,
 regexp_extract_all, higher-order array functions), so it stays inside
 whole-stage code generation and runs the same on batch and streaming
 DataFrames.  Null in gives null out.
@@ -13,8 +13,12 @@ aware, ``(?d)`` keeps ``^`` to line starts after ``\\n`` only, as in Python.
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # ---------------------------------------------------------------------------
 # Patterns that must equal the reference's for equal results.
@@ -103,22 +107,24 @@ def normalize_space(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, F.lit(r"(?U)\s+"), F.lit(" ")))
 
 
-# Entities decoded by strip_markup (fixed values; the common named ones plus
-# numeric forms are handled by rule).
-HTML_ENTITIES = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'",
-                 "&apos;": "'", "&nbsp;": " ", "&middot;": "·", "&copy;": "©"}
+@F.pandas_udf(T.StringType())
+def _unescaped(texts: pd.Series) -> pd.Series:
+    return texts.map(html.unescape, na_action="ignore")
+
+
+def unescape(c: Column) -> Column:
+    """Character references as HTML5 reads them: all names, decimal and
+    hexadecimal numbers, with and without the semicolon, decoded once (the
+    table of names is the standard library's).  Texts without ``&`` stay in
+    the JVM."""
+    return F.when(F.contains(c, F.lit("&")), _unescaped(F.when(F.contains(c, F.lit("&")), c))).otherwise(c)
 
 
 def strip_markup(c: Column) -> Column:
-    """Drop script / style bodies and tags, then decode entities."""
+    """Drop script / style bodies and tags, then decode character references."""
     t = F.regexp_replace(c, F.lit(r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>"), F.lit(""))
     t = F.regexp_replace(t, F.lit(r"(?s)<!--.*?-->"), F.lit(""))
-    t = F.regexp_replace(t, F.lit(r"(?s)<[^>]*>"), F.lit(""))
-    for ent, ch in HTML_ENTITIES.items():
-        if ent != "&amp;":
-            t = F.replace(t, F.lit(ent), F.lit(ch))
-    # &amp; last, so that "&amp;lt;" becomes "&lt;" and not "<"
-    return F.replace(t, F.lit("&amp;"), F.lit("&"))
+    return unescape(F.regexp_replace(t, F.lit(r"(?s)<[^>]*>"), F.lit("")))
 
 
 def clean_text(c: Column, fix_encoding: bool = False) -> Column:
@@ -202,10 +208,5 @@ def canonical_array(c: Column) -> Column:
     return F.array_sort(c)
 
 
-def label_pattern(codes: Column, upper_labels: Column | None = None) -> Column:
-    """Tab-joined readable pattern."""
-    return F.concat_ws("\t", codes)
-
-
 def compose_key(*cols: Column, sep: str = "_") -> Column:
     return F.concat_ws(sep, *cols)

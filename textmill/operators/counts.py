@@ -91,37 +91,5 @@ def distinct_values(df: DataFrame, col: str) -> DataFrame:
     return df.select(col).distinct()
 
 
-def count_matrix(pairs: DataFrame, i: str = "i", j: str = "j", n: str = "n") -> DataFrame:
-    """(i, j, n) with row totals, column totals and the grand total in one
-    pass with GROUPING SETS."""
-    g = (pairs.cube(i, j).agg(F.sum(n).alias("n"), F.grouping_id().alias("gid"))
-         .where(F.col("gid").isin(1, 2, 3)))
-    return g.select(i, j, F.col("n").cast("long").alias("n"),
-                    F.when(F.col("gid") == 1, "row").when(F.col("gid") == 2, "col").otherwise("all").alias("kind"))
-
-
 def max_len(df: DataFrame, tokens: str, cap: int = 100) -> DataFrame:
     return df.agg(F.least(F.max(F.size(tokens)), F.lit(cap)).cast("long").alias("max_len"))
-
-
-def ngram_probabilities(counts: DataFrame, n_col: str = "n", cnt: str = "cnt") -> DataFrame:
-    """count / total count of the same length; the per-length totals are a
-    small aggregate joined back."""
-    tot = counts.groupBy(n_col).agg(F.sum(cnt).alias("__tot"))
-    return counts.join(F.broadcast(tot), n_col).withColumn("p", F.col(cnt) / F.col("__tot")).drop("__tot")
-
-
-def weighted_mean_vector(tok: DataFrame, vectors: DataFrame, key: str = "id", token: str = "token",
-                         weight: str = "w", vec: str = "vec", dim: int | None = None) -> DataFrame:
-    """sum(weight x vector) / number of in-vocabulary tokens, per document.
-    Element-wise sums run as aggregate over arrays inside one groupBy
-    (partial aggregation per task)."""
-    j = tok.join(vectors.select(F.col(token), F.col(vec)), token, "inner")
-    wv = j.select(key, F.transform(vec, lambda x: x.cast("double") * F.col(weight)).alias("__wv"))
-    summed = wv.groupBy(key).agg(
-        F.count("*").alias("__m"),
-        F.array_agg("__wv").alias("__vs"))
-    return summed.select(key, F.transform(
-        F.aggregate("__vs", F.array_repeat(F.lit(0.0), F.size(F.element_at("__vs", 1))),
-                    lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b)),
-        lambda s: s / F.col("__m")).alias(vec))

@@ -26,41 +26,74 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textmill.operators.setops import pattern_subsets
 from textmill.operators.windows import compact_ids, top_k_per_group
 from textmill.session import cut_lineage
 
 SENT = ["doc_id", "sent_id"]
+#: Phrases that are broadcast together.
+PHRASE_BLOCK = 200_000
 
 
 # ---------------------------------------------------------------- phrases
-def phrase_candidates(tokens: DataFrame, phrases: DataFrame, max_len: int = 2) -> DataFrame:
-    """Token n-grams (n <= max_len) whose lower-cased text is a phrase:
-    (doc_id, sent_id, start, len, label).  The phrase table is a small
-    fixed dictionary (broadcast)."""
-    w = Window.partitionBy(*SENT).orderBy("i")
-    t = tokens.select(*SENT, "i", F.lower("form").alias("f"))
-    cands = []
-    for n in range(1, max_len + 1):
-        parts = [F.col("f")] + [F.lead("f", k).over(w) for k in range(1, n)]
-        txt = F.concat_ws(" ", *parts)
-        full = F.lit(True)
-        for p in parts[1:]:
-            full = full & p.isNotNull()
-        cands.append(t.select(*SENT, F.col("i").alias("start"), F.lit(n).alias("len"),
-                              F.when(full, txt).alias("text")).where(F.col("text").isNotNull()))
-    c = cands[0]
-    for x in cands[1:]:
-        c = c.unionByName(x)
-    ph = F.broadcast(phrases.select(F.lower("phrase").alias("text"), "label"))
-    return c.join(ph, "text").select(*SENT, "start", "len", "label")
-
-
-def match_phrases(tokens: DataFrame, phrases: DataFrame, max_len: int = 2) -> DataFrame:
+def _trie(phrases: list) -> dict:
+    """Nested dicts by token; the key None holds the labels that end there."""
+    root: dict = {}
+    for phrase, label in phrases:
+        node = root
+        for token in phrase.split():
+            node = node.setdefault(token, {})
+        node.setdefault(None, []).append(label)
+    return root
+
+
+def _walker(held):
+    """(start, length, label) of every phrase in a sentence's tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root = held.value
+        for batch in batches:
+            found = []
+            for row, (at, forms) in enumerate(zip(batch.column("at").to_pylist(), batch.column("forms").to_pylist())):
+                for k, form in enumerate(forms):
+                    node, end = root.get(form), k + 1
+                    while node is not None:
+                        found += [(row, at[k], end - k, label) for label in node.get(None, ())]
+                        node = node.get(forms[end]) if end < len(forms) else None
+                        end += 1
+            where = pa.array([f[0] for f in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(where), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.int32()),
+                                              pa.array([f[3] for f in found], pa.string())], names=["row", "start", "len", "label"])
+
+    return run
+
+
+def phrase_candidates(tokens: DataFrame, phrases: DataFrame) -> DataFrame:
+    """Every phrase (lower-cased tokens, whatever their number) in a sentence:
+    (doc_id, sent_id, start, len, label).  A sentence's tokens come together
+    in its row, and a trie of the phrases is walked from each of them.  The
+    phrases are broadcast in blocks of at most ``PHRASE_BLOCK``."""
+    rows = tokens.groupBy(*SENT).agg(F.array_sort(F.collect_list(F.struct("i", F.lower("form").alias("f")))).alias("x"))
+    rows = rows.select(F.struct(*SENT).alias("row"), F.col("x.i").cast("array<int>").alias("at"), F.col("x.f").alias("forms"))
+    schema = T.StructType([rows.schema["row"], T.StructField("start", T.IntegerType()), T.StructField("len", T.IntegerType()), T.StructField("label", T.StringType())])
+    own = phrases.select(F.lower("phrase").alias("phrase"), "label").where(F.trim("phrase") != "").distinct()
+    n, out = max(1, -(-own.count() // PHRASE_BLOCK)), None
+    if n > 1:
+        rows = cut_lineage(rows)
+    for k in range(n):
+        block = own.where(F.pmod(F.xxhash64("phrase"), F.lit(n)) == k) if n > 1 else own
+        held = tokens.sparkSession.sparkContext.broadcast(_trie([tuple(r) for r in block.collect()]))
+        one = rows.mapInArrow(_walker(held), schema).select("row.*", "start", "len", "label")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def match_phrases(tokens: DataFrame, phrases: DataFrame) -> DataFrame:
     """Keep the longest, then earliest, non-overlapping phrase spans of each
     sentence (greedy over the sorted span list of the sentence)."""
-    c = phrase_candidates(tokens, phrases, max_len)
+    c = phrase_candidates(tokens, phrases)
     per_sent = c.groupBy(*SENT).agg(F.array_sort(F.collect_list(
         F.struct((-F.col("len")).alias("neg_len"), "start", "len", "label"))).alias("spans"))
     empty = F.array().cast("array<struct<neg_len:int,start:int,len:int,label:string>>")

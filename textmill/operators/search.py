@@ -33,8 +33,9 @@ from pyspark.sql import functions as F
 
 from textmill.session import ensure_checkpoint_dir
 
-#: Fits that run at once, and rows that a task walks through a forest at a time.
-PARALLEL, ROWS = 6, 500
+#: Fits that run at once, rows that a task walks through a forest at a time,
+#: and rows of a task of the last stage's fits (each is many short jobs).
+PARALLEL, ROWS, TASK_ROWS = 6, 500, 1000
 #: Parameters of a forest that its cuts answer.
 CUT_PARAMS = ("numTrees", "maxDepth", "minInstancesSplit")
 
@@ -223,7 +224,7 @@ def _scores(stages: list, grid: list[dict], ids: list[int], train: DataFrame, he
             continue
         before = fitted.transform(train)
         if len(rest) == 1:  # what the last stage reads, for all its fits
-            before, after = (d.persist(StorageLevel.MEMORY_AND_DISK) for d in (before, after))
+            before, after = (d.coalesce(max(1, -(-n // TASK_ROWS))).persist(StorageLevel.MEMORY_AND_DISK) for d, n in ((before, train.count()), (after, held.count())))
         out |= _scores(rest, grid, own, before, after, metric)
         if len(rest) == 1:
             before.unpersist()

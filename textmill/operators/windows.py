@@ -85,16 +85,6 @@ def downsample_class(df: DataFrame, label: str, value, cap: int = 700, key: str
     return rest.unionByName(kept)
 
 
-def truncate_tokens(df: DataFrame, tokens: str, vocab_terms: list[str] | None, max_len: int,
-                    vocab_col: Column | None = None, out: str = "kept") -> DataFrame:
-    """First ``max_len`` in-vocabulary tokens of each document; the document
-    is one row, so this is array code (no window, no shuffle)."""
-    if vocab_col is None:
-        vocab_col = F.array(*[F.lit(t) for t in vocab_terms])
-    inv = F.filter(F.col(tokens), lambda t: F.array_contains(vocab_col, t))
-    return df.withColumn(out, F.slice(inv, 1, max_len))
-
-
 def top_k_per_group(df: DataFrame, group: list[str], order: list[Column], k: int,
                     out: str = "rank", salts: int = 64) -> DataFrame:
     """Exact top k rows per group in two phases: the top k of each

@@ -25,6 +25,7 @@ from textmill.operators.counts import lexicon_counts
 from textmill.plans import corpus, q_relational  # noqa: F401 (its oracles are used again below)
 from textmill.plans import sqlparts as S
 from textmill.plans.q_vectors import EXPLICIT_SQL, explicit_vectors
+from textmill.plans.q_relational import score_responses, score_sql
 from textmill.plans.registry import ORACLES, query
 from textmill.session import cut_lineage, ensure_checkpoint_dir
 from textmill.sources import sinks as SK
@@ -122,39 +123,32 @@ def nearest_reference(spark, sf_dir):
 
 # ---------------------------------------------------------------- score responses
 def responses(spark, sf_dir):
-    """Service responses built from doc_id arithmetic: a JSON document with
-    two scores, '-1' for every 13th id (unparseable), null for every 17th
-    (service failure)."""
-    d = table(spark, sf_dir, "documents", ["doc_id"])
-    i = F.col("doc_id")
-    js = F.concat(F.lit('{"attributeScores": {"TOXICITY": {"summaryScore": {"value": '),
-                  ((i % 97) / 97).cast("string"), F.lit('}}, "INSULT": {"summaryScore": {"value": '),
-                  ((i % 89) / 89).cast("string"), F.lit("}}}}"))
-    resp = F.when(i % 17 == 0, F.lit(None).cast("string")).when(i % 13 == 0, F.lit("-1")).otherwise(js)
-    return d.select(i.alias("id"), resp.alias("response"))
+    """Service responses: a JSON document with the scores of a text's words,
+    '-1' for a text of one word (too short to score), null for one of none."""
+    d = table(spark, sf_dir, "documents", ["doc_id", "text"]).select(F.col("doc_id").alias("id"), "text")
+    words = d.select("id", F.size(T.word_tokens(F.coalesce("text", F.lit("")))).alias("n"), F.coalesce("text", F.lit("")).alias("text"))
+    scored = score_responses(words, "text", keep=["n"])
+    return scored.select("id", F.when(F.col("n") == 1, "-1").when(F.col("n") > 1, F.col("response")).alias("response"))
 
 
-_RESP_SQL = """resp AS (SELECT doc_id AS id, CASE WHEN doc_id % 17 = 0 THEN NULL WHEN doc_id % 13 = 0 THEN '-1'
-  ELSE '{"attributeScores": {"TOXICITY": {"summaryScore": {"value": ' || ((doc_id % 97) / 97) || '}}, "INSULT": {"summaryScore": {"value": '
-       || ((doc_id % 89) / 89) || '}}}}' END AS response FROM documents)"""
+_SCORES = score_sql("text")
+_RESP_SQL = f"""resp AS (SELECT id, n, CASE WHEN n = 1 THEN '-1' WHEN n > 1 THEN 'json' END AS response, {', '.join(f'{e} AS {k}' for k, e in _SCORES.items())}
+  FROM (SELECT doc_id AS id, coalesce(text, '') AS text, len({S.word_tokens("coalesce(text, '')")}) AS n FROM documents))"""
 
 
 @query("parse_scores", f"""WITH {_RESP_SQL}
-SELECT id, k AS name, round(CAST(json_extract(response, '$.attributeScores.' || k || '.summaryScore.value') AS DOUBLE), 6) + 0.0 AS value
-FROM (SELECT id, response, unnest(json_keys(response, '$.attributeScores')) AS k FROM resp WHERE response <> '-1')""")
+{' UNION ALL '.join(f"SELECT id, '{k}' AS name, round({k}, 6) + 0.0 AS value FROM resp WHERE n > 1" for k in _SCORES)}""")
 def parse_scores(spark, sf_dir):
     r = responses(spark, sf_dir).where(F.col("response") != "-1")
     return J.parse_scores(r, "response").select("id", "name", R6(F.col("value")).alias("value"))
 
 
 @query("score_status", f"""WITH {_RESP_SQL}
-SELECT id, CASE WHEN response IS NULL THEN 'failed' WHEN trim(response) = '-1' THEN 'unparseable' ELSE 'ok' END AS status,
-  round(CASE WHEN response IS NOT NULL AND response <> '-1' THEN CAST(json_extract(response, '$.attributeScores.TOXICITY.summaryScore.value') AS DOUBLE) END, 6) + 0.0 AS toxicity
-FROM resp""")
+SELECT id, CASE n WHEN 0 THEN 'failed' WHEN 1 THEN 'unparseable' ELSE 'ok' END AS status, round(CASE WHEN n > 1 THEN BOOSTER END, 6) + 0.0 AS booster FROM resp""")
 def score_status(spark, sf_dir):
     r = J.score_status(responses(spark, sf_dir), "response")
-    tox = F.get_json_object(F.col("response"), "$.attributeScores.TOXICITY.summaryScore.value").cast("double")
-    return r.select("id", "status", R6(F.when(F.col("status") == "ok", tox)).alias("toxicity"))
+    score = F.get_json_object(F.col("response"), "$.attributeScores.BOOSTER.summaryScore.value").cast("double")
+    return r.select("id", "status", R6(F.when(F.col("status") == "ok", score)).alias("booster"))
 
 
 # ---------------------------------------------------------------- metrics

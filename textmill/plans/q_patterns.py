@@ -31,7 +31,7 @@ def phrases_df(spark):
 
 def _spans(spark, sf_dir):
     tok = corpus.tokens(spark, sf_dir)
-    return tok, P.match_phrases(tok, phrases_df(spark), 2)
+    return tok, P.match_phrases(tok, phrases_df(spark))
 
 
 def coded_tokens(spark, sf_dir):

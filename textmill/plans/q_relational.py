@@ -16,6 +16,7 @@ from textmill.operators import windows as WN
 from textmill.plans import corpus
 from textmill.plans import sqlparts as S
 from textmill.plans.registry import query
+from textmill.session import cut_lineage
 from textmill.sources.files import flatten_terms, table
 
 
@@ -320,7 +321,7 @@ def join_features(spark, sf_dir):
     return J.join_features(base, _long_features(spark, sf_dir), ["boosters_total", "hashtag_count", "hedges_total"])
 
 
-def _scores(df, text_col):
+def score_responses(df, text_col, keep=()):
     """Deterministic text scores in the service's JSON shape: shares of
     lexicon words among the tokens."""
     toks = T.word_tokens(F.col(text_col))
@@ -330,17 +331,17 @@ def _scores(df, text_col):
         return F.struct(F.struct(R6(share(terms)).alias("value")).alias("summaryScore"))
 
     scores = F.struct(score(GENDERED).alias("GENDERED"), score(corpus.BOOSTERS).alias("BOOSTER"))
-    return df.select("id", F.to_json(F.struct(scores.alias("attributeScores"))).alias("response"))
+    return df.select("id", *keep, F.to_json(F.struct(scores.alias("attributeScores"))).alias("response"))
 
 
-def _score_sql(e):
+def score_sql(e):
     toks = S.word_tokens(e)
     return {name: f"round(len(list_filter({toks}, lambda t: list_contains({S.lit_list(terms)}, t))) / greatest(len({toks}), 1), 6)"
             for name, terms in [("GENDERED", GENDERED), ("BOOSTER", corpus.BOOSTERS)]}
 
 
-_ORIG = _score_sql("text")
-_MASK = _score_sql(S.mask_terms("text", GENDERED))
+_ORIG = score_sql("text")
+_MASK = score_sql(S.mask_terms("text", GENDERED))
 
 
 @query("score_difference", f"""
@@ -352,8 +353,8 @@ def score_difference(spark, sf_dir):
     """Scores of the original text minus scores of the masked text, per
     score name (long form, joined on (id, name))."""
     d = table(spark, sf_dir, "documents", ["doc_id", "text"]).withColumnRenamed("doc_id", "id")
-    orig = J.parse_scores(_scores(d, "text"), "response")
-    masked = J.parse_scores(_scores(d.withColumn("text", T.mask_terms(F.col("text"), GENDERED)), "text"), "response")
+    orig = J.parse_scores(score_responses(d, "text"), "response")
+    masked = J.parse_scores(score_responses(d.withColumn("text", T.mask_terms(F.col("text"), GENDERED)), "text"), "response")
     return J.score_difference(orig, masked).select("id", "name", R6(F.col("value")).alias("value"))
 
 
@@ -454,13 +455,14 @@ def lexicon_totals(spark, sf_dir):
 
 
 def _social_vocab_counts(spark, sf_dir, prefix):
-    s = corpus.social(spark, sf_dir)
-    tok = s.select("id", "split", T.social_tokens(F.col("text")).alias("tokens"))
+    """(ids, counts): the tags are taken out of each text first, so that only
+    they are joined with the labels, grouped and moved."""
     extract = T.extract_hashtags if prefix == "#" else T.extract_mentions
-    vocab = (s.where(F.col("split") == "train")
-             .select(A.explode(extract(F.col("text"))).alias("term"))
-             .select(F.lower("term").alias("term")).distinct())
-    return tok, C.vocabulary_counts(tok, "tokens", vocab)
+    tags = F.filter(T.social_tokens(F.col("text")), lambda t: F.startswith(t, F.lit(prefix)))
+    s = cut_lineage(corpus.social_text(spark, sf_dir).select("id", tags.alias("tokens"), extract(F.col("text")).alias("found")))
+    train = table(spark, sf_dir, "labels", ["doc_id", "toxic"]).where("toxic is not null").select(F.col("doc_id").alias("id"))
+    vocab = s.join(train, "id", "left_semi").select(A.explode("found").alias("term")).select(F.lower("term").alias("term")).distinct()
+    return s.select("id", "tokens"), C.vocabulary_counts(s, "tokens", vocab)
 
 
 def _social_vocab_sql(prefix):
