@@ -221,6 +221,9 @@ def test_token_file(spark, texts):
     first = ShardReader(manifest.orderBy("part").first()["path"])
     ids, mask = first.sequence(0)
     assert len(ids) == len(mask) == 64 and ids.base is not None
+    for row in (0, sum(first.file.get_batch(k).num_rows for k in range(first.file.num_record_batches)) - 1):
+        bits = first.mask_bits(row)
+        assert bits.base is not None and (np.unpackbits(bits, bitorder="little").astype(bool) == first.sequence(row)[1]).all()
     assert write_tokens(frame(spark, texts).limit(0), spec, 1).collect() == []
 
 

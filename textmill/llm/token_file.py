@@ -196,7 +196,7 @@ class ShardWriter:
     def __init__(self, folder: str, name: str, length: int, wide: bool):
         self.fs, self.path = file_system(f"{folder}/{name}")
         self.length, self.kind = length, pa.uint32() if wide else pa.uint16()
-        self.schema = pa.schema([("ids", pa.list_(self.kind, length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("ids", pa.list_(self.kind, length)), ("mask", pa.list_(pa.bool_(), length))])
         self.out = self.fs.open_output_stream(f"{self.path}.arrow")
         self.writer = pa.ipc.new_file(self.out, self.schema)
         self.left: list[np.ndarray] = []
@@ -207,7 +207,7 @@ class ShardWriter:
     def _rows(self, ids: np.ndarray, real: int) -> None:
         for k in range(0, len(ids), self.length * BATCH_ROWS):
             part = ids[k : k + self.length * BATCH_ROWS]
-            mask = (np.arange(k, k + len(part)) < real).astype(np.uint8)
+            mask = np.arange(k, k + len(part)) < real
             self.writer.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (part, mask)], schema=self.schema))
 
     def add(self, ids: pa.Array, counts: np.ndarray, tokens: np.ndarray) -> None:
@@ -247,10 +247,19 @@ class ShardReader:
         self.length = self.file.schema.field("ids").type.list_size
 
     def sequence(self, row: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, mask) of one row, both views; the mask is 1 for ids, 0 for padding."""
+        """(ids, mask) of one row; the ids are a view, the mask is unpacked from its bits."""
         batch, at = self.file.get_batch(row // BATCH_ROWS), row % BATCH_ROWS
         cut = slice(at * self.length, (at + 1) * self.length)
-        return batch.column("ids").flatten().to_numpy()[cut], batch.column("mask").flatten().to_numpy()[cut]
+        return batch.column("ids").flatten().to_numpy()[cut], batch.column("mask").flatten().to_numpy(zero_copy_only=False)[cut]
+
+    def mask_bits(self, row: int) -> np.ndarray:
+        """The mask of one row as a view of the file: a byte holds eight
+        positions, the lowest bit first (``length`` is a multiple of eight)."""
+        if self.length % 8:
+            raise ValueError("rows of this length do not begin at whole bytes")
+        bits, size = self.file.get_batch(row // BATCH_ROWS).column("mask").flatten(), self.length // 8
+        at = bits.offset // 8 + row % BATCH_ROWS * size
+        return np.frombuffer(bits.buffers()[1], np.uint8)[at : at + size]
 
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """(doc_id, local start, ids) of each document, in order."""
