@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textmill.sources.quoted import scan_quoted
+
 DRIVER_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                  "events", "documents", "embeddings", "pages", "benchmark", "labels",
                  "conversations"]
@@ -54,9 +56,10 @@ def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None
 def scan_posts(spark: SparkSession, path: str, columns: list[str] | None = None,
                sep: str = "\t", schema: T.StructType = POST_SCHEMA, multi_line: bool = False) -> DataFrame:
     """Delimited post table (header, quoted fields).  ``multi_line`` reads
-    fields with line ends, but then a file is one task whatever its size."""
-    df = (spark.read.schema(schema)
-          .option("header", True).option("sep", sep).option("multiLine", multi_line)
+    fields with line ends, by blocks of lines (``quoted``)."""
+    df = (scan_quoted(spark, path, schema, sep) if multi_line else
+          spark.read.schema(schema)
+          .option("header", True).option("sep", sep)
           .option("quote", '"').option("escape", '"').option("enforceSchema", False)
           .csv(path))
     return df.select(*columns) if columns else df
@@ -83,8 +86,8 @@ def scan_lexicon(spark: SparkSession, path: str, sep: str = "\t", skip_comments:
 def scan_reference_items(spark: SparkSession, path: str, with_modifications: bool = False,
                          multi_line: bool = False) -> DataFrame:
     """Reference items, originals only unless modifications are asked for."""
-    df = (spark.read.schema(REFERENCE_ITEM_SCHEMA).option("header", True)
-          .option("multiLine", multi_line).option("escape", '"').csv(path))
+    df = (scan_quoted(spark, path, REFERENCE_ITEM_SCHEMA, check_header=False) if multi_line else
+          spark.read.schema(REFERENCE_ITEM_SCHEMA).option("header", True).option("escape", '"').csv(path))
     return df if with_modifications else df.where(F.col("of_id") == -1)
 
 
