@@ -37,6 +37,7 @@ VALENCE = [("good", 1.9), ("the", 0.2), ("of", -0.1), ("and", 0.4), ("is", 0.6),
            ("was", -0.5), ("with", 0.9), ("are", 1.1), ("this", -1.2), ("de", 0.3), ("la", -0.4),
            ("und", 0.7), ("der", -0.6), ("que", 1.3), ("le", -1.5)]
 NEGATIONS = ["not", "no", "nicht", "pas", "never"]
+CONTRASTS = ["but", "aber", "mais", "pero"]
 VALENCE_BOOSTERS = [("very", 0.293), ("most", 0.293), ("by", 0.293), ("on", -0.293)]
 # Multi-word phrases for the dictionary matcher, with their group label.
 PHRASES = [("of the", "FUNC"), ("in the", "FUNC"), ("the", "ART"), ("la", "ART"),

@@ -38,34 +38,56 @@ def R6(c):
 
 # ---------------------------------------------------------------- valence
 def _valence_sql() -> str:
-    def case(expr, pairs, default="0.0"):
-        return "CASE " + expr + " " + " ".join(f"WHEN '{k}' THEN {float(v)}" for k, v in pairs) + f" ELSE {default} END"
-
-    prev = lambda k: f"(CASE WHEN i > {k} THEN tl[i - {k}] END)"
-    base = case("t", corpus.VALENCE)
-    boost = " + ".join(f"({case(prev(k), corpus.VALENCE_BOOSTERS)}) * {d}" for k, d in zip([1, 2, 3], VL.BOOSTER_DAMPING))
-    neg = " OR ".join(f"coalesce(list_contains({S.lit_list(corpus.NEGATIONS)}, {prev(k)}), false)" for k in [1, 2, 3])
-    s = f"(CASE WHEN ({base}) <> 0 THEN ({base}) + sign({base}) * ({boost}) ELSE 0.0 END)"
-    score = f"(CASE WHEN {neg} THEN {s} * ({VL.NEGATION_SCALAR}) ELSE {s} END)"
-    return f"""WITH d AS (SELECT doc_id AS id, {S.word_tokens(S.clean_text('text'))} AS tl FROM documents),
-sc AS (SELECT id, list_transform(tl, lambda t, i: {score}) AS s FROM d),
-ag AS (SELECT id, coalesce(list_sum(s), 0.0) AS tot,
-              coalesce(list_sum(list_transform(list_filter(s, lambda x: x > 0), lambda x: x + 1)), 0.0) AS ps,
-              coalesce(list_sum(list_transform(list_filter(s, lambda x: x < 0), lambda x: x - 1)), 0.0) AS ns,
-              CAST(len(list_filter(s, lambda x: x = 0)) AS DOUBLE) AS nu FROM sc)
+    def case(expr, pairs):
+        return "CASE " + expr + " " + " ".join(f"WHEN '{k}' THEN CAST({float(v)} AS DOUBLE)" for k, v in pairs) + " ELSE CAST(0.0 AS DOUBLE) END"
+
+    def step(k):
+        """The k-th token before acts on the scores."""
+        factor = f"CASE WHEN list_contains({S.lit_list(corpus.NEGATIONS)}, tl[i - {k}]) THEN {VL.NEGATION_SCALAR} ELSE 1.0 END"
+        if k in VL.NEVER_FACTORS:
+            so = " OR ".join(f"list_contains({S.lit_list(VL.NEVER_SO)}, tl[i - {j}])" for j in range(1, k))
+            factor = f"CASE WHEN tl[i - {k}] = '{VL.NEVER}' AND ({so}) THEN {VL.NEVER_FACTORS[k]} ELSE {factor} END"
+        boost = f"CASE WHEN bo[i - {k}] <> 0 THEN (bo[i - {k}] + CASE WHEN mixed AND cp[i - {k}] THEN {VL.CAPITALS} ELSE 0.0 END) * {VL.BOOSTER_DAMPING[k - 1]} ELSE 0.0 END"
+        return (f"s{k} AS (SELECT * REPLACE (list_transform(s, lambda x, i: CASE WHEN v[i] <> 0 AND i > {k} AND v[i - {k}] = 0"
+                f" THEN (x + sign(x) * ({boost})) * CAST(({factor}) AS DOUBLE) ELSE x END) AS s) FROM s{k - 1})")
+
+    marks = lambda c: f"(length(txt) - length(replace(txt, '{c}', '')))"
+    return f"""WITH d AS (SELECT doc_id AS id, {S.clean_text('text')} AS txt FROM documents),
+w AS (SELECT id, txt, regexp_extract_all(txt, '{S.W}{{2,}}') AS tc FROM d),
+l AS (SELECT id, txt, list_transform(tc, lambda t: lower(t)) AS tl, list_transform(tc, lambda t: t = upper(t) AND t <> lower(t)) AS cp FROM w),
+b AS (SELECT *, list_contains(cp, true) AND list_contains(cp, false) AS mixed, list_transform(tl, lambda t: {case("t", corpus.VALENCE)}) AS v,
+             list_transform(tl, lambda t: {case("t", corpus.VALENCE_BOOSTERS)}) AS bo,
+             list_min(list_transform(tl, lambda t, i: CASE WHEN list_contains({S.lit_list(corpus.CONTRASTS)}, t) THEN i END)) AS p FROM l),
+s0 AS (SELECT *, list_transform(v, lambda x, i: x + CASE WHEN mixed AND cp[i] THEN sign(x) * {VL.CAPITALS} ELSE 0.0 END) AS s FROM b),
+{step(1)},
+{step(2)},
+{step(3)},
+sc AS (SELECT id, txt, list_transform(s, lambda x, i: x
+         * CASE WHEN i > 1 AND tl[i - 1] = '{VL.LEAST}' AND v[i - 1] = 0 AND NOT coalesce(i > 2 AND list_contains({S.lit_list(VL.NOT_LEAST)}, tl[i - 2]), false)
+                THEN {VL.NEGATION_SCALAR} ELSE 1.0 END
+         * CASE WHEN i < p THEN {VL.CONTRAST_BEFORE} WHEN i > p THEN {VL.CONTRAST_AFTER} ELSE 1.0 END) AS s FROM s3),
+ag AS (SELECT id, coalesce(list_sum(s), 0.0) AS tot0,
+              coalesce(list_sum(list_filter(s, lambda x: x > 0)), 0.0) + len(list_filter(s, lambda x: x > 0)) AS ps0,
+              coalesce(list_sum(list_filter(s, lambda x: x < 0)), 0.0) - len(list_filter(s, lambda x: x < 0)) AS ns0,
+              CAST(len(list_filter(s, lambda x: x = 0)) AS DOUBLE) AS nu,
+              least({marks('!')}, {VL.MOST_EXCLAMATIONS}) * CAST({VL.EXCLAMATION} AS DOUBLE)
+              + CASE WHEN {marks('?')} > {VL.MOST_QUESTIONS} THEN CAST({VL.MANY_QUESTIONS} AS DOUBLE)
+                     WHEN {marks('?')} > 1 THEN {marks('?')} * CAST({VL.QUESTION} AS DOUBLE) ELSE 0.0 END AS amp FROM sc),
+am AS (SELECT id, nu, tot0 + sign(tot0) * amp AS tot, ps0 + CASE WHEN ps0 > -ns0 THEN amp ELSE 0.0 END AS ps,
+              ns0 - CASE WHEN ps0 < -ns0 THEN amp ELSE 0.0 END AS ns FROM ag)
 SELECT id,
   round(CASE WHEN ps + abs(ns) + nu > 0 THEN abs(ns / (ps + abs(ns) + nu)) ELSE 0.0 END, 4) + 0.0 AS neg,
   round(CASE WHEN ps + abs(ns) + nu > 0 THEN abs(nu / (ps + abs(ns) + nu)) ELSE 0.0 END, 4) + 0.0 AS neu,
   round(CASE WHEN ps + abs(ns) + nu > 0 THEN abs(ps / (ps + abs(ns) + nu)) ELSE 0.0 END, 4) + 0.0 AS pos,
   round(tot / sqrt(tot * tot + {VL.NORMALISATION_ALPHA}), 4) + 0.0 AS compound
-FROM ag"""
+FROM am"""
 
 
 @query("valence_scores", _valence_sql())
 def valence_scores(spark, sf_dir):
-    """neg / neu / pos shares and compound score per document."""
-    dt = corpus.doc_tokens(spark, sf_dir)
-    return VL.valence_scores(dt, "tokens", corpus.VALENCE, corpus.NEGATIONS, corpus.VALENCE_BOOSTERS)
+    """neg / neu / pos shares and compound score per document, from its cleaned text."""
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"]).select(F.col("doc_id").alias("id"), T.clean_text(F.col("text")).alias("text"))
+    return VL.valence_scores(docs, "text", corpus.VALENCE, corpus.NEGATIONS, corpus.VALENCE_BOOSTERS, corpus.CONTRASTS)
 
 
 # ---------------------------------------------------------------- nearest reference
