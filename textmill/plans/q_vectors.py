@@ -210,6 +210,19 @@ def document_vectors(spark, sf_dir):
     return V.document_vectors(dt, vecs, w, max_len=100, rmpc=1, key="id")
 
 
+@query("document_vectors_fit_on")
+def document_vectors_fit_on(spark, sf_dir):
+    """Document vectors whose words, weights and removed component come from the
+    labelled documents alone; other words are placed by their pairs with known ones."""
+    labelled = table(spark, sf_dir, "labels", ["doc_id"]).select(F.col("doc_id").alias("id")).distinct()
+    dt = corpus.doc_tokens(spark, sf_dir).join(labelled.withColumn("train", F.lit(True)), "id", "left")
+    dt = cut_lineage(dt.select("id", "tokens", F.coalesce("train", F.lit(False)).alias("train")))
+    vecs = cut_lineage(V.word_vectors_fit_on(dt, F.col("train"), "tokens", MIN_COUNT, WINDOW, 50, key="id"))
+    w = sif_weights(dt.where("train").select(A.explode("tokens").alias("token")), "token", 1e-3)
+    w = vecs.select("token").join(w, "token", "left").select("token", F.coalesce("w", F.lit(1.0)).alias("w"))  # never seen: a / (a + 0)
+    return V.document_vectors(dt, vecs, w, max_len=100, rmpc=1, key="id", fit_on=labelled)
+
+
 @query("remove_component")
 def remove_component(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]).select(
