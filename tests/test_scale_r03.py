@@ -67,3 +67,30 @@ def test_cells_are_not_expanded_for_their_totals(spark):
 
 def test_word_features_are_written_once(spark):
     assert _stored(q_models._word_features(spark, SF)) == {"id", "name", "value"}
+
+
+@pytest.fixture(scope="module")
+def coded(spark):
+    import random
+    rng = random.Random(4)
+    rows = [(d, s, i, rng.choice([None, *range(-1, 9)]), rng.choice("abcdefgh") + rng.choice("xyz"))
+            for d in range(30) for s in range(4) for i in range(rng.randrange(9))]
+    return spark.createDataFrame(rows, "doc_id long, sent_id int, i int, head int, code string")
+
+
+def test_only_what_may_be_frequent_is_counted(spark, coded):
+    from textmill.operators import patterns as P
+    sents = P.sentence_rows(coded).cache()
+    every = {tuple(r.pattern): r.cnt for r in P.sentence_patterns(sents, 4, by_doc=False).groupBy("pattern").agg(F.sum("cnt").alias("cnt")).collect()}
+    frequent = {p: n for p, n in every.items() if len(p) == 1 or n >= 4}
+    assert {tuple(r.pattern): r.cnt for r in P.frequent_counts(sents, 4, 4).collect()} == frequent
+    passed = {tuple(r.pattern) for r in P.sentence_patterns(sents, 4, by_doc=False, only=P.frequent_bits(sents, 4, 4, P.token_sizes(sents))).collect()}
+    assert set(frequent) <= passed and len(passed) < len(every) / 2
+    whole = P.ngram_counts(P.sentence_patterns(sents, 4))
+    p = {tuple(r.pattern): r.p for r in whole.collect()}
+    assert all(abs(r.p - p[tuple(r.pattern)]) < 1e-12 for r in P.frequent_counts(sents, 4, 4).collect())
+    final, per_doc = P.mine_collocations(coded, 1, 4, 0.5, 4)
+    kept = P.collocation_score(whole, P.unigram_probabilities(whole), 0.5).where("keep and cnt >= 4").select("pattern")
+    ids = P.compact_pattern_ids(P.maximal_patterns(kept))
+    assert sorted(map(tuple, final.select("pid", F.concat_ws("|", "pattern")).collect())) == sorted(map(tuple, ids.select("pid", F.concat_ws("|", "pattern")).collect()))
+    assert sorted(map(tuple, per_doc.collect())) == sorted(map(tuple, P.doc_pattern_counts(P.sentence_patterns(sents, 4), ids).collect()))
