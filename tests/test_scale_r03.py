@@ -94,3 +94,17 @@ def test_only_what_may_be_frequent_is_counted(spark, coded):
     ids = P.compact_pattern_ids(P.maximal_patterns(kept))
     assert sorted(map(tuple, final.select("pid", F.concat_ws("|", "pattern")).collect())) == sorted(map(tuple, ids.select("pid", F.concat_ws("|", "pattern")).collect()))
     assert sorted(map(tuple, per_doc.collect())) == sorted(map(tuple, P.doc_pattern_counts(P.sentence_patterns(sents, 4), ids).collect()))
+
+
+def test_sentences_are_coded_in_their_rows(spark):
+    """As the joined token table, without a shuffle."""
+    from textmill.operators import patterns as P
+    from textmill.plans import corpus, q_patterns
+    tok, ph = corpus.tokens(spark, SF), q_patterns.phrases_df(spark)
+    want = P.assign_cluster(P.merge_phrases(tok, P.match_phrases(tok, ph)))
+    sents = q_patterns.coded_tokens(spark, SF)
+    cols = ["doc_id", "sent_id", "i", "form", "lemma", "head", "canon", "code"]
+    got = P.token_rows(sents).select(cols)
+    assert got.exceptAll(want.select(cols)).count() == want.select(cols).exceptAll(got).count() == 0 < got.count()
+    assert "hashpartitioning" not in _plan(sents)
+    assert "hashpartitioning" not in _plan(q_patterns.match_phrases(spark, SF))
