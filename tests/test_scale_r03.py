@@ -108,3 +108,18 @@ def test_sentences_are_coded_in_their_rows(spark):
     assert got.exceptAll(want.select(cols)).count() == want.select(cols).exceptAll(got).count() == 0 < got.count()
     assert "hashpartitioning" not in _plan(sents)
     assert "hashpartitioning" not in _plan(q_patterns.match_phrases(spark, SF))
+
+
+@pytest.mark.parametrize("chars", [5, 1_000_000])
+def test_ngrams_are_counted_without_arrays(spark, monkeypatch, chars):
+    from textmill.functions import arrays as A
+    from textmill.functions.text import char_ngrams
+    from textmill.operators import counts as C
+    monkeypatch.setattr(C, "COUNTED_CHARS", chars)
+    texts = ["Abcabc  abc", "", None, "ab", "é中abc\n\n abc", "abcabcabc", "xyz" * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    want = A.explode_counts(df, "id", char_ngrams(F.col("text"), 3, 4), "g", "c").groupBy("g").agg(F.sum("c"), F.count("*"))
+    got = C.char_ngram_counts(df, "text", 3, 4)
+    assert {r.ngram: (r.n, r.cnt, r.n_docs) for r in got.collect()} == {r[0]: (len(r[0]), r[1], r[2]) for r in want.collect()}
+    big = spark.createDataFrame([("\U0001F600ab\U0001F600",)], "text string")
+    assert {(r.ngram, r.cnt) for r in C.char_ngram_counts(big, "text", 3, 4).collect()} == {("\U0001F600ab", 1), ("ab\U0001F600", 1), ("\U0001F600ab\U0001F600", 1)}

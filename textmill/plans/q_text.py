@@ -151,11 +151,7 @@ def char_ngrams(spark, sf_dir):
     """Corpus table of character 3- and 4-grams: occurrences and document
     frequency (the vocabulary statistics the vectoriser needs)."""
     d = table(spark, sf_dir, "documents", ["doc_id", "text"])
-    # counted inside the document's row, so a frequent n-gram is one row per document
-    per_doc = A.explode_counts(d, "doc_id", T.char_ngrams(F.col("text"), 3, 4), "ngram", "c")
-    return per_doc.groupBy("ngram").agg(F.length("ngram").cast("long").alias("n"),
-                                        F.sum("c").cast("long").alias("cnt"),
-                                        F.count("*").alias("n_docs"))
+    return C.char_ngram_counts(d, "text", 3, 4)
 
 
 @query("extract_hashtags", f"""WITH {S.SOCIAL}
