@@ -6,7 +6,9 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import functions as F
 
 from textmill.operators import models as MD
+from textmill.operators import patterns as P
 from textmill.operators import search as SR
+from textmill.plans import q_patterns
 
 SF = "/root/testdata/sf0.001"
 
@@ -46,3 +48,24 @@ def test_stored_rows_have_what_is_read(spark, texts, monkeypatch):
     MD.fit_stages(pipe, texts)
     MD.grid_search(pipe, [{}], texts, metric="accuracy", refit=False)
     assert len(written) == 7 and all(w == {"counts", "label"} for w in written)
+
+
+@pytest.fixture(scope="module")
+def coded(spark):
+    import random
+    rng = random.Random(4)
+    rows = [(d, s, i, rng.choice([None, *range(-1, 9)]), rng.choice("abcdefgh") + rng.choice("xyz"))
+            for d in range(30) for s in range(4) for i in range(rng.randrange(9))]
+    return spark.createDataFrame(rows, "doc_id long, sent_id int, i int, head int, code string")
+
+
+def test_ngrams_grow_in_their_sentences(spark, coded):
+    """As by joins, rings of heads included, without a shuffle or a table."""
+    sents = coded.groupBy("doc_id", "sent_id").agg(F.collect_list(F.struct("i", "head", "code")).alias("t")).localCheckpoint()
+    rows, own = P.unigrams(coded), P.unigrams(sents)
+    for n in range(2, 5):
+        rows, own = P.grow_connected_ngrams(rows, coded).localCheckpoint(), P.grow_connected_ngrams(own)
+        got = sorted((r.doc_id, r.sent_id, tuple(r.g)) for r in own.select("doc_id", "sent_id", F.explode("grams").alias("g")).collect())
+        assert got == sorted((r.doc_id, r.sent_id, tuple(r.gram)) for r in rows.collect()) and got
+    assert "Exchange" not in own._jdf.queryExecution().executedPlan().toString()
+    assert q_patterns.grow_connected_ngrams(spark, SF)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1

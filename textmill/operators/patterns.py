@@ -8,8 +8,9 @@ array of their tokens' codes:
 
 * plain mining: a sentence's tokens come together once, and its connected
   sets are listed inside its row (Arrow batches), counted per sentence;
-* growth n-1 -> n (pruned mining): explode the members of each (n-1)-gram,
-  join the tokens whose head is a member, add the child, distinct;
+* growth n-1 -> n (pruned mining): the children of the members of each
+  (n-1)-gram are added, distinct; inside the sentence's row, or for a token
+  table by a join of the tokens whose head is a member;
 * counts: ``groupBy(n, pattern)`` (map-side partial aggregation);
 * score: p(pattern) >= alpha x product of the unigram probabilities;
 * maximal patterns: every proper sub-multiset of a surviving pattern
@@ -233,14 +234,20 @@ def eligible(tokens: DataFrame, pos_blacklist: list[str] | None = None, filter_s
 
 
 def unigrams(tok: DataFrame) -> DataFrame:
-    """One gram per eligible token: positions [i] and pattern [code]."""
+    """One gram per eligible token: positions [i] and pattern [code].
+    Sentences get the column ``grams``, the positions of each of their grams."""
+    if "t" in tok.columns:
+        return tok.withColumn("grams", F.transform("t", lambda x: F.array(x["i"])))
     return tok.select(*SENT, F.array("i").alias("gram"), F.array("code").alias("pattern"))
 
 
-def grow_connected_ngrams(grams: DataFrame, tok: DataFrame) -> DataFrame:
+def grow_connected_ngrams(grams: DataFrame, tok: DataFrame | None = None) -> DataFrame:
     """(n-1)-grams -> n-grams: add any child of any member (tree edges).
-    The child's code travels with it, so the pattern (sorted codes) is
+    Sentences that hold their ``grams`` grow them in their rows.  From a token
+    table the child's code travels with it, so the pattern (sorted codes) is
     built during growth and never needs a join back to the tokens."""
+    if "grams" in grams.columns:
+        return grams.mapInArrow(_grown, grams.schema)
     members = grams.select(*SENT, "gram", "pattern", F.explode("gram").alias("head"))
     children = tok.where(F.col("head").isNotNull()).select(*SENT, "head", F.col("i").alias("child"),
                                                            F.col("code").alias("__code"))
@@ -251,6 +258,55 @@ def grow_connected_ngrams(grams: DataFrame, tok: DataFrame) -> DataFrame:
     return grown.dropDuplicates([*SENT, "gram"])
 
 
+def _children(parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(children in the order of their heads, where each node's begin)."""
+    order = np.argsort(parent, kind="stable")
+    order = order[np.searchsorted(parent[order], 0):]
+    return order, np.searchsorted(parent[order], np.arange(len(parent) + 1))
+
+
+def _with_child(sets: np.ndarray, j: int, children: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the set, child) of each child of the sets' j-th members."""
+    order, first = children
+    begin = first[sets[:, j]]
+    size = first[sets[:, j] + 1] - begin
+    row = np.repeat(np.arange(len(sets)), size)
+    return row, order[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(len(row))]
+
+
+def _grown_sets(sets: np.ndarray, children: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The sets (rows of node numbers) with a child of a member added, each once."""
+    grown = []
+    for j in range(sets.shape[1]):
+        row, child = _with_child(sets, j, children)
+        new = np.column_stack([sets[row], child])
+        grown.append(np.sort(new[(sets[row] != child[:, None]).all(axis=1)], axis=1))
+    grown = np.concatenate(grown)
+    return _distinct(grown, len(children[1]))[0] if len(grown) else grown
+
+
+def _grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(batches):
+        row, position, parent = _tree(batch)
+        grams = batch.column("grams")
+        per_row, flat = pc.list_value_length(grams).fill_null(0).to_numpy(zero_copy_only=False), grams.flatten()
+        n = len(flat.flatten()) // max(len(flat), 1)
+        low = int(position.min(initial=0))
+        wide = int(position.max(initial=0)) - low + 1
+        key = row * wide + (position - low)
+        order = np.argsort(key, kind="stable")
+        of = np.repeat(np.arange(batch.num_rows), per_row)
+        member = flat.flatten().cast(pa.int64()).to_numpy(zero_copy_only=False).reshape(-1, max(n, 1))
+        sets = order[np.searchsorted(key[order], of[:, None] * wide + (member - low))] if len(flat) else np.zeros((0, max(n, 1)), np.int64)
+        sets = _grown_sets(sets, _children(parent))
+        sets = sets[np.argsort(row[sets[:, 0]], kind="stable")]
+        size = np.bincount(row[sets[:, 0]], minlength=batch.num_rows)
+        inner = pa.array(np.sort(position[sets], axis=1).ravel()).cast(grams.type.value_type.value_type)
+        inner = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * np.int32(sets.shape[1])), inner)
+        grown = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), inner)
+        yield batch.set_column(batch.schema.get_field_index("grams"), "grams", grown)
+
+
 def connected_sets(head: dict, max_n: int) -> Iterator[tuple]:
     """Each connected set of at most ``max_n`` nodes once, given each node's
     head.  A set is listed from its top node: every later member is a child
@@ -293,18 +349,13 @@ def _forest_sets(parent: np.ndarray, max_n: int) -> Iterator[np.ndarray]:
     """For n = 1..max_n the connected sets of n nodes of a forest without rings
     (rows of node numbers), each once: a set grows by a child that is then the
     last of its leaves."""
-    order = np.argsort(parent, kind="stable")
-    order = order[np.searchsorted(parent[order], 0):]
-    first = np.searchsorted(parent[order], np.arange(len(parent) + 1))
+    children = _children(parent)
     sets = np.arange(len(parent))[:, None]
     for n in range(1, max_n + 1):
         yield sets
         grown = []
         for j in range(n):
-            begin = first[sets[:, j]]
-            size = first[sets[:, j] + 1] - begin
-            row = np.repeat(np.arange(len(sets)), size)
-            child = order[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(len(row))]
+            row, child = _with_child(sets, j, children)
             new = np.column_stack([sets[row], child])
             heads = parent[new]
             good = (sets[row] != child[:, None]).all(axis=1)
@@ -327,22 +378,32 @@ def _parents(position: np.ndarray, head: np.ndarray, has: np.ndarray, row: np.nd
     return np.where(has & (key[found] == want) & (found != np.arange(len(key))), found, -1)
 
 
-def _batch_sets(batch: pa.RecordBatch, max_n: int):
-    """(distinct codes in order, [(sentence of each set, codes of its members
-    as sorted numbers) for n = 1..max_n]) of a batch of sentences."""
+def _tree(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sentence, position, number of the head) of the tokens of a batch of sentences."""
     t = batch.column("t")
     nodes, size = t.flatten(), pc.list_value_length(t).fill_null(0).to_numpy(zero_copy_only=False)
     row = np.repeat(np.arange(batch.num_rows), size)
     position = nodes.field("i").cast(pa.int64()).to_numpy(zero_copy_only=False)
     head = nodes.field("head").cast(pa.int64())
     has = head.is_valid().to_numpy(zero_copy_only=False)
-    head = head.fill_null(0).to_numpy(zero_copy_only=False)
-    coded = nodes.field("code").dictionary_encode()
+    return row, position, _parents(position, head.fill_null(0).to_numpy(zero_copy_only=False), has, row)
+
+
+def _codes(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
+    """(distinct codes in order, number of each token's code) of a batch of sentences."""
+    coded = batch.column("t").flatten().field("code").dictionary_encode()
     order = pc.array_sort_indices(coded.dictionary).to_numpy()
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    code = rank[coded.indices.to_numpy(zero_copy_only=False)] if len(rank) else np.zeros(0, np.int64)
-    parent = _parents(position, head, has, row)
+    return coded.dictionary.take(pa.array(order)), rank[coded.indices.to_numpy(zero_copy_only=False)] if len(rank) else np.zeros(0, np.int64)
+
+
+def _batch_sets(batch: pa.RecordBatch, max_n: int):
+    """(distinct codes in order, [(sentence of each set, codes of its members
+    as sorted numbers) for n = 1..max_n]) of a batch of sentences."""
+    row, _, parent = _tree(batch)
+    codes, code = _codes(batch)
+    size = np.bincount(row, minlength=1)
     up = parent.copy()  # after as many steps as there are nodes only those under a ring have a head left
     for _ in range(max(1, int(size.max(initial=1))).bit_length()):
         up = np.where(up >= 0, up[up], -1)
@@ -358,7 +419,7 @@ def _batch_sets(batch: pa.RecordBatch, max_n: int):
             some = [m for m in extra if len(m) == n + 1]
             if some:
                 sets[n] = np.concatenate([sets[n], np.array(some)])
-    return coded.dictionary.take(pa.array(order)), [(row[x[:, 0]], np.sort(code[x], axis=1)) for x in sets]
+    return codes, [(row[x[:, 0]], np.sort(code[x], axis=1)) for x in sets]
 
 
 def _hashes(codes: pa.Array) -> np.ndarray:

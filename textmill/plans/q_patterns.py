@@ -134,13 +134,13 @@ def assign_cluster(spark, sf_dir):
 @query("grow_connected_ngrams", f"WITH {GROWN} SELECT doc_id, CAST(len(gram) AS INTEGER) AS n, count(*) AS cnt FROM gall GROUP BY doc_id, len(gram)")
 def grow_connected_ngrams(spark, sf_dir):
     """Connected n-grams (n = 1..4) over the dependency tree, per document."""
-    tok = cut_lineage(P.token_rows(P.eligible(coded_tokens(spark, sf_dir))))
-    g = P.unigrams(tok)
-    allg = g
+    sents = P.eligible(coded_tokens(spark, sf_dir))
+    small = F.transform("t", lambda x: F.struct(x["i"].alias("i"), x["head"].alias("head")))
+    g = P.unigrams(sents.select("doc_id", small.alias("t"))).withColumn("sizes", F.array(F.size("grams")))
     for _ in range(2, MAX_N + 1):
-        g = cut_lineage(P.grow_connected_ngrams(g, tok))
-        allg = allg.unionByName(g)
-    return allg.groupBy("doc_id", F.size("gram").cast("int").alias("n")).agg(F.count("*").alias("cnt"))
+        g = P.grow_connected_ngrams(g).withColumn("sizes", F.concat("sizes", F.array(F.size("grams"))))
+    sizes = g.select("doc_id", F.posexplode("sizes").alias("k", "cnt")).where(F.col("cnt") > 0)
+    return sizes.groupBy("doc_id", (F.col("k") + 1).cast("int").alias("n")).agg(F.sum("cnt").alias("cnt"))
 
 
 def _counts(spark, sf_dir):
