@@ -5,9 +5,11 @@ from pyspark.ml import Pipeline
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import functions as F
 
+from textmill.operators import joins as J
 from textmill.operators import models as MD
 from textmill.operators import patterns as P
 from textmill.operators import search as SR
+from textmill.operators import vectors as V
 from textmill.plans import q_patterns
 
 SF = "/root/testdata/sf0.001"
@@ -69,3 +71,67 @@ def test_ngrams_grow_in_their_sentences(spark, coded):
         assert got == sorted((r.doc_id, r.sent_id, tuple(r.gram)) for r in rows.collect()) and got
     assert "Exchange" not in own._jdf.queryExecution().executedPlan().toString()
     assert q_patterns.grow_connected_ngrams(spark, SF)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    import random
+    rng = random.Random(5)
+    words = [None, [], ["a"], ["zz"] * 3, *[rng.choices(["a", "b", "c", "d", "é中", "zz", "yy"], k=rng.randrange(1, 30)) for _ in range(40)]]
+    return spark.createDataFrame([(i, w) for i, w in enumerate(words)], "doc_id long, tokens array<string>").repartition(3).localCheckpoint()
+
+
+@pytest.mark.parametrize("max_len", [None, 4])
+def test_words_are_looked_up_in_their_rows(spark, docs, monkeypatch, max_len):
+    vocab = spark.createDataFrame([("a",), ("b",), ("é中",), ("d",), ("never",)], "token string")
+    got = J.filter_in_vocab(docs, "tokens", vocab, max_len, key="doc_id")
+    want = J.joined_in_vocab(docs, "tokens", vocab, max_len, key="doc_id")
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(got) == rows(want) and "Exchange" not in got._jdf.queryExecution().executedPlan().toString().replace("RoundRobin", "")
+    monkeypatch.setattr(J, "HELD_WORDS", 4)
+    assert rows(J.filter_in_vocab(docs, "tokens", vocab, max_len, key="doc_id")) == rows(want)
+    assert all(r.kept == [] for r in J.filter_in_vocab(docs, "tokens", vocab.limit(0), key="doc_id").collect())
+
+
+@pytest.mark.parametrize("mode", ["hash", "expected"])
+@pytest.mark.parametrize("words", [1, 20, 1_000_000])
+def test_pairs_are_counted_without_rows(docs, monkeypatch, mode, words):
+    monkeypatch.setattr(V, "PAIR_WORDS", words)
+    arrays = docs.select("doc_id", F.coalesce("tokens", F.array().cast("array<string>")).alias("arr"))
+    want = V.skipgram_counts(V.skipgram_pairs(arrays, 3, mode=mode))
+    got = V.skipgram_counts(V.skipgram_pairs(arrays, 3, mode=mode, rows=False))
+    own = lambda df: {(r.word, r.context): round(r.n, 9) for r in df.collect()}
+    assert own(got) == own(want) and got.columns == want.columns
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("block", [1, 7, 10_000])
+def test_means_by_blocks_of_documents(spark, docs, monkeypatch, block):
+    monkeypatch.setattr(V, "BLOCK_DOCS", block)
+    monkeypatch.setattr(V, "ADDED_WORDS", 5)
+    vec = {"a": [1.0, 2.0], "b": [0.5, -1.0], "é中": [0.0, 3.0], "d": [1.0, 1.0]}
+    w = {"a": 0.5, "b": 0.25, "d": 2.0, "zz": 9.0}
+    got = V.weighted_vectors(docs, spark.createDataFrame(list(vec.items()), "token string, vec array<double>"),
+                             spark.createDataFrame(list(w.items()), "token string, w double"), 5, key="doc_id")
+    want = {}
+    for r in docs.collect():
+        kept = [t for t in r.tokens or [] if t in vec][:5]
+        want[r.doc_id] = [sum(w.get(t, 1e-6) * vec[t][k] for t in kept) / max(len(kept), 1) for k in range(2)]
+    assert {r.doc_id: r.vec for r in got.collect()} == {k: pytest.approx(x) for k, x in want.items()}
+
+
+def test_factors_are_written_by_blocks(spark, monkeypatch):
+    """The driver makes no row of its own for each word."""
+    import itertools
+    monkeypatch.setattr(V, "FACTOR_ROWS", 3)
+    seen, plain = [], type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **k: seen.append(len(data) if hasattr(data, "__len__") else 0) or plain(self, data, *a, **k))
+    words = "abcdefgh"
+    m = plain(spark, [(a, b, float((3 * i + 5 * j) % 7 + 1)) for (i, a), (j, b) in itertools.product(enumerate(words), repeat=2)], "word string, context string, ppmi double")
+    vocab = plain(spark, [(w, i) for i, w in enumerate(words)], "token string, tok_id long")
+    vectors, factors = V.svd_factors(m, vocab, 4)
+    assert [n for n in seen if n] == [3, 3, 2]
+    import numpy as np
+    M = np.array([[(3 * i + 5 * j) % 7 + 1.0 for j in range(8)] for i in range(8)])
+    x, y = (np.array([r.vec for r in df.orderBy("tok_id").collect()]) for df in (vectors, factors))
+    assert np.allclose(M @ y, x)
