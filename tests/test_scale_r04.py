@@ -135,3 +135,23 @@ def test_factors_are_written_by_blocks(spark, monkeypatch):
     M = np.array([[(3 * i + 5 * j) % 7 + 1.0 for j in range(8)] for i in range(8)])
     x, y = (np.array([r.vec for r in df.orderBy("tok_id").collect()]) for df in (vectors, factors))
     assert np.allclose(M @ y, x)
+
+
+def test_folds_of_few_rows_are_fitted_at_once(spark, texts, monkeypatch):
+    import threading
+    gate, plain = threading.Barrier(3, timeout=60), MD.fit_stages
+    monkeypatch.setattr(MD, "fit_stages", lambda *a: gate.wait() and None or plain(*a))
+    pipe = Pipeline(stages=MD.text_pipeline_stages(min_df=0.0, max_df=1.0) + [MD.fit_nb()])
+    together = MD.cv_predict(pipe, texts)
+    monkeypatch.setattr(MD, "fit_stages", plain)
+    monkeypatch.setattr(MD, "FEW_ROWS", 0)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(together) == rows(MD.cv_predict(pipe, texts))
+
+
+def test_linear_fits_read_few_partitions(spark, texts, monkeypatch):
+    seen, plain = [], MD.OneVsRest._fit
+    monkeypatch.setattr(MD.OneVsRest, "_fit", lambda self, df: seen.append((df.rdd.getNumPartitions(), self.getParallelism())) or plain(self, df))
+    pipe = Pipeline(stages=MD.text_pipeline_stages(min_df=0.0, max_df=1.0, scale=True) + [MD.fit_linear_svm(multiclass=True, max_iter=3)])
+    MD.fit_stages(pipe, texts.repartition(8))
+    assert seen == [(1, SR.PARALLEL)]
