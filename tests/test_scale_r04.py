@@ -155,3 +155,28 @@ def test_linear_fits_read_few_partitions(spark, texts, monkeypatch):
     pipe = Pipeline(stages=MD.text_pipeline_stages(min_df=0.0, max_df=1.0, scale=True) + [MD.fit_linear_svm(multiclass=True, max_iter=3)])
     MD.fit_stages(pipe, texts.repartition(8))
     assert seen == [(1, SR.PARALLEL)]
+
+
+def _joined_pruned(tok, max_n, alpha, min_freq):
+    """Round by round with joins of all occurrences."""
+    grams, every, pool, one = P.unigrams(tok), None, None, None
+    for n in range(1, max_n + 1):
+        grams = (grams if n == 1 else P.grow_connected_ngrams(grams, tok)).localCheckpoint()
+        every = grams if every is None else every.unionByName(grams)
+        counts = P.ngram_counts(grams)
+        one = P.unigram_probabilities(counts) if n == 1 else one
+        ok = P.collocation_score(counts, one, alpha).where(F.col("keep") & (F.col("cnt") >= min_freq)).select("pattern").localCheckpoint()
+        pool = ok if pool is None else pool.unionByName(ok)
+        grams = grams.join(ok, "pattern", "left_semi").select("doc_id", "sent_id", "gram", "pattern")
+    final = P.compact_pattern_ids(P.maximal_patterns(pool.distinct()))
+    return final, P.doc_pattern_counts(P.encode(every), final)
+
+
+@pytest.mark.parametrize("alpha, min_freq", [(1.2, 4), (0.5, 6), (0.0, 1)])
+def test_pruned_rounds_write_no_occurrence(spark, coded, monkeypatch, alpha, min_freq):
+    written, plain = [], P.cut_lineage
+    monkeypatch.setattr(P, "cut_lineage", lambda df: written.append(set(df.columns)) or plain(df))
+    got, want = P.mine_collocations_pruned(coded, 1, 3, alpha, min_freq), _joined_pruned(coded, 3, alpha, min_freq)
+    rows = lambda df: sorted(map(repr, df.select(sorted(df.columns)).collect()))
+    assert rows(got[0]) == rows(want[0]) and rows(got[1]) == rows(want[1]) and got[0].count() > 5
+    assert written and not any("gram" in w for w in written)
