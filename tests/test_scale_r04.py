@@ -180,3 +180,24 @@ def test_pruned_rounds_write_no_occurrence(spark, coded, monkeypatch, alpha, min
     rows = lambda df: sorted(map(repr, df.select(sorted(df.columns)).collect()))
     assert rows(got[0]) == rows(want[0]) and rows(got[1]) == rows(want[1]) and got[0].count() > 5
     assert written and not any("gram" in w for w in written)
+
+
+def test_fits_hold_few_rows_a_task(spark, monkeypatch):
+    from pyspark.ml.feature import VectorAssembler
+    from textmill.operators import extra_trees as ET
+    from textmill.operators import windows as WN
+    from textmill.sources import files
+    monkeypatch.setattr(files, "HELD_ROWS", 50)
+    df = spark.range(0, 400, 1, 1).selectExpr("id", "cast(id % 7 as double) a", "cast(id % 3 as double) b", "cast(id % 2 as double) label")
+    seen = []
+    for kind in (ET.ExtraTrees, MD.RandomForestClassifier):
+        monkeypatch.setattr(kind, "_fit", lambda self, rows, plain=kind._fit: seen.append(rows.rdd.getNumPartitions()) or plain(self, rows))
+    MD.fit_stages(Pipeline(stages=[VectorAssembler(inputCols=["a", "b"], outputCol="features"), MD.fit_rf(2, 2)]), df)
+    assert seen == [8] and files.spread_rows(df.repartition(9)).rdd.getNumPartitions() == 9
+    held, plain = [], type(df).persist
+    monkeypatch.setattr(type(df), "persist", lambda self, *a: held.append(self.rdd.getNumPartitions()) or plain(self, *a))
+    ET.ExtraTrees(numTrees=2, maxDepth=2).fit(VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df))
+    assert held == [8]
+    folds = WN.stratified_folds(df, "label", 3)
+    assert "SortMergeJoin" not in folds._jdf.queryExecution().executedPlan().toString()
+    assert {(r.label, r.fold): r["count"] for r in folds.groupBy("label", "fold").count().collect()} == {(x, k): n for x in (0.0, 1.0) for k, n in ((0, 67), (1, 67), (2, 66))}
