@@ -37,3 +37,12 @@ def test_blocks_of_vectors_add_up(spark, monkeypatch, numbers):
         kept = [t for k in range(40 * r.id) if (t := f"w{(r.id * k) % 7}") in vec]
         w = {"w1": 0.5, "w3": 2.0}
         assert r.vec == pytest.approx([sum(w.get(t, 1e-6) * vec[t][k] for t in kept) / max(len(kept), 1) for k in range(2)])
+
+
+def test_means_are_of_whole_texts(spark, long_texts):
+    import duckdb
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{long_texts}/documents.parquet/*.parquet')")
+    want = {(r[0], r[1]): r[2] for r in con.execute(ORACLES["weighted_mean_vector"]).fetchall()}
+    got = {(r.id, r.dim): r.value for r in q_vectors.weighted_mean_vector(spark, long_texts).collect()}
+    assert got == pytest.approx(want) and max(abs(got[0, k] - got[1, k]) for k in range(6)) > 1e-5
