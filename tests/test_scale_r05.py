@@ -4,9 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from textmill.operators import vectors as V
-from textmill.plans import q_vectors
+from textmill.operators import windows as WN
+from textmill.plans import q_models, q_vectors
 from textmill.plans.registry import ORACLES
 
+SF = "/root/testdata/sf0.001"
+
 
 @pytest.fixture(scope="module")
 def long_texts(spark, tmp_path_factory):
@@ -46,3 +49,13 @@ def test_means_are_of_whole_texts(spark, long_texts):
     want = {(r[0], r[1]): r[2] for r in con.execute(ORACLES["weighted_mean_vector"]).fetchall()}
     got = {(r.id, r.dim): r.value for r in q_vectors.weighted_mean_vector(spark, long_texts).collect()}
     assert got == pytest.approx(want) and max(abs(got[0, k] - got[1, k]) for k in range(6)) > 1e-5
+
+
+def test_holdout_has_the_mix_of_language_and_class(spark, monkeypatch):
+    seen, plain = [], WN.stratified_split
+    monkeypatch.setattr(WN, "stratified_split", lambda *a, **k: seen.append(plain(*a, **k).localCheckpoint()) or seen[0])
+    q_models.holdout_report(spark, SF)
+    labels, docs = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("labels", "documents"))
+    kinds = labels.join(docs, "doc_id").select(F.col("doc_id").alias("id"), "lang", "quality", "toxic").join(seen[0], "id")
+    sizes = kinds.groupBy("lang", "quality", "toxic").agg(F.count("*").alias("n"), F.sum((F.col("split") == "test").cast("int")).alias("held")).collect()
+    assert len(sizes) > 2 and all(r.held == int(0.2 * r.n + 0.5) for r in sizes)
