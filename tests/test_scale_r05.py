@@ -59,3 +59,32 @@ def test_holdout_has_the_mix_of_language_and_class(spark, monkeypatch):
     kinds = labels.join(docs, "doc_id").select(F.col("doc_id").alias("id"), "lang", "quality", "toxic").join(seen[0], "id")
     sizes = kinds.groupBy("lang", "quality", "toxic").agg(F.count("*").alias("n"), F.sum((F.col("split") == "test").cast("int")).alias("held")).collect()
     assert len(sizes) > 2 and all(r.held == int(0.2 * r.n + 0.5) for r in sizes)
+
+
+def test_driver_holds_few_rows_of_the_basis(spark, monkeypatch):
+    """Blocks of three rows and one column at a time give numpy's singular vectors; ARPACK's driver copies are not made."""
+    import numpy as np
+    from pyspark.mllib.linalg.distributed import IndexedRowMatrix
+    monkeypatch.setattr(V, "FACTOR_ROWS", 3)
+    monkeypatch.setattr(V, "FACTOR_NUMBERS", 40)
+    monkeypatch.setattr(IndexedRowMatrix, "computeSVD", lambda *a, **k: pytest.fail("held"))
+    n, k, rng = 40, 5, np.random.default_rng(3)
+    M = rng.random((n, n)) * (rng.random((n, n)) < 0.4)
+    M[7] = 0
+    cells = spark.createDataFrame([(f"w{i}", f"w{j}", float(M[i, j])) for i in range(n) for j in range(n) if M[i, j]], "word string, context string, ppmi double")
+    vocab = spark.createDataFrame([(f"w{i}", i) for i in range(n)], "token string, tok_id long")
+    x, y = (np.array([r.vec for r in df.orderBy("tok_id").collect()]) for df in V.svd_factors(cells, vocab, k))
+    u, s, vt = np.linalg.svd(M)
+    sign = np.sign(vt[np.arange(k), np.abs(vt[:k]).argmax(axis=1)])
+    assert np.allclose(x, u[:, :k] * s[:k] ** 0.5 * sign, atol=1e-8) and np.allclose(y, vt[:k].T * s[:k] ** -0.5 * sign, atol=1e-8)
+
+
+def test_lanczos_finds_equal_and_vanishing_values():
+    import numpy as np
+    for d in ([5.0] * 12 + [1.0] * 28, list(range(40)), [3.0, 2.0] + [0.0] * 38, [1.0] * 40):
+        q = np.linalg.qr(np.random.default_rng(1).normal(size=(40, 40)))[0]
+        g = q * np.array(d) @ q.T
+        value, basis = V._largest(lambda x: g @ x, 40, 6)
+        assert np.allclose(value, sorted(d)[::-1][:6], atol=1e-9)
+        v = np.array([basis.get(j) for j in range(6)])
+        assert np.allclose(v @ v.T, np.eye(6)) and np.allclose(v @ g, v * value[:, None], atol=1e-7)
