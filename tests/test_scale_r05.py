@@ -88,3 +88,38 @@ def test_lanczos_finds_equal_and_vanishing_values():
         assert np.allclose(value, sorted(d)[::-1][:6], atol=1e-9)
         v = np.array([basis.get(j) for j in range(6)])
         assert np.allclose(v @ v.T, np.eye(6)) and np.allclose(v @ g, v * value[:, None], atol=1e-7)
+
+
+@pytest.mark.parametrize("mode", ["hash", "expected"])
+@pytest.mark.parametrize("words, of_range", [(1, 1), (40, 50), (1_000_000, 1_000_000)])
+def test_pairs_move_as_differences_of_their_keys(spark, monkeypatch, mode, words, of_range):
+    import random
+    rng = random.Random(6)
+    monkeypatch.setattr(V, "PAIR_WORDS", words)
+    monkeypatch.setattr(V, "PAIR_RANGE", of_range)
+    lists = [[], ["a"], ["é中"] * 4, *[rng.choices(["a", "b", "c", "d", "é中", "zz"], k=rng.randrange(1, 30)) for _ in range(30)]]
+    arrays = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "doc_id long, arr array<string>").repartition(3).localCheckpoint()
+    vocab = arrays.select(F.explode("arr").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    own = lambda df: {(r.word, r.context): round(r.n, 9) for r in df.collect()}
+    got = V.skipgram_counts(V.skipgram_pairs(arrays, 3, mode=mode, rows=False), vocab)
+    assert own(got) == own(V.skipgram_counts(V.skipgram_pairs(arrays, 3, mode=mode))) and got.columns == ["word", "context", "n"]
+    assert "hashpartitioning(word" not in got._jdf.queryExecution().executedPlan().toString()
+    assert not V.skipgram_counts(V.skipgram_pairs(arrays.where("doc_id < 2"), 3, rows=False), vocab).count()
+
+
+def test_totals_come_to_the_pairs(spark, monkeypatch):
+    from textmill.operators import joins as J
+    pairs = spark.createDataFrame([("a", "b", 2.0), ("a", "c", 1.0), ("b", "a", 2.0), ("c", "a", 4.0)], "word string, context string, n double")
+    want = [("a", "b", 2.0, 3.0, 2.0), ("a", "c", 1.0, 3.0, 1.0), ("b", "a", 2.0, 2.0, 6.0), ("c", "a", 4.0, 4.0, 6.0)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (V.ppmi_marginals(pairs), V.ppmi(pairs), V.most_similar(V.ppmi(pairs), "a")):
+            assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, V.ppmi_marginals(pairs).collect())) == want
+        monkeypatch.setattr(J, "LOOKED_UP", 1)
+        assert sorted(map(tuple, V.ppmi_marginals(pairs).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    t = spark.createDataFrame([("b", 7)], "k string, v int")
+    got = J.with_looked_up(pairs.union(spark.createDataFrame([(None, "x", 0.0)], pairs.schema)), ("word", t, "k", ["v"]))
+    assert sorted((r.word or "", r.v) for r in got.collect() if r.v) == [("b", 7)] and got.count() == 5
