@@ -123,3 +123,41 @@ def test_totals_come_to_the_pairs(spark, monkeypatch):
     t = spark.createDataFrame([("b", 7)], "k string, v int")
     got = J.with_looked_up(pairs.union(spark.createDataFrame([(None, "x", 0.0)], pairs.schema)), ("word", t, "k", ["v"]))
     assert sorted((r.word or "", r.v) for r in got.collect() if r.v) == [("b", 7)] and got.count() == 5
+
+
+def test_least_distances_and_few_tries(monkeypatch):
+    import numpy as np
+    from textmill.operators import nearest as NR
+    rng = np.random.default_rng(5)
+    vecs, words = rng.normal(size=(30, 4)), rng.integers(0, 9, 40)
+    starts = np.array([0, 4, 5, 17, 18, 25, 26, 30, 33, 36])
+    items = NR.Items(list(range(10)), starts, np.full(40, 0.1), words, rng.normal(size=(9, 4)))
+    monkeypatch.setattr(NR, "CELLS", 60)
+    least, _ = NR.prefetched(vecs, items)
+    d = np.linalg.norm(vecs[:, None] - items.vecs[None], axis=2)
+    assert np.allclose(least, np.column_stack([d[:, words[items.entries(i)]].min(axis=1) for i in range(10)]))
+    # a document that stands on one item needs no other's second bound
+    items.vecs[:] = np.arange(9)[:, None] * 100.0
+    one = NR.Items(list(range(9)), np.arange(9), np.ones(9), np.arange(9), items.vecs)
+    doc = np.array([[200.0] * 4])
+    assert NR.nearest_of(np.array([0]), np.array([1.0]), doc, NR.prefetched(doc, one)[0], one) == (2, 0.0, 3)
+
+
+def test_sets_come_in_the_order_of_their_trees():
+    import random
+    import numpy as np
+    from textmill.operators import patterns as P
+    rng = random.Random(8)
+    for n in range(1, 14):
+        parent = np.array([-1] + [rng.choice([-1, *range(i)]) for i in range(1, n)])
+        want = sorted(tuple(sorted(m)) for m in P.connected_sets({i: (int(h) if h >= 0 else None) for i, h in enumerate(parent)}, 5))
+        got = [x.tolist() for x in P._forest_sets(parent, 5)]
+        assert sorted(tuple(sorted(r)) for x in got for r in x) == want
+        for r in (r for x in got for r in x):  # a member's place is that of its head, then its own number
+            place = [(r.index(parent[c]), c) for c in r[1:]]
+            assert place == sorted(place)
+
+
+def test_words_of_sentences_are_found_once(spark):
+    from textmill.plans import corpus
+    assert corpus.sentence_tokens(spark, SF)._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
